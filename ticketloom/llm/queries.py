@@ -1,0 +1,82 @@
+"""Queries of the training-data operators, with the SQL they are checked against where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ticketloom.llm import distinctive_terms, rank_fusion
+from ticketloom.storage import table
+
+WEIGHTS = {"seed_score": 1.0} | {f: 1.0 for f in rank_fusion.FEATURES}
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = rank_fusion.candidate_scores(table(spark, sf_dir, "candidate_match"), table(spark, sf_dir, "rerank_result"))
+    return rank_fusion.aggregate_ranks(items, ["query_id"], "issue_id", WEIGHTS)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_fusion.best_by_mean(_ranks(spark, sf_dir), ["query_id"], "issue_id")
+
+
+def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_fusion.final_ranks(_ranks(spark, sf_dir), ["query_id"], "issue_id").withColumn("mean_position", F.round("mean_position", 6))
+
+
+_P1 = """
+WITH pairs AS (SELECT query_id, issue_id, max(CASE WHEN NOT isnan(seed_score) THEN seed_score END) AS seed_score FROM candidate_match GROUP BY 1, 2),
+latest AS (
+  SELECT * FROM (SELECT query_id, issue_id, feature_scores AS f, row_number() OVER (PARTITION BY query_id, issue_id ORDER BY scored_at DESC) AS rn FROM rerank_result) WHERE rn = 1),
+long AS (
+""" + " UNION ALL ".join(
+    f"SELECT p.query_id, p.issue_id, '{f}' AS score_name, "
+    + ("seed_score" if f == "seed_score" else f"CASE WHEN NOT isnan(l.f['{f}']) THEN l.f['{f}'] END")
+    + " AS v FROM pairs p LEFT JOIN latest l USING (query_id, issue_id)" for f in WEIGHTS
+) + """),
+ranked AS (
+  SELECT query_id, issue_id, score_name, CASE WHEN v IS NULL THEN count(*) OVER (PARTITION BY query_id, score_name)
+         ELSE rank() OVER (PARTITION BY query_id, score_name ORDER BY v DESC NULLS LAST) END AS position FROM long),
+merged AS (SELECT query_id, issue_id, quantile_disc(position, 0.5) AS median_position, sum(position) / 7.0 AS mean_position FROM ranked GROUP BY 1, 2)
+"""
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = distinctive_terms.term_scores(table(spark, sf_dir, "prepared_issue"))
+    return distinctive_terms.top_term(scores, "tfidf").select("issue_id", "term")
+
+
+def p7_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = distinctive_terms.term_scores(table(spark, sf_dir, "prepared_issue")).withColumn("distinctiveness", F.round("distinctiveness", 6))
+    return distinctive_terms.top_term(scores, "distinctiveness")
+
+
+def p7_collection_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive_terms.collection_frequency(table(spark, sf_dir, "search_index"))
+
+
+_P7 = """
+WITH latest AS (
+  SELECT issue_id, term_frequency AS tf FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY prepared_at DESC) AS rn FROM prepared_issue) WHERE rn = 1),
+postings AS (SELECT issue_id, e.key AS term, e.value AS tf FROM (SELECT issue_id, unnest(map_entries(tf)) AS e FROM latest) WHERE e.value > 0),
+n AS (SELECT count(DISTINCT issue_id) AS n FROM postings),
+stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY 1),
+scored AS (
+  SELECT issue_id, p.term, round((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 6) AS tfidf,
+         round(tf * (log2(n / df) + log2(1 - exp(-cf / n))), 6) AS distinctiveness
+  FROM postings p JOIN stats USING (term), n)
+"""
+
+QUERIES = {
+    "p1_found": p1_found, "p1_ranking": p1_ranking,
+    "p7_found": p7_found, "p7_distinctive": p7_distinctive, "p7_collection_frequency": p7_collection_frequency,
+}
+SQL = {
+    "p1_found": _P1 + """SELECT query_id, issue_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mean_position, median_position, issue_id) AS rn FROM merged) WHERE rn = 1""",
+    "p1_ranking": _P1 + """SELECT query_id, issue_id, median_position, round(mean_position, 6) AS mean_position,
+        row_number() OVER (PARTITION BY query_id ORDER BY median_position, mean_position, issue_id) AS final_rank FROM merged""",
+    "p7_found": _P7 + "SELECT issue_id, term FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY tfidf DESC, term) AS rn FROM scored) WHERE rn = 1",
+    "p7_distinctive": _P7 + "SELECT issue_id, term, distinctiveness FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY distinctiveness DESC, term) AS rn FROM scored) WHERE rn = 1",
+    "p7_collection_frequency": """SELECT term, coalesce(sum(document_frequency), 0)::BIGINT AS document_frequency, count(DISTINCT segment_id) AS n_segments
+        FROM (SELECT DISTINCT segment_id, term, document_frequency, doc_count FROM search_index) WHERE term IS NOT NULL GROUP BY 1""",
+}
