@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import distinctive_terms, rank_fusion
+from ticketloom.llm import components, corpus_tokens, distinctive_terms, near_duplicates, rank_fusion
 from ticketloom.storage import table
 
 WEIGHTS = {"seed_score": 1.0} | {f: 1.0 for f in rank_fusion.FEATURES}
@@ -67,11 +67,80 @@ scored AS (
   FROM postings p JOIN stats USING (term), n)
 """
 
+
+def _words_of():
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description_text", F.lit("")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "issue_document"), "issue_id", _words_of(), 0.7, 20)
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "issue_document"), "issue_id", _words_of(), 0.7, 20)
+
+
+_P3 = """
+WITH sets AS (
+  SELECT DISTINCT issue_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description_text, '')), '[a-z0-9_]+'))) AS w FROM issue_document),
+big AS (SELECT * FROM sets WHERE len(w) >= 20),
+classes AS (SELECT *, row_number() OVER (ORDER BY class_id, w) AS c, len(w) AS n FROM (SELECT w, min(issue_id) AS class_id, count(DISTINCT issue_id) AS n_members FROM big GROUP BY w)),
+terms AS (SELECT c, unnest(w) AS t FROM classes),
+shared AS (SELECT a.c AS c, b.c AS d, count(*) AS s FROM terms a JOIN terms b USING (t) WHERE a.c <> b.c GROUP BY 1, 2),
+near AS (SELECT c, d FROM shared JOIN classes x USING (c) JOIN classes y ON y.c = d WHERE s >= 0.7 * (x.n + y.n - s)),
+member AS (SELECT DISTINCT issue_id, c FROM big JOIN classes USING (w))
+"""
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = components.tied_edges(table(spark, sf_dir, "tawos_issue_search_document"), ["duplicate_issue_ids", "linked_issue_ids"])
+    return components.connected_components(edges).select(F.col("id").alias("issue_id"), "group_id")
+
+
+def p5_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n_members"))
+
+
+_P5 = r"""
+WITH RECURSIVE tokens AS (
+  SELECT issue_id, unnest(string_split(linked_issue_ids, '||')) AS token FROM tawos_issue_search_document
+  UNION ALL SELECT issue_id, unnest(string_split(duplicate_issue_ids, '||')) FROM tawos_issue_search_document),
+pairs AS (SELECT DISTINCT issue_id AS u, try_cast(regexp_extract(token, '([0-9]+)[\s\p{Z}]*$', 1) AS BIGINT) AS v FROM tokens),
+tied AS (SELECT u, v FROM pairs WHERE u <> v AND v IN (SELECT issue_id FROM tawos_issue_search_document)),
+edges AS (SELECT u, v FROM tied UNION SELECT v, u FROM tied),
+reach(id, other) AS (SELECT u, v FROM edges UNION SELECT r.id, e.v FROM reach r JOIN edges e ON e.u = r.other),
+groups AS (SELECT id AS issue_id, least(id, min(other)) AS group_id FROM reach GROUP BY id)
+"""
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document decoded from its ids; equals its text (null as empty)."""
+    return corpus_tokens.decode_corpus(p8_ids(spark, sf_dir))
+
+
 QUERIES = {
+    "p3_found": p3_found, "p3_classes": p3_classes,
+    "p5_found": p5_found, "p5_group_sizes": p5_group_sizes,
+    "p8_ids": p8_ids, "p8_token_counts": p8_token_counts, "p8_round_trip": p8_round_trip,
     "p1_found": p1_found, "p1_ranking": p1_ranking,
     "p7_found": p7_found, "p7_distinctive": p7_distinctive, "p7_collection_frequency": p7_collection_frequency,
 }
 SQL = {
+    "p3_found": _P3 + """SELECT DISTINCT least(a.issue_id, b.issue_id) AS left_issue_id, greatest(a.issue_id, b.issue_id) AS right_issue_id
+        FROM (SELECT c, d FROM near UNION ALL SELECT c, c FROM classes) n JOIN member a ON a.c = n.c JOIN member b ON b.c = n.d WHERE a.issue_id <> b.issue_id""",
+    "p3_classes": _P3 + """, links AS (SELECT c, count(*) AS n_links FROM near GROUP BY c)
+        SELECT DISTINCT issue_id, class_id, n_members, coalesce(n_links, 0) AS n_links FROM member JOIN classes USING (c) LEFT JOIN links USING (c)""",
+    "p5_found": _P5 + "SELECT issue_id, group_id FROM groups",
+    "p5_group_sizes": _P5 + "SELECT group_id, count(*) AS n_members FROM groups GROUP BY 1",
+    "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p1_found": _P1 + """SELECT query_id, issue_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mean_position, median_position, issue_id) AS rn FROM merged) WHERE rn = 1""",
     "p1_ranking": _P1 + """SELECT query_id, issue_id, median_position, round(mean_position, 6) AS mean_position,
         row_number() OVER (PARTITION BY query_id ORDER BY median_position, mean_position, issue_id) AS final_rank FROM merged""",
