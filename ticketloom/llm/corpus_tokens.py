@@ -78,12 +78,13 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     return grouped.select("doc_id", F.flatten(F.transform(F.array_sort("p"), lambda x: x["ids"])).alias("ids"))
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_path: str = BYTE_BPE_50K) -> DataFrame:
-    """doc_id and n_tokens of every row, through the same word table; no ids are gathered."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_path: str = BYTE_BPE_50K, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep` and n_tokens of every distinct row, through the same word table; no ids are gathered."""
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("text"))
     vocab = word_table(keyed, "text", vocab_path).select("word", "n", F.size("ids").cast("bigint").alias("k"))
-    parts = _with_ids(keyed, ["doc_id"], "text", vocab, "k")
-    return parts.groupBy("doc_id").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_tokens"))
+    parts = _with_ids(keyed, ["doc_id", *keep, "__h"], "text", vocab, "k")
+    copies = F.greatest(F.count_if(F.col("pos") == 0), F.lit(1))
+    return parts.groupBy("doc_id", *keep, "__h").agg((F.coalesce(F.sum("k"), F.lit(0)) / copies).cast("bigint").alias("n_tokens")).drop("__h")
 
 
 def decode_corpus(encoded: DataFrame, vocab_path: str = BYTE_BPE_50K) -> DataFrame:

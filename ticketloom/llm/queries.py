@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import components, corpus_tokens, distinctive_terms, near_duplicates, rank_fusion
+from ticketloom.llm import components, corpus_tokens, distinctive_terms, mixing, near_duplicates, rank_fusion
 from ticketloom.storage import table
 
 WEIGHTS = {"seed_score": 1.0} | {f: 1.0 for f in rank_fusion.FEATURES}
@@ -126,7 +126,21 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.decode_corpus(p8_ids(spark, sf_dir))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = corpus_tokens.token_counts(table(spark, sf_dir, "documents"), keep=("source",))
+    return mixing.mix(counted, table(spark, sf_dir, "source_weights"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
 QUERIES = {
+    "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p3_found": p3_found, "p3_classes": p3_classes,
     "p5_found": p5_found, "p5_group_sizes": p5_group_sizes,
     "p8_ids": p8_ids, "p8_token_counts": p8_token_counts, "p8_round_trip": p8_round_trip,
