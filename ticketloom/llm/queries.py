@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import components, corpus_tokens, distinctive_terms, mixing, near_duplicates, rank_fusion
+from ticketloom.llm import components, corpus_tokens, distinctive_terms, mixing, near_duplicates, neighbours, rank_fusion
 from ticketloom.storage import table
 
 WEIGHTS = {"seed_score": 1.0} | {f: 1.0 for f in rank_fusion.FEATURES}
@@ -139,7 +139,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3 most similar others of every usable vector, in both spaces."""
+    dense = neighbours.usable_vectors(table(spark, sf_dir, "dense_embedding_space"), "issue_id", "document_vector", 192, "dense")
+    sbert = neighbours.usable_vectors(table(spark, sf_dir, "sbert_embedding_space"), "issue_id", "embedding", 64, "sbert")
+    return neighbours.nearest([dense, sbert], 3)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(p6_neighbours(spark, sf_dir), 0.85)
+
+
 QUERIES = {
+    "p6_found": p6_found, "p6_neighbours": p6_neighbours,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p3_found": p3_found, "p3_classes": p3_classes,
     "p5_found": p5_found, "p5_group_sizes": p5_group_sizes,
@@ -148,6 +160,14 @@ QUERIES = {
     "p7_found": p7_found, "p7_distinctive": p7_distinctive, "p7_collection_frequency": p7_collection_frequency,
 }
 SQL = {
+    "p6_found": """
+        WITH raw AS (SELECT 'dense' AS space_name, issue_id, document_vector AS v FROM dense_embedding_space WHERE len(document_vector) = 192
+          UNION ALL SELECT 'sbert', issue_id, embedding FROM sbert_embedding_space WHERE len(embedding) = 64),
+        usable AS (SELECT space_name, issue_id, min(v)::DOUBLE[] AS v FROM raw WHERE len(list_filter(v, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
+        scored AS (SELECT a.space_name, a.issue_id AS id, b.issue_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS s
+          FROM usable a JOIN usable b ON a.space_name = b.space_name AND a.issue_id <> b.issue_id),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY space_name, id ORDER BY s DESC, other) AS rn FROM scored) WHERE rn <= 3 AND s >= 0.85)
+        SELECT DISTINCT space_name, least(id, other) AS left_issue_id, greatest(id, other) AS right_issue_id FROM best""",
     "p3_found": _P3 + """SELECT DISTINCT least(a.issue_id, b.issue_id) AS left_issue_id, greatest(a.issue_id, b.issue_id) AS right_issue_id
         FROM (SELECT c, d FROM near UNION ALL SELECT c, c FROM classes) n JOIN member a ON a.c = n.c JOIN member b ON b.c = n.d WHERE a.issue_id <> b.issue_id""",
     "p3_classes": _P3 + """, links AS (SELECT c, count(*) AS n_links FROM near GROUP BY c)
