@@ -5,7 +5,10 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +43,6 @@ def word_encoder(path: str):
     return encode
 
 
-def _positions(docs: DataFrame, key: list[str], text: str) -> DataFrame:
-    return docs.select(*key, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0))).alias("pos", "word"))
-
-
 def word_table(docs: DataFrame, text: str = "text", vocab_path: str = BYTE_BPE_50K) -> DataFrame:
     """Each distinct word of the corpus once: word, n (occurrences), ids. Written to the shared folder."""
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0))).alias("word"))
@@ -51,40 +50,115 @@ def word_table(docs: DataFrame, text: str = "text", vocab_path: str = BYTE_BPE_5
     return materialize(counted.withColumn("ids", word_encoder(vocab_path)("word")), "words")
 
 
-def _with_ids(docs: DataFrame, key: list[str], text: str, vocab: DataFrame, payload: str) -> DataFrame:
-    """(key, pos, payload of the word) for every word; a text without words keeps one row with null pos."""
-    total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = (F.col("n") >= max(1, total / HOT_WORDS)) & (F.length("word") <= HOT_CHARS)
-    hot = vocab.where(is_hot).select("word", F.col(payload))
-    cold = vocab.where(~is_hot).select("word", F.col(payload))
-    marked = _positions(docs, key, text).join(F.broadcast(hot), "word", "left")
-    is_cold = F.col(payload).isNull() & F.col("pos").isNotNull()
-    cold_rows = marked.where(is_cold).drop(payload).join(cold, "word")
-    return marked.where(~is_cold).unionByName(cold_rows).drop("word")
-
-
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_path: str = BYTE_BPE_50K) -> DataFrame:
-    """doc_id and ids (array<int>, without special tokens) of every document.
-
-    Words are split in Spark, each distinct word is encoded once, and ids are joined back by position: hot words by a
-    broadcast of bounded size, the others by a shuffle of their occurrences alone. Empty and null texts give an empty
-    array. A repeated row gives one result; rows of one doc_id with different texts give one result each. Other
-    columns are ignored; an empty table gives no rows.
+def _hot_words(vocab: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The hot words (at most HOT_WORDS, of up to HOT_CHARS characters), their ids end to end, and where each word's ids start."""
+    total = vocab.agg(F.sum("n")).first()[0] or 1
+    hot = vocab.where((F.col("n") * HOT_WORDS >= total) & (F.length("word") <= HOT_CHARS)).select("word", "ids").collect()
+    ends = np.cumsum([0, *[len(r.ids) for r in hot]])
+    return [r.word for r in hot], np.array([i for r in hot for i in r.ids], np.int32), ends
+
+
+def _codes(hot: list[str]):
+    """Arrow batches (keys, words) -> (keys, codes): per word its place in the hot words, -1 for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(hot, pa.string())
+        for b in batches:
+            words = b.column(b.num_columns - 1)
+            codes = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1)
+            lists = pa.ListArray.from_arrays(_offsets(words), codes)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], "codes"])
+
+    return run
+
+
+def _cold(hot: list[str]):
+    """Arrow batches (keys, words) -> (keys, pos, word) of the words that are not hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(hot, pa.string())
+        for b in batches:
+            words = b.column(b.num_columns - 1)
+            flat = words.flatten()
+            at = np.flatnonzero(pc.is_in(flat, value_set=known).to_numpy(zero_copy_only=False) == 0)
+            starts = _offsets(words).to_numpy()
+            row = np.searchsorted(starts, at, side="right") - 1
+            pos = (at - starts[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns[:-1]], pa.array(pos), flat.take(pa.array(at))], [*b.schema.names[:-1], "pos", "word"])
+
+    return run
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    """Offsets into flatten() of a list column without nulls."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def _assemble(hot_ids: np.ndarray, hot_ends: np.ndarray):
+    """Arrow batches (keys, codes, cold) -> (keys, ids): the ids of hot words by their code, of the others by position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.append(np.diff(hot_ends), 0)
+        for b in batches:
+            codes_col, cold_col = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            starts = _offsets(codes_col).to_numpy()
+            codes = codes_col.flatten().to_numpy()
+            n = size[codes]
+            cold = cold_col.flatten()
+            cold_rows = pc.list_parent_indices(cold_col).to_numpy()
+            cold_ids = cold.field("ids")
+            at = starts[cold_rows] + cold.field("pos").to_numpy()
+            n[at] = pc.list_value_length(cold_ids).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(n)])
+            out = np.empty(ends[-1], np.int32)
+            inside = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+            hot_at = np.repeat(codes >= 0, n)
+            out[hot_at] = hot_ids[(np.repeat(hot_ends[codes], n) + inside)[hot_at]]
+            if len(at):
+                order = np.argsort(at, kind="stable")
+                cold_sizes = pc.list_value_length(cold_ids).to_numpy()
+                flat = cold_ids.flatten().to_numpy()
+                cold_starts = np.concatenate([[0], np.cumsum(cold_sizes)])[:-1]
+                k = cold_sizes[order]
+                take = np.repeat(cold_starts[order], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                out[~hot_at] = flat[take]
+            lists = pa.ListArray.from_arrays(pa.array(ends[starts].astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], lists], [*b.schema.names[:-2], "ids"])
+
+    return run
+
+
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_path: str = BYTE_BPE_50K, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep`, and ids (array<int>, without special tokens) of every document.
+
+    Words are split in Spark, each distinct word is encoded once, and ids are joined back by position: hot words (a
+    list of bounded size) where the text is read, all others by a shuffle of their occurrences alone. Empty and null
+    texts give an empty array. A repeated row gives one result; rows of one doc_id with different texts give one
+    result each. Other columns are ignored; an empty table gives no rows.
     """
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("text"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.xxhash64(F.col(text)).alias("__h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     vocab = word_table(keyed, "text", vocab_path)
-    parts = _with_ids(keyed, ["doc_id", "__h"], "text", vocab, "ids")
-    grouped = parts.groupBy("doc_id", "__h").agg(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))).alias("p"))
-    return grouped.select("doc_id", F.flatten(F.transform(F.array_sort("p"), lambda x: x["ids"])).alias("ids"))
+    hot, hot_ids, hot_ends = _hot_words(vocab)
+    split = keyed.select("doc_id", *keep, "__h", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
+    kinds = dict(keyed.dtypes)
+    keys = ["doc_id", *keep, "__h"]
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    coded = split.mapInArrow(_codes(hot), schema + ", codes array<int>").dropDuplicates(keys)
+    rest = split.select("doc_id", "__h", "words").mapInArrow(_cold(hot), f"doc_id {kinds['doc_id']}, __h long, pos int, word string")
+    cold = (
+        rest.join(vocab.select("word", "ids"), "word")
+        .groupBy("doc_id", "__h").agg(F.collect_set(F.struct("pos", "ids")).alias("cold"))
+        .withColumnsRenamed({"doc_id": "__d", "__h": "__g"})
+    )
+    none = F.array().cast("array<struct<pos:int,ids:array<int>>>")
+    both = coded.join(cold, coded["doc_id"].eqNullSafe(cold["__d"]) & (coded["__h"] == cold["__g"]), "left").select(*keys, "codes", F.coalesce("cold", none).alias("cold"))
+    return both.mapInArrow(_assemble(hot_ids, hot_ends), schema + ", ids array<int>").drop("__h")
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_path: str = BYTE_BPE_50K, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of `keep` and n_tokens of every distinct row, through the same word table; no ids are gathered."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("text"))
-    vocab = word_table(keyed, "text", vocab_path).select("word", "n", F.size("ids").cast("bigint").alias("k"))
-    parts = _with_ids(keyed, ["doc_id", *keep, "__h"], "text", vocab, "k")
-    copies = F.greatest(F.count_if(F.col("pos") == 0), F.lit(1))
-    return parts.groupBy("doc_id", *keep, "__h").agg((F.coalesce(F.sum("k"), F.lit(0)) / copies).cast("bigint").alias("n_tokens")).drop("__h")
+    """doc_id, the columns of `keep` and n_tokens of every distinct row."""
+    return encode_corpus(docs, doc_id, text, vocab_path, keep).select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"))
 
 
 def decode_corpus(encoded: DataFrame, vocab_path: str = BYTE_BPE_50K) -> DataFrame:
