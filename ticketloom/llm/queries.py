@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import components, corpus_tokens, distinctive_terms, mixing, near_duplicates, neighbours, rank_fusion
+from ticketloom.llm import components, corpus_tokens, distinctive_terms, markup, mixing, near_duplicates, neighbours, rank_fusion
 from ticketloom.storage import table
 
 WEIGHTS = {"seed_score": 1.0} | {f: 1.0 for f in rank_fusion.FEATURES}
@@ -150,7 +150,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(p6_neighbours(spark, sf_dir), 0.85)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.issue_texts(table(spark, sf_dir, "tawos_issue_search_document"), table(spark, sf_dir, "issue_document"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = markup.elements(_texts(spark, sf_dir), ["field_name", "issue_id", "item_no"])
+    return found.select("field_name", "issue_id", "item_no", "kind", "content")
+
+
+def p4_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_text(_texts(spark, sf_dir), ["field_name", "issue_id", "item_no"])
+
+
 QUERIES = {
+    "p4_found": p4_found, "p4_clean_text": p4_clean_text,
     "p6_found": p6_found, "p6_neighbours": p6_neighbours,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p3_found": p3_found, "p3_classes": p3_classes,
