@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import components, corpus_tokens, distinctive_terms, markup, mixing, near_duplicates, neighbours, rank_fusion
+from ticketloom.llm import components, corpus_tokens, distinctive_terms, markup, mixing, near_duplicates, neighbours, rank_fusion, shared_spans
 from ticketloom.storage import table
 
 WEIGHTS = {"seed_score": 1.0} | {f: 1.0 for f in rank_fusion.FEATURES}
@@ -163,7 +163,17 @@ def p4_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_text(_texts(spark, sf_dir), ["field_name", "issue_id", "item_no"])
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p10_shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return shared_spans.shared_parts(docs, shared_spans.shared_spans(docs))
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_shared_parts": p10_shared_parts,
     "p4_found": p4_found, "p4_clean_text": p4_clean_text,
     "p6_found": p6_found, "p6_neighbours": p6_neighbours,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
