@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.storage import materialize
@@ -222,9 +222,13 @@ def _window_rows(least: int):
     return run
 
 
-def _union_spans(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    merged = _merge(pdf["span_start"].to_numpy(), pdf["span_end"].to_numpy())
-    return pd.DataFrame([(key[0], b, e) for b, e in merged], columns=["doc_id", "span_start", "span_end"])
+def unite(spans: DataFrame) -> DataFrame:
+    """Per doc_id the union of its spans; overlapping and touching ones become one."""
+    order = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
+    reached = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reached.isNull() | (F.col("span_start") > reached), 1).otherwise(0)
+    runs = spans.withColumn("__new", begins).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "__run").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("__run")
 
 
 def shared_spans(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -262,7 +266,7 @@ def shared_spans(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text
     hits = windows.join(twice, ["shard", "hash"], "left_semi").select("shard", "region_id", F.col("pos").alias("s"), (F.col("pos") + least).alias("e"))
     spans = small.unionByName(hits).join(regions.select("shard", "region_id", "doc_id", "begin"), ["shard", "region_id"])
     placed = spans.select("doc_id", (F.col("begin") + F.col("s")).alias("span_start"), (F.col("begin") + F.col("e")).alias("span_end")).distinct()
-    return placed.groupBy("doc_id").applyInPandas(_union_spans, "doc_id long, span_start long, span_end long")
+    return unite(placed)
 
 
 def shared_parts(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
