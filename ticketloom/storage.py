@@ -49,3 +49,9 @@ def discard(df: DataFrame | None) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def exists(df: DataFrame) -> bool:
+    """Whether a table of materialize() is still there."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._ticketloom_path)
+    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(where)
