@@ -77,10 +77,13 @@ def hybrid(pairs: DataFrame) -> DataFrame:
 
 
 def rag(pairs: DataFrame) -> DataFrame:
-    """Adds agreement, alignment (mean of three) and retrieval confidence to engineered features with dense_cosine."""
+    """Adds agreement, alignment (mean of three) and retrieval confidence to engineered features with dense_cosine.
+
+    Half of a sum of two 4-decimal numbers often ends in 5; the small addend makes such halves round up in any engine.
+    """
     c = F.col
     return pairs.withColumns({
-        "semantic_lexical_agreement": _r4((c("dense_cosine") + c("bm25_plus")) / 2),
+        "semantic_lexical_agreement": _r4((c("dense_cosine") + c("bm25_plus")) / 2 + 1e-9),
         "metadata_alignment": _r4((c("project_match") + c("component_overlap") + c("issue_type_match")) / 3),
         "retrieval_confidence": _r4((c("candidate_seed") + c("dense_cosine") + c("bm25_plus")) / 3),
     })

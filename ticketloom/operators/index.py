@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
-from ticketloom.storage import materialize
+from ticketloom.storage import discard, materialize
 
 BM25_K1, BM25_B, BM25_DELTA = 1.2, 0.75, 1.0
 TF_CAP = 3
+#: Query terms that may be broadcast (about 60 bytes each), and scored pairs that one task sums at most.
+BROADCAST_TERMS, PAIRS_PER_TASK = 1_000_000, 4_000_000
 
 
 def weighted_terms(r: dict[str, Column] | None = None) -> Column:
@@ -55,11 +57,14 @@ def tfidf_weight(tf: Column, n: Column, df: Column) -> Column:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """prepared: one row per record. postings: (term, issue_id, tf, df, document_length). norms: (issue_id, norm). n, avg_length: of the corpus."""
+    """prepared: one row per record. postings: (term, issue_id, tf, df, saturation, unit_weight). n, avg_length: of the corpus.
+
+    saturation is the BM25 factor of the term in the record, unit_weight its tf-idf weight over the record's norm: what
+    depends on one side only is computed once, so scoring a pair is three products a shared term.
+    """
 
     prepared: DataFrame
     postings: DataFrame
-    norms: DataFrame
     n: int
     avg_length: float
 
@@ -69,48 +74,57 @@ class SearchIndex:
 
 
 def build_index(issues: DataFrame) -> SearchIndex:
-    """Builds and writes the index tables. One shuffle by (record, term) for the bags, one by term for the document frequencies."""
+    """Builds and writes the index tables. One shuffle by (record, term) for the bags, one by term for the document frequencies, one by record for norms and lengths."""
     prepared = materialize(prepare(issues), "prepared")
     bags = materialize(term_bags(prepared), "bags")
     n, avg_length = prepared.agg(F.count("*"), F.avg("document_length")).first()
     n, avg_length = max(n, 1), avg_length or 1.0
     df = bags.groupBy("term").agg(F.count("*").alias("df"))
-    postings = bags.join(df, "term").join(prepared.select("issue_id", "document_length"), "issue_id")
-    postings = materialize(postings.select("term", "issue_id", "tf", "df", "document_length"), "postings")
-    w = tfidf_weight(F.col("tf"), F.lit(n), F.col("df"))
-    norms = postings.groupBy("issue_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    return SearchIndex(prepared, postings, norms, n, avg_length)
+    weighted = bags.join(df, "term").withColumn("w", tfidf_weight(F.col("tf"), F.lit(n), F.col("df")))
+    per_record = weighted.groupBy("issue_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("length"))
+    tf = F.col("tf")
+    saturation = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(avg_length)))
+    postings = weighted.join(per_record, "issue_id").select("term", "issue_id", "tf", "df", saturation.alias("saturation"), (F.col("w") / F.col("norm")).alias("unit_weight"))
+    postings = materialize(postings, "postings")
+    discard(bags)
+    return SearchIndex(prepared, postings, n, avg_length)
 
 
 def query_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """(qid, term, qtf, df) of queries that are records of the corpus (qid = issue_id)."""
-    return index.postings.join(queries.select(F.col("qid").alias("issue_id")), "issue_id").select(F.col("issue_id").alias("qid"), "term", F.col("tf").alias("qtf"), "df")
+    """(qid, term, impact, unit_weight) of queries that are records of the corpus (qid = issue_id); impact is idf times the capped count."""
+    own = index.postings.join(queries.select(F.col("qid").alias("issue_id")), "issue_id")
+    impact = idf_bm25(F.lit(index.n), F.col("df")) * F.least("tf", F.lit(TF_CAP))
+    return own.select(F.col("issue_id").alias("qid"), "term", impact.alias("impact"), "unit_weight")
 
 
 def ad_hoc_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """(qid, term, qtf, df) of queries outside the corpus: records with a qid instead of an id; an unseen term has df 0."""
+    """(qid, term, impact, unit_weight) of queries outside the corpus: records with a qid instead of an id; an unseen term has df 0 and counts in the norm."""
     bags = term_bags(prepare(queries.withColumn("issue_id", F.col("qid"))))
-    return bags.join(index.document_frequency, "term", "left").select(F.col("issue_id").alias("qid"), "term", F.col("tf").alias("qtf"), F.coalesce("df", F.lit(0)).alias("df"))
+    known = bags.join(index.document_frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    weighted = known.withColumn("w", tfidf_weight(F.col("tf"), F.lit(index.n), F.col("df")))
+    norms = weighted.groupBy("issue_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    impact = idf_bm25(F.lit(index.n), F.col("df")) * F.least("tf", F.lit(TF_CAP))
+    return weighted.join(norms, "issue_id").select(F.col("issue_id").alias("qid"), "term", impact.alias("impact"), (F.col("w") / F.col("norm")).alias("unit_weight"))
 
 
 def lexical_scores(index: SearchIndex, terms: DataFrame) -> DataFrame:
-    """(qid, issue_id, bm25, bm25_plus, tfidf_cosine, coarse) of every pair that shares a term: one join on the term, one aggregate."""
-    n = F.lit(index.n)
-    q = terms.select("qid", "term", "qtf", F.col("df").alias("qdf"))
-    tf, qtf = F.col("tf"), F.least("qtf", F.lit(TF_CAP))
-    idf = idf_bm25(n, F.col("qdf"))
-    saturated = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("document_length") / F.lit(index.avg_length)))
-    q_weight = tfidf_weight(F.col("qtf"), n, F.col("qdf"))
-    q_norms = q.groupBy("qid").agg(F.sqrt(F.sum(q_weight * q_weight)).alias("q_norm"))
-    sums = (
-        index.postings.select("term", "issue_id", "tf", "document_length").join(q, "term")
-        .groupBy("qid", "issue_id")
-        .agg(
-            F.sum(idf * qtf * saturated).alias("bm25"),
-            F.sum(idf * qtf * (saturated + BM25_DELTA)).alias("bm25_plus"),
-            F.sum(q_weight * tfidf_weight(tf, n, F.col("qdf"))).alias("dot"),
-            F.sum(idf * qtf * F.least(tf, F.lit(TF_CAP))).alias("coarse"),
-        )
+    """(qid, issue_id, bm25, bm25_plus, tfidf_cosine, coarse) of every pair that shares a term: one join on the term, one aggregate.
+
+    Up to BROADCAST_TERMS query terms (counted first) are broadcast to postings partitioned by record, so the pairs of
+    a record are summed where they arise and only the postings move; beyond that both sides are shuffled by term.
+    """
+    terms = materialize(terms, "terms")
+    n_terms, n_queries = terms.agg(F.count("*"), F.count_distinct("qid")).first()
+    q = terms.select("qid", "term", "impact", F.col("unit_weight").alias("q_weight"))
+    if n_terms <= BROADCAST_TERMS:
+        least = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(20_000, max(least, index.n * n_queries // PAIRS_PER_TASK))
+        joined = index.postings.repartition(tasks, "issue_id").join(F.broadcast(q), "term")
+    else:
+        joined = index.postings.join(q, "term")
+    return joined.groupBy("qid", "issue_id").agg(
+        F.sum(F.col("impact") * F.col("saturation")).alias("bm25"),
+        F.sum(F.col("impact") * (F.col("saturation") + BM25_DELTA)).alias("bm25_plus"),
+        F.sum(F.col("q_weight") * F.col("unit_weight")).alias("tfidf_cosine"),
+        F.sum(F.col("impact") * F.least("tf", F.lit(TF_CAP))).alias("coarse"),
     )
-    return sums.join(index.norms, "issue_id").join(q_norms, "qid").select(
-        "qid", "issue_id", "bm25", "bm25_plus", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("tfidf_cosine"), "coarse")

@@ -18,7 +18,7 @@ from ticketloom.operators import graph as G
 from ticketloom.operators import learn as L
 from ticketloom.operators import random_indexing as RI
 from ticketloom.operators import rerank as R
-from ticketloom.operators.index import build_index, idf_bm25, idf_tfidf, tfidf_weight
+from ticketloom.operators.index import build_index, idf_bm25, idf_tfidf
 from ticketloom.plans import oracle as O
 from ticketloom.plans.pipelines import Session
 from ticketloom.sources import issues as S
@@ -157,7 +157,7 @@ def _(spark, d):
 @query("q_postings", _W + O.INDEX + " SELECT term, p.issue_id, tf, round(w / norm, 6) AS weight FROM postings p JOIN norms USING (issue_id)")
 def _(spark, d):
     i = _session(spark, d).index
-    return i.postings.join(i.norms, "issue_id").select("term", "issue_id", "tf", F.round(tfidf_weight(F.col("tf"), F.lit(i.n), F.col("df")) / F.col("norm"), 6).alias("weight"))
+    return i.postings.select("term", "issue_id", "tf", F.round("unit_weight", 6).alias("weight"))
 
 
 # Retrieval
@@ -226,7 +226,7 @@ def _(spark, d):
 
 _RANKED = " SELECT qid, issue_id, place AS rank, score, reasons FROM ranked"
 _FUSED = _W + O.lexical() + ", " + O.fused(POOL)
-_EVIDENCE = "round((project_match + component_overlap + issue_type_match) / 3, 4) AS metadata_alignment, round((dense_cosine + bm25_plus) / 2, 4) AS semantic_lexical_agreement, round((candidate_seed + dense_cosine + bm25_plus) / 3, 4) AS retrieval_confidence"
+_EVIDENCE = "round((project_match + component_overlap + issue_type_match) / 3, 4) AS metadata_alignment, round((dense_cosine + bm25_plus) / 2 + 1e-9, 4) AS semantic_lexical_agreement, round((candidate_seed + dense_cosine + bm25_plus) / 3, 4) AS retrieval_confidence"
 _GRAPH_POOL = ", ".join([O.EDGES, O.METADATA, O.GRAPH_SEEDS, O.PROPAGATED, "combined AS (SELECT qid, issue_id, sum(s) AS s FROM (SELECT * FROM seeds UNION ALL SELECT * FROM spread) GROUP BY 1, 2)", O.pool("graph_pool", "combined", "s", POOL)])
 _SEVEN = "round((project_match + issue_type_match + priority_match + status_match + component_overlap + affected_version_overlap + fix_version_overlap) / 7, 4) AS metadata_alignment, round(coalesce(graph_context, 0), 4) AS graph_context, round(least(1.0, seed), 4) AS graph_seed"
 _JUDGE_OTHERWISE = "CASE WHEN JS >= 0.55 THEN 'rag-style reasoning found moderate duplicate evidence across the retrieved context' WHEN JS >= 0.35 THEN 'rag-style reasoning found this issue related, but not strongly confirmed as a duplicate' ELSE 'rag-style reasoning found only weak support for this candidate' END"
