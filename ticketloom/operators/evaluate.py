@@ -69,9 +69,9 @@ def rank_metrics(ranked: DataFrame, relevant: DataFrame, cutoffs: Sequence[int]
 def threshold_metrics(ranked: DataFrame, relevant: DataFrame, deepest: int = 10, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(threshold, precision, recall, f1) from counts summed over all queries' top lists; a relevant id that is not in a list at all is a miss."""
     rows = judged(ranked.where(F.col("rank") <= deepest), relevant)
-    total = relevant.agg(F.count("*").alias("total"))
+    total = relevant.count()
     sums = rows.agg(*[c for i, t in enumerate(thresholds) for c in (F.count_if((F.col("score") >= t) & (F.col("hit") == 1)).alias(f"tp{i}"), F.count_if((F.col("score") >= t) & (F.col("hit") == 0)).alias(f"fp{i}"))])
-    both = sums.join(F.broadcast(total))
+    both = sums.withColumn("total", F.lit(total).cast("bigint"))
     cells = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), (F.col("total") - F.col(f"tp{i}")).alias("fn")) for i, t in enumerate(thresholds)]))
     c = both.select(cells.alias("c")).select("c.*")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
