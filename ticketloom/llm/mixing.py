@@ -16,7 +16,7 @@ _EPS = 1e-9
 
 
 def plan_sources(sizes: DataFrame, weights: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """Per source: target_weight, max_repeats, n_docs, n_tokens and `uses`, how often its tokens are to be used.
+    """Per weighted source: target_weight, max_repeats, n_docs, n_tokens and `uses`, how often its tokens are to be used.
 
     sizes has one row per source with documents (n_docs, n_tokens), weights one per weighted source (identical rows
     count once; the largest weight and cap of a source count). Weights are normed over the sources that have tokens.
@@ -24,7 +24,7 @@ def plan_sources(sizes: DataFrame, weights: DataFrame, total_tokens: int | None
     shares are met. With it, sources at their cap give the rest of the total to the others in proportion.
     """
     w = weights.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
-    joined = sizes.join(F.broadcast(w), "source", "full")  # one row per source on both sides
+    joined = w.join(sizes, "source", "left")  # one row per weighted source: as many as the weights table names
     rows = joined.select("source", F.coalesce("target_weight", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(0)).alias("r"), F.coalesce("n_docs", F.lit(0)).alias("d"), F.coalesce("n_tokens", F.lit(0)).alias("t")).toPandas()
     usable = (rows.w > 0) & (rows.r > 0) & (rows.t > 0)
     uses = np.zeros(len(rows))
