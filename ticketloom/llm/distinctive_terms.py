@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.storage import materialize
+
 #: A term in more than this share of the records is hot. A record has a bounded number of terms on average, so there
 #: are at most (mean terms per record) / HOT_SHARE hot terms, whatever the size of the collection.
 HOT_SHARE = 0.01
@@ -32,10 +34,11 @@ def term_scores(bags: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     Statistics are counted with partial aggregation. Hot terms (bounded in number, see HOT_SHARE) reach the postings
     by broadcast, the others by a shuffle join that then holds no hot key. Bags are as in latest_bags.
     """
-    records = latest_bags(bags)
+    records = materialize(latest_bags(bags), "bags")
     postings = records.select("issue_id", F.explode("terms").alias("e")).select("issue_id", F.col("e.key").alias("term"), F.col("e.value").cast("bigint").alias("tf"))
-    n = records.agg(F.count("*").alias("n_records"))
-    stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(n))
+    n = records.count()
+    stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("n_records", F.lit(n).cast("bigint"))
+    stats = materialize(stats, "stats")
     lam = F.col("cf") / F.col("n_records")
     stats = stats.withColumn("ridf", F.log2(F.col("n_records") / F.col("df")) + F.log2(-F.expm1(-lam)))
     hot = stats.where(F.col("df") > F.col("n_records") * hot_share)
