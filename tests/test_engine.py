@@ -182,3 +182,38 @@ def test_streaming_search(engine, spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps({"issue_id": 900, "title": "cache ledger"}) + "\n")
     search_stream(engine, read_records(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), top_k=2).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_generated_collection(spark):
+    from ticketloom.sources import synthetic as SY
+
+    made = SY.issues(spark, 30)
+    rows = made.collect()
+    assert len(rows) == 150 and len({r.issue_id for r in rows}) == 150 and sum(len(r.duplicate_issue_ids) for r in rows) == 60
+    assert {tuple(r)[:3] for r in rows} == {tuple(r)[:3] for r in SY.issues(spark, 30).collect()}
+    kinds = {r.relationship_type: r["count"] for r in SY.pair_labels(made).groupBy("relationship_type").count().collect()}
+    assert kinds == {"duplicate": 30, "linked": 30, "hard_negative": 60, "random_negative": 30}
+    found = Engine(made.drop("cluster_id", "role"), pool=30).evaluate("duplicates", ["bm25"], top_k_values=(5,)).where("metric = 'recall'").first()
+    assert found.value > 0.5
+
+
+def test_embedding_slot(engine, spark):
+    from ticketloom.operators.embedding import embed
+
+    got = embed(engine.index.prepared, lambda: lambda texts: [[len(t), 1.0] for t in texts], "query: ", batch=7).collect()
+    assert len(got) == 40 and all(abs(sum(x * x for x in r.vector) - 1) < 1e-9 for r in got)
+
+
+def test_blake2b_entries(spark):
+    df = spark.createDataFrame([("cache",)], "t string")
+    e = df.select(RI.blake2b_entries(F.col("t")).alias("e")).first().e
+    import hashlib
+
+    h = hashlib.blake2b(b"cache", digest_size=32).digest()
+    assert (e[0].dim, e[0].sign) == ((h[0] * 256 + h[1]) % 192, 1.0 if h[2] % 2 == 0 else -1.0) and len({x.dim for x in e}) == 8
+
+
+def test_diagnostics_files(spark, tmp_path):
+    m = L.MlpModel(("x",), [], [], [], 0.0, [{"epoch": 1, "train_loss": 0.5, "validation_loss": 0.6}])
+    L.write_diagnostics(m, spark, str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d" / "curve.json")).count() == 1

@@ -141,3 +141,10 @@ def fit_mlp(examples: DataFrame, names: Sequence[str], max_rows: int = MLP_ROWS,
 def diagnostics(model: MlpModel, spark) -> DataFrame:
     """(epoch, train_loss, validation_loss) of a fitted network, ready to be written as JSON or CSV."""
     return spark.createDataFrame(pd.DataFrame(model.epochs or {"epoch": [], "train_loss": [], "validation_loss": []}), "epoch long, train_loss double, validation_loss double")
+
+
+def write_diagnostics(model: MlpModel, spark, path: str) -> None:
+    """The loss curve as one JSON and one CSV file under path."""
+    curve = diagnostics(model, spark).coalesce(1)
+    curve.write.mode("overwrite").json(path + "/curve.json")
+    curve.write.mode("overwrite").option("header", True).csv(path + "/curve.csv")

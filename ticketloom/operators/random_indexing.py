@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,25 @@ def index_entries(token: Column, dimensions: int = DIMENSIONS, active: int = ACT
     return F.transform(firsts, lambda x: F.filter(dims, lambda d: d["dim"] == x)[0])
 
 
+def blake2b_entries(token: Column, dimensions: int = DIMENSIONS, active: int = ACTIVE) -> Column:
+    """index_entries from BLAKE2b digests, rehashed when used up; in Python, as Spark SQL lacks that hash."""
+
+    @F.pandas_udf("array<struct<dim:int,sign:double>>")
+    def entries(tokens: pd.Series) -> pd.Series:
+        def one(word: str) -> list[tuple[int, float]]:
+            digest, found = hashlib.blake2b(word.encode(), digest_size=32).digest(), {}
+            while True:
+                for high, low, sign in zip(digest[0:30:3], digest[1:30:3], digest[2:30:3]):
+                    found.setdefault((high * 256 + low) % dimensions, -1.0 if sign % 2 else 1.0)
+                    if len(found) == active:
+                        return list(found.items())
+                digest = hashlib.blake2b(digest, digest_size=32).digest()
+
+        return tokens.map(one)
+
+    return entries(token)
+
+
 def _pair_at(distance: int):
     return lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.lit(distance).alias("d"))
 
@@ -42,10 +64,10 @@ def cooccurrence(prepared: DataFrame, window: int = WINDOW) -> DataFrame:
     return both.groupBy("term", "neighbour").agg(F.sum("weight").alias("weight"))
 
 
-def token_vectors(index: SearchIndex, dimensions: int = DIMENSIONS, active: int = ACTIVE, window: int = WINDOW, passes: int = PASSES, mix: float = LEXICAL_MIX) -> DataFrame:
+def token_vectors(index: SearchIndex, dimensions: int = DIMENSIONS, active: int = ACTIVE, window: int = WINDOW, passes: int = PASSES, mix: float = LEXICAL_MIX, hashing=index_entries) -> DataFrame:
     """(term, dim, value) of the unit token vectors: passes * sum of the neighbours' sign vectors by weight, plus mix * the own one."""
     terms = index.document_frequency.select("term")
-    entries = terms.select("term", F.explode(index_entries(F.col("term"), dimensions, active)).alias("e")).select("term", "e.dim", "e.sign")
+    entries = terms.select("term", F.explode(hashing(F.col("term"), dimensions, active)).alias("e")).select("term", "e.dim", "e.sign")
     spread = (
         cooccurrence(index.prepared, window)
         .join(entries.withColumnRenamed("term", "neighbour"), "neighbour")

@@ -22,6 +22,7 @@ from ticketloom.operators.index import build_index, idf_bm25, idf_tfidf
 from ticketloom.plans import oracle as O
 from ticketloom.plans.pipelines import Session
 from ticketloom.sources import issues as S
+from ticketloom.sources import synthetic as SY
 from ticketloom.storage import exists, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,3 +537,11 @@ def _(spark, d):
     """The search view (nulls as empty texts) over the newest row of every tracked record, read back with SQL."""
     S.search_view(S.latest(table(spark, d, "tawos_issue_search_document"), "loaded_at"), "issue_search")
     return spark.sql("SELECT project_key, count(*) AS n_issues, count_if(description_text = '') AS n_without_text FROM issue_search GROUP BY project_key")
+
+
+@query("q_synthetic_dataset")
+def _(spark, d):
+    """Records and pair labels of a generated collection, counted by role and relationship (rows only)."""
+    made = SY.issues(spark, 60)
+    roles = made.groupBy(F.col("role").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.size("linked_issue_ids")).alias("links"))
+    return roles.unionByName(SY.pair_labels(made).groupBy(F.col("relationship_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("label").alias("links")))
