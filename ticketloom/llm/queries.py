@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm import components, corpus_tokens, distinctive_terms, markup, mixing, near_duplicates, neighbours, rank_fusion, shared_spans
-from ticketloom.storage import table
+from ticketloom.operators.candidates import dense_topk
+from ticketloom.storage import materialize, table
 
 WEIGHTS = {"seed_score": 1.0} | {f: 1.0 for f in rank_fusion.FEATURES}
 
@@ -172,10 +173,25 @@ def p10_shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_parts(docs, shared_spans.shared_spans(docs))
 
 
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact 3 nearest that the graphs find, by space, for every vector whose id is divisible by 100 against all."""
+    parts = None
+    for space, name, column, d in (("dense", "dense_embedding_space", "document_vector", 192), ("sbert", "sbert_embedding_space", "embedding", 64)):
+        rows = materialize(neighbours.usable_vectors(table(spark, sf_dir, name), "issue_id", column, d, space), space)
+        asked = rows.where(F.col("id") % 100 == 0)
+        v = F.col("vector").cast("array<double>").alias("vector")
+        exact = dense_topk(asked.select(F.col("id").alias("qid"), v), rows.select(F.col("id").alias("issue_id"), v), 4, positive=False).where("qid <> issue_id")
+        exact = exact.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("place <= 3")
+        found = neighbours.nearest([rows], 3).select(F.col("id").alias("qid"), F.col("other").alias("issue_id"), F.lit(1).alias("hit"))
+        part = exact.join(found, ["qid", "issue_id"], "left").agg(F.lit(space).alias("space_name"), F.count_distinct("qid").alias("n_queries"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 QUERIES = {
     "p10_found": p10_found, "p10_shared_parts": p10_shared_parts,
     "p4_found": p4_found, "p4_clean_text": p4_clean_text,
-    "p6_found": p6_found, "p6_neighbours": p6_neighbours,
+    "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p3_found": p3_found, "p3_classes": p3_classes,
     "p5_found": p5_found, "p5_group_sizes": p5_group_sizes,
