@@ -13,6 +13,7 @@ from ticketloom.operators import evaluate as E
 from ticketloom.operators.index import build_index
 from ticketloom.plans.pipelines import MODELS, SUITES, ModelSpec, Session, resolve_models
 from ticketloom.sources.issues import SCHEMA, normalize, repository
+from ticketloom.storage import materialize
 
 log = logging.getLogger(__name__)
 
@@ -89,17 +90,17 @@ class Engine:
         from ticketloom.operators import candidates as C
         from ticketloom.operators import features as X
         from ticketloom.operators import rerank as R
-        from ticketloom.operators.index import ad_hoc_terms, lexical_scores, prepare
+        from ticketloom.operators.index import ad_hoc_terms, lexical_scores, pair_scores, prepare
 
         if model not in ("bm25", "bm25-plus", "tfidf-cosine", "lexical"):
             raise ValueError("new records are searched by lexical models; index them for the others")
         have = dict(records.dtypes)
         full = records.select("qid", *[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in SCHEMA.split(", ")) if n != "issue_id"])
         full = normalize(full)
-        lexical = lexical_scores(self.index, ad_hoc_terms(self.index, full))
+        terms = materialize(ad_hoc_terms(self.index, full), "terms")
         score = {"bm25": "bm25", "lexical": "bm25"}.get(model, model.replace("-", "_"))
-        found = C.with_fallback(C.sparse_candidates(lexical, score, self.pool), full.select("qid", "project_key"), self.index.prepared, self.pool)
-        pairs = X.standard(X.pair_rows(found, lexical, self.index.prepared, prepare(full.withColumn("issue_id", F.col("qid")))))
+        found = materialize(C.with_fallback(C.sparse_candidates(lexical_scores(self.index, terms), score, self.pool), full.select("qid", "project_key"), self.index.prepared, self.pool), "pool")
+        pairs = X.standard(X.pair_rows(found, pair_scores(self.index, terms, found), self.index.prepared, prepare(full.withColumn("issue_id", F.col("qid")))))
         scored = R.linear(R.LINEAR_WEIGHTS[model])(pairs).select("qid", "issue_id", "score", "reasons")
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "issue_id")
         best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -13,6 +13,11 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: what a lambda refers to from outside is else computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_text(c: Column) -> Column:
     """Lower case; runs of anything but [a-z0-9_-] become one space; trimmed; null becomes ''."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_\-]+", " "))
@@ -36,9 +41,11 @@ def labels(c: Column) -> Column:
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """The set of runs of n characters of the normalised text; a shorter text is its own only gram, an empty one has none."""
-    s = normalize_text(c)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: s.substr(i, F.lit(n))))
-    return F.when(F.length(s) == 0, _empty()).otherwise(grams)
+    def grams(s: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: s.substr(i, F.lit(n)))
+        return F.when(F.length(s) == 0, _empty()).otherwise(F.array_distinct(runs))
+
+    return let(normalize_text(c), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -91,8 +98,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector over its length; the zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return let(F.sqrt(dot(v, v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
 
 
 def split_grouped(c: Column) -> Column:

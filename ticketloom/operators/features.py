@@ -63,12 +63,12 @@ def engineered(pairs: DataFrame) -> DataFrame:
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame, name: str = "dense_cosine", query_vectors: DataFrame | None = None) -> DataFrame:
     """Adds a cosine column from vectors (issue_id, vector): dense_cosine = max(0, cos), any other name = (cos + 1) / 2; 0 if a side has no vector."""
-    unit = vectors.select("issue_id", T.l2_normalize(F.col("vector")).alias("v"))
-    q = (unit if query_vectors is None else query_vectors.select("issue_id", T.l2_normalize(F.col("vector")).alias("v"))).select(F.col("issue_id").alias("qid"), F.col("v").alias("__q"))
-    joined = pairs.join(q, "qid", "left").join(unit.withColumnRenamed("v", "__c"), "issue_id", "left")
-    cos = F.coalesce(T.dot(F.col("__q"), F.col("__c")), F.lit(0.0))
+    sized = lambda df, key, p: df.select(F.col("issue_id").alias(key), F.col("vector").alias(p), F.sqrt(T.dot(F.col("vector"), F.col("vector"))).alias(p + "n"))
+    joined = pairs.join(sized(vectors if query_vectors is None else query_vectors, "qid", "__q"), "qid", "left").join(sized(vectors, "issue_id", "__c"), "issue_id", "left")
+    length = F.col("__qn") * F.col("__cn")
+    cos = F.coalesce(F.when(length > 0, T.dot(F.col("__q"), F.col("__c")) / length), F.lit(0.0))
     value = F.greatest(F.lit(0.0), cos) if name == "dense_cosine" else F.when(F.col("__q").isNull() | F.col("__c").isNull(), 0.0).otherwise(T.unit_interval(cos))
-    return joined.withColumn(name, _r4(value)).drop("__q", "__c")
+    return joined.withColumn(name, _r4(value)).drop("__q", "__c", "__qn", "__cn")
 
 
 def hybrid(pairs: DataFrame) -> DataFrame:

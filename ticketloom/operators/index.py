@@ -107,13 +107,28 @@ def ad_hoc_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return weighted.join(norms, "issue_id").select(F.col("issue_id").alias("qid"), "term", impact.alias("impact"), (F.col("w") / F.col("norm")).alias("unit_weight"))
 
 
+def _sums() -> list:
+    return [
+        F.sum(F.col("impact") * F.col("saturation")).alias("bm25"),
+        F.sum(F.col("impact") * (F.col("saturation") + BM25_DELTA)).alias("bm25_plus"),
+        F.sum(F.col("q_weight") * F.col("unit_weight")).alias("tfidf_cosine"),
+        F.sum(F.col("impact") * F.least("tf", F.lit(TF_CAP))).alias("coarse"),
+    ]
+
+
+def pair_scores(index: SearchIndex, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """lexical_scores of given pairs (qid, issue_id) alone: the queries' terms of each pair meet the postings by record and term."""
+    q = terms.select("qid", "term", "impact", F.col("unit_weight").alias("q_weight"))
+    asked = pairs.select("qid", "issue_id").join(q, "qid")
+    return asked.join(index.postings, ["issue_id", "term"]).groupBy("qid", "issue_id").agg(*_sums())
+
+
 def lexical_scores(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """(qid, issue_id, bm25, bm25_plus, tfidf_cosine, coarse) of every pair that shares a term: one join on the term, one aggregate.
 
     Up to BROADCAST_TERMS query terms (counted first) are broadcast to postings partitioned by record, so the pairs of
     a record are summed where they arise and only the postings move; beyond that both sides are shuffled by term.
     """
-    terms = materialize(terms, "terms")
     n_terms, n_queries = terms.agg(F.count("*"), F.count_distinct("qid")).first()
     q = terms.select("qid", "term", "impact", F.col("unit_weight").alias("q_weight"))
     if n_terms <= BROADCAST_TERMS:
@@ -122,9 +137,4 @@ def lexical_scores(index: SearchIndex, terms: DataFrame) -> DataFrame:
         joined = index.postings.repartition(tasks, "issue_id").join(F.broadcast(q), "term")
     else:
         joined = index.postings.join(q, "term")
-    return joined.groupBy("qid", "issue_id").agg(
-        F.sum(F.col("impact") * F.col("saturation")).alias("bm25"),
-        F.sum(F.col("impact") * (F.col("saturation") + BM25_DELTA)).alias("bm25_plus"),
-        F.sum(F.col("q_weight") * F.col("unit_weight")).alias("tfidf_cosine"),
-        F.sum(F.col("impact") * F.least("tf", F.lit(TF_CAP))).alias("coarse"),
-    )
+    return joined.groupBy("qid", "issue_id").agg(*_sums())

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.functions.text import let
 from ticketloom.operators.index import SearchIndex, idf_bm25
 
 DIMENSIONS, ACTIVE, WINDOW, PASSES, LEXICAL_MIX = 192, 8, 3, 2, 0.35
@@ -21,11 +22,16 @@ def index_entries(token: Column, dimensions: int = DIMENSIONS, active: int = ACT
     Each three bytes give a position (first two, modulo the dimensions) and a sign (parity of the third). SHA-256
     stands for a hash that Spark SQL lacks, so the vectors are other ones of the same kind.
     """
+    def triples(digest: Column) -> Column:
+        byte = lambda at, n: F.conv(digest.substr(at, F.lit(n)), 16, 10).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(_TRIPLES - 1)), lambda i: F.struct(F.pmod(byte(i * 6 + 1, 4), F.lit(dimensions)).alias("dim"), F.when(byte(i * 6 + 5, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+
+    def firsts(found: Column) -> Column:
+        places = F.slice(F.array_distinct(F.transform(found, lambda d: d["dim"])), 1, active)
+        return F.transform(places, lambda x: F.filter(found, lambda d: d["dim"] == x)[0])
+
     digest = F.concat(F.substring(F.sha2(token, 256), 1, 60), F.substring(F.sha2(F.concat(token, F.lit("#")), 256), 1, 60))
-    byte = lambda at, n: F.conv(digest.substr(at, F.lit(n)), 16, 10).cast("int")
-    dims = F.transform(F.sequence(F.lit(0), F.lit(_TRIPLES - 1)), lambda i: F.struct(F.pmod(byte(i * 6 + 1, 4), F.lit(dimensions)).alias("dim"), F.when(byte(i * 6 + 5, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    firsts = F.slice(F.array_distinct(F.transform(dims, lambda d: d["dim"])), 1, active)
-    return F.transform(firsts, lambda x: F.filter(dims, lambda d: d["dim"] == x)[0])
+    return let(let(digest, triples), firsts)
 
 
 def blake2b_entries(token: Column, dimensions: int = DIMENSIONS, active: int = ACTIVE) -> Column:

@@ -14,7 +14,7 @@ from ticketloom.operators import graph as G
 from ticketloom.operators import learn as L
 from ticketloom.operators import random_indexing as RI
 from ticketloom.operators import rerank as R
-from ticketloom.operators.index import SearchIndex, lexical_scores, query_terms
+from ticketloom.operators.index import SearchIndex, lexical_scores, pair_scores, query_terms
 from ticketloom.storage import materialize
 
 POOL, SUPERVISED_POOL = 100, 80
@@ -103,8 +103,15 @@ class Session:
     def prepared(self) -> DataFrame:
         return self.index.prepared
 
+    def terms(self) -> DataFrame:
+        return self.once("terms", lambda: query_terms(self.index, self.queries))
+
     def lexical(self) -> DataFrame:
-        return self.once("lexical", lambda: lexical_scores(self.index, query_terms(self.index, self.queries)))
+        """Scores of all pairs that share a term; never written whole, only pools cut from it are."""
+        return lexical_scores(self.index, self.terms())
+
+    def lexical_pool(self, score: str) -> DataFrame:
+        return self.once(f"pool:{score}", lambda: C.sparse_candidates(self.lexical(), score, self.pool))
 
     def query_rows(self) -> DataFrame:
         return self.queries.join(self.prepared.select(F.col("issue_id").alias("qid"), "project_key"), "qid").select("qid", "project_key")
@@ -114,7 +121,7 @@ class Session:
         return self.vectors.get("dense") or self.once("ri", lambda: RI.document_vectors(self.index, RI.token_vectors(self.index)))
 
     def sparse(self, score: str) -> DataFrame:
-        return C.with_fallback(C.sparse_candidates(self.lexical(), score, self.pool), self.query_rows(), self.prepared, self.pool)
+        return C.with_fallback(self.lexical_pool(score), self.query_rows(), self.prepared, self.pool)
 
     def by_vector(self, space: str, positive: bool) -> DataFrame:
         v = self.dense_vectors() if space == "dense" else self.vectors[space]
@@ -134,7 +141,7 @@ class Session:
         if model in ("bm25-plus", "tfidf-cosine"):
             return self.sparse(model.replace("-", "_"))
         if model == "logreg-engineered":
-            return C.with_fallback(C.sparse_candidates(self.lexical(), "coarse", min(self.pool, SUPERVISED_POOL)), self.query_rows(), self.prepared, SUPERVISED_POOL)
+            return C.with_fallback(self.lexical_pool("coarse"), self.query_rows(), self.prepared, self.pool).where(F.col("rank") <= SUPERVISED_POOL)
         if model == "random-indexing-dense":
             return C.with_fallback(self.by_vector("dense", True), self.query_rows(), self.prepared, self.pool)
         if model == "sbert-dense":
@@ -147,7 +154,7 @@ class Session:
         return self.fused().where(F.col("rank") <= SUPERVISED_POOL) if model == "pairwise-neural-mlp" else self.fused()
 
     def features(self, model: str, candidates: DataFrame) -> DataFrame:
-        pairs = X.pair_rows(candidates, self.lexical(), self.prepared)
+        pairs = X.pair_rows(candidates, pair_scores(self.index, self.terms(), candidates), self.prepared)
         if model == "logreg-engineered":
             return X.engineered(pairs)
         if model == "random-indexing-dense":
@@ -171,7 +178,8 @@ class Session:
 
     def training(self, model: str, holdout: DataFrame | None = None) -> DataFrame:
         """Training pairs of a supervised model with its features, over the queries of this session."""
-        return self.features(model, L.training_pairs(self.prepared, self.candidates(model), holdout=holdout).withColumn("rank", F.lit(0)))
+        pairs = materialize(L.training_pairs(self.prepared, self.candidates(model), holdout=holdout).withColumn("rank", F.lit(0)), "pairs")
+        return self.features(model, pairs)
 
     def reranker(self, model: str, holdout: DataFrame | None = None) -> R.Reranker:
         if model == "logreg-engineered":
