@@ -161,11 +161,29 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     return encode_corpus(docs, doc_id, text, vocab_path, keep).select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"))
 
 
+def _pieces(path: str):
+    """Arrow batches (doc_id, ids) -> (doc_id, text): each id's piece by its place in the id-to-piece table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(path)
+        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            table[i] = piece
+        pieces = pa.array(table, pa.large_binary())
+        for b in batches:
+            ids = b.column("ids")
+            lists = pa.ListArray.from_arrays(_offsets(ids), pieces.take(ids.flatten()))
+            text = pc.cast(pc.binary_join(lists, pa.scalar(b"", pa.large_binary())), pa.large_string()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), text], ["doc_id", "text"])
+
+    return run
+
+
 def decode_corpus(encoded: DataFrame, vocab_path: str = BYTE_BPE_50K) -> DataFrame:
-    """doc_id and text of encoded documents, through a join with the table id -> piece (as large as the vocabulary, a fixed size)."""
-    spark = encoded.sparkSession
-    pieces = spark.createDataFrame([(i, p.hex()) for p, i in read_ranks(vocab_path).items()], "id int, piece string")
-    rows = encoded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
-    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece"))).alias("p"))
-    text = F.array_join(F.transform(F.array_sort("p"), lambda x: x["piece"]), "")
-    return grouped.select("doc_id", F.decode(F.unhex(text), "UTF-8").alias("text"))
+    """doc_id and text of encoded documents, through a join of every id with the table id -> piece.
+
+    That table has the vocabulary's fixed size, so it is held whole in each task and joined by position in Arrow arrays;
+    nothing is shuffled. Ids must be those of the vocabulary.
+    """
+    kind = dict(encoded.dtypes)["doc_id"]
+    return encoded.select("doc_id", "ids").mapInArrow(_pieces(vocab_path), f"doc_id {kind}, text string")

@@ -13,6 +13,8 @@ from ticketloom.storage import materialize
 
 #: Parts beyond those the pigeonhole needs; a record leaves out as many of its emptiest parts.
 SLACK = 2
+#: Tokens whose signatures are made together.
+BATCH_TOKENS = 150_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,8 +110,8 @@ def signature_rows(pdf: pd.DataFrame, threshold: float, ends: list[int], probe:
 def _signatures(classes: DataFrame, threshold: float, ends: list[int], probe: bool) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k in range(0, len(pdf), 2000):
-                yield signature_rows(pdf.iloc[k:k + 2000], threshold, ends, probe)
+            for _, part in pdf.groupby(pdf["size"].cumsum() // BATCH_TOKENS, sort=False):
+                yield signature_rows(part, threshold, ends, probe)
 
     return classes.select("rep", "size", "hashes").mapInPandas(rows, "key long, rep long, size int, s0 long, s1 long")
 

@@ -144,7 +144,7 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 3 most similar others of every usable vector, in both spaces."""
     dense = neighbours.usable_vectors(table(spark, sf_dir, "dense_embedding_space"), "issue_id", "document_vector", 192, "dense")
     sbert = neighbours.usable_vectors(table(spark, sf_dir, "sbert_embedding_space"), "issue_id", "embedding", 64, "sbert")
-    return neighbours.nearest([dense, sbert], 3)
+    return neighbours.nearest([dense, sbert], 3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,15 +199,30 @@ QUERIES = {
     "p1_found": p1_found, "p1_ranking": p1_ranking,
     "p7_found": p7_found, "p7_distinctive": p7_distinctive, "p7_collection_frequency": p7_collection_frequency,
 }
-SQL = {
-    "p6_found": """
+_P6 = """
         WITH raw AS (SELECT 'dense' AS space_name, issue_id, document_vector AS v FROM dense_embedding_space WHERE len(document_vector) = 192
           UNION ALL SELECT 'sbert', issue_id, embedding FROM sbert_embedding_space WHERE len(embedding) = 64),
         usable AS (SELECT space_name, issue_id, min(v)::DOUBLE[] AS v FROM raw WHERE len(list_filter(v, lambda x: isnan(x) OR x IS NULL)) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
         scored AS (SELECT a.space_name, a.issue_id AS id, b.issue_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS s
           FROM usable a JOIN usable b ON a.space_name = b.space_name AND a.issue_id <> b.issue_id),
-        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY space_name, id ORDER BY s DESC, other) AS rn FROM scored) WHERE rn <= 3 AND s >= 0.85)
-        SELECT DISTINCT space_name, least(id, other) AS left_issue_id, greatest(id, other) AS right_issue_id FROM best""",
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY space_name, id ORDER BY s DESC, other) AS rn FROM scored) WHERE rn <= 3)
+        """
+_P10 = """
+        WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+        windows AS (SELECT doc_id, i, md5(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM docs)),
+        shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        starts AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM windows WHERE h IN (SELECT h FROM shared)),
+        runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+        spans AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM runs GROUP BY doc_id, run)
+        """
+
+SQL = {
+    "p6_neighbours": _P6 + "SELECT space_name AS space, id, other, s AS similarity, rn AS rank FROM best",
+    "p10_found": _P10 + "SELECT doc_id, span_start, span_end FROM spans",
+    "p10_shared_parts": _P10 + """, own AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY 1)
+        SELECT doc_id, length(text) AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text), 6) END AS shared_part
+        FROM (SELECT DISTINCT doc_id, text FROM documents) LEFT JOIN own USING (doc_id)""",
+    "p6_found": _P6 + "SELECT DISTINCT space_name, least(id, other) AS left_issue_id, greatest(id, other) AS right_issue_id FROM best WHERE s >= 0.85",
     "p3_found": _P3 + """SELECT DISTINCT least(a.issue_id, b.issue_id) AS left_issue_id, greatest(a.issue_id, b.issue_id) AS right_issue_id
         FROM (SELECT c, d FROM near UNION ALL SELECT c, c FROM classes) n JOIN member a ON a.c = n.c JOIN member b ON b.c = n.d WHERE a.issue_id <> b.issue_id""",
     "p3_classes": _P3 + """, links AS (SELECT c, count(*) AS n_links FROM near GROUP BY c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.functions.text import let
 from ticketloom.storage import materialize
 
 #: Distinct values of one score of one group that one task may sort; larger groups are cut at their own quantiles.
@@ -61,17 +62,13 @@ def positions(scores: DataFrame, group: list[str], value: str = "value") -> Data
 
 def weighted_median(pairs: Column) -> Column:
     """Lower weighted median of an array of struct(position, weight): the smallest position at which half the weight is reached."""
-    ordered = F.array_sort(pairs)
     half = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["weight"]) / 2
     start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("bigint").alias("median"))
-    return F.aggregate(
-        ordered, start,
-        lambda a, p: F.struct(
-            (a["seen"] + p["weight"]).alias("seen"),
-            F.when(a["median"].isNull() & (a["seen"] + p["weight"] >= half), p["position"]).otherwise(a["median"]).alias("median"),
-        ),
-        lambda a: a["median"],
+    step = lambda h: lambda a, p: F.struct(
+        (a["seen"] + p["weight"]).alias("seen"),
+        F.when(a["median"].isNull() & (a["seen"] + p["weight"] >= h), p["position"]).otherwise(a["median"]).alias("median"),
     )
+    return let(half, lambda h: F.aggregate(F.array_sort(pairs), start, step(h), lambda a: a["median"]))
 
 
 def aggregate_ranks(items: DataFrame, group: list[str], item: str, weights: dict[str, float]) -> DataFrame:
