@@ -58,6 +58,54 @@ NEURAL_TEXTS = {
     "component_overlap": "component metadata points to the same subsystem",
     "project_match": "both issues belong to the same project",
 }
+#: The rules that explain a score, each a condition with its text, and the text if none holds.
+RULES: dict[str, tuple[tuple[tuple[str, str], ...], str]] = {
+    "random-indexing-dense": ((
+        ("dense_cosine >= 0.16", "dense semantic embeddings found a close meaning-level match"),
+        ("title_ngram >= 0.10", "title wording is also similar"),
+        ("description_overlap >= 0.08", "description text overlaps as well"),
+    ), "dense semantic similarity was the primary ranking signal"),
+    "sbert-dense": ((
+        ("sbert_cosine >= 0.72", "SBERT embeddings found a strong semantic duplicate signal"),
+        ("sbert_cosine >= 0.58 AND sbert_cosine < 0.72", "SBERT embeddings found moderate semantic similarity"),
+        ("bm25_plus >= 0.22", "sparse lexical evidence also supports the pair"),
+        ("title_ngram >= 0.10", "title wording is aligned"),
+    ), "SBERT semantic similarity was the main ranking signal"),
+    "graph-metadata-aware": ((
+        ("graph_context >= 0.12", "graph neighbors connected to similar issues support this match"),
+        ("metadata_alignment >= 0.22", "project, component, and issue metadata align closely"),
+        ("dense_cosine >= 0.16", "semantic embeddings also place the issues close together"),
+        ("bm25_plus >= 0.22", "sparse lexical evidence is still strong"),
+    ), "graph and metadata evidence suggests only a weak connection"),
+    "llm-e5-large": ((
+        ("llm_embedding_cosine >= 0.65", "transformer embeddings found a strong semantic match"),
+        ("title_ngram >= 0.12", "title wording is also closely aligned"),
+        ("description_overlap >= 0.08", "description overlap further supports the match"),
+    ), "transformer semantic similarity was the main ranking signal"),
+    "llm-e5-cross-reranker": ((
+        ("llm_cross_score >= 0.70", "cross-encoder judged this pair as a strong duplicate candidate"),
+        ("llm_cross_score >= 0.55 AND llm_cross_score < 0.70", "cross-encoder found moderate duplicate evidence"),
+        ("llm_cross_score < 0.55", "cross-encoder found weak duplicate evidence"),
+        ("llm_embedding_cosine >= 0.65", "embedding retrieval also supports this candidate"),
+    ), "cross-encoder found weak duplicate evidence"),
+}
+#: The judge's explanations; {score} is its clamped score. The last table is for matches without any, by least score.
+JUDGE_RULES = (
+    ("dense_cosine >= 0.20 AND bm25_plus >= 0.25", "rag-style reasoning found both semantic and lexical evidence for the same issue"),
+    ("dense_cosine >= 0.20 AND bm25_plus < 0.25", "rag-style reasoning found a strong meaning-level match"),
+    ("dense_cosine < 0.20 AND bm25_plus >= 0.25", "rag-style reasoning found strong textual overlap"),
+    ("project_match >= 1 OR component_overlap >= 0.2 OR metadata_alignment >= 0.35", "retrieved project and component context supports the match"),
+    ("title_ngram >= 0.12 OR description_overlap >= 0.10", "the retrieved issue language closely matches the new report"),
+    ("retrieval_confidence < 0.12 AND {score} < 0.45", "retrieved evidence is thin, so the match should be reviewed carefully"),
+)
+JUDGE_OTHERWISE = (
+    (0.55, "rag-style reasoning found moderate duplicate evidence across the retrieved context"),
+    (0.35, "rag-style reasoning found this issue related, but not strongly confirmed as a duplicate"),
+    (0.0, "rag-style reasoning found only weak support for this candidate"),
+)
+#: What the fitted models say when no feature stands out; the network's first text is for scores of 0.5 and more.
+LOGISTIC_OTHERWISE = "the engineered feature model found a moderate overall match"
+NEURAL_OTHERWISE = ("the neural duplicate classifier found a strong overall pairwise match", "the neural duplicate classifier found only weak duplicate evidence")
 
 
 def weighted_sum(weights: Mapping[str, float]) -> Column:
@@ -90,44 +138,18 @@ def linear(weights: Mapping[str, float], threshold: float = 0.08) -> Reranker:
     return run
 
 
-def _by_rules(weights: Mapping[str, float], rules: Sequence[tuple[str, float, float | None, str]], otherwise: str) -> Reranker:
-    """rules: (feature, at least, below, text); below None is no upper bound."""
+def _by_rules(model: str) -> Reranker:
+    """Clamped weighted sum with the reasons of RULES."""
+    table, otherwise = RULES[model]
 
     def run(pairs: DataFrame) -> DataFrame:
-        conditions = [((F.col(n) >= lo) if hi is None else (F.col(n) >= lo) & (F.col(n) < hi), t) for n, lo, hi, t in rules]
-        return pairs.withColumn("score", F.round(clamp(weighted_sum(weights)), 6)).withColumn("reasons", rule_reasons(conditions, F.lit(otherwise)))
+        conditions = [(F.expr(c), t) for c, t in table]
+        return pairs.withColumn("score", F.round(clamp(weighted_sum(LINEAR_WEIGHTS[model])), 6)).withColumn("reasons", rule_reasons(conditions, F.lit(otherwise)))
 
     return run
 
 
-dense = _by_rules(LINEAR_WEIGHTS["random-indexing-dense"], [
-    ("dense_cosine", 0.16, None, "dense semantic embeddings found a close meaning-level match"),
-    ("title_ngram", 0.10, None, "title wording is also similar"),
-    ("description_overlap", 0.08, None, "description text overlaps as well"),
-], "dense semantic similarity was the primary ranking signal")
-sbert = _by_rules(LINEAR_WEIGHTS["sbert-dense"], [
-    ("sbert_cosine", 0.72, None, "SBERT embeddings found a strong semantic duplicate signal"),
-    ("sbert_cosine", 0.58, 0.72, "SBERT embeddings found moderate semantic similarity"),
-    ("bm25_plus", 0.22, None, "sparse lexical evidence also supports the pair"),
-    ("title_ngram", 0.10, None, "title wording is aligned"),
-], "SBERT semantic similarity was the main ranking signal")
-graph = _by_rules(LINEAR_WEIGHTS["graph-metadata-aware"], [
-    ("graph_context", 0.12, None, "graph neighbors connected to similar issues support this match"),
-    ("metadata_alignment", 0.22, None, "project, component, and issue metadata align closely"),
-    ("dense_cosine", 0.16, None, "semantic embeddings also place the issues close together"),
-    ("bm25_plus", 0.22, None, "sparse lexical evidence is still strong"),
-], "graph and metadata evidence suggests only a weak connection")
-e5 = _by_rules(LINEAR_WEIGHTS["llm-e5-large"], [
-    ("llm_embedding_cosine", 0.65, None, "transformer embeddings found a strong semantic match"),
-    ("title_ngram", 0.12, None, "title wording is also closely aligned"),
-    ("description_overlap", 0.08, None, "description overlap further supports the match"),
-], "transformer semantic similarity was the main ranking signal")
-cross = _by_rules(LINEAR_WEIGHTS["llm-e5-cross-reranker"], [
-    ("llm_cross_score", 0.70, None, "cross-encoder judged this pair as a strong duplicate candidate"),
-    ("llm_cross_score", 0.55, 0.70, "cross-encoder found moderate duplicate evidence"),
-    ("llm_cross_score", float("-inf"), 0.55, "cross-encoder found weak duplicate evidence"),
-    ("llm_embedding_cosine", 0.65, None, "embedding retrieval also supports this candidate"),
-], "cross-encoder found weak duplicate evidence")
+dense, sbert, graph, e5, cross = (_by_rules(m) for m in ("random-indexing-dense", "sbert-dense", "graph-metadata-aware", "llm-e5-large", "llm-e5-cross-reranker"))
 
 
 def judge_score(penalty: float = 0.08) -> Column:
@@ -145,22 +167,10 @@ def judge_score(penalty: float = 0.08) -> Column:
 
 
 def judge(pairs: DataFrame, penalty: float = 0.08) -> DataFrame:
-    c = F.col
+    """The judge's score with the reasons of JUDGE_RULES."""
     scored = pairs.withColumn("__s", clamp(judge_score(penalty)))
-    semantic, sparse = c("dense_cosine") >= 0.20, c("bm25_plus") >= 0.25
-    rules = [
-        (semantic & sparse, "rag-style reasoning found both semantic and lexical evidence for the same issue"),
-        (semantic & ~sparse, "rag-style reasoning found a strong meaning-level match"),
-        (~semantic & sparse, "rag-style reasoning found strong textual overlap"),
-        ((c("project_match") >= 1) | (c("component_overlap") >= 0.2) | (c("metadata_alignment") >= 0.35), "retrieved project and component context supports the match"),
-        ((c("title_ngram") >= 0.12) | (c("description_overlap") >= 0.10), "the retrieved issue language closely matches the new report"),
-        ((c("retrieval_confidence") < 0.12) & (c("__s") < 0.45), "retrieved evidence is thin, so the match should be reviewed carefully"),
-    ]
-    otherwise = (
-        F.when(c("__s") >= 0.55, "rag-style reasoning found moderate duplicate evidence across the retrieved context")
-        .when(c("__s") >= 0.35, "rag-style reasoning found this issue related, but not strongly confirmed as a duplicate")
-        .otherwise("rag-style reasoning found only weak support for this candidate")
-    )
+    rules = [(F.expr(c.format(score="__s")), t) for c, t in JUDGE_RULES]
+    otherwise = F.coalesce(*[F.when(F.col("__s") >= least, F.lit(t)) for least, t in JUDGE_OTHERWISE])
     return scored.withColumn("score", F.round("__s", 6)).withColumn("reasons", rule_reasons(rules, otherwise)).drop("__s")
 
 
@@ -170,7 +180,7 @@ def logistic(weights: Mapping[str, float], bias: float, threshold: float = 0.06)
 
     def run(pairs: DataFrame) -> DataFrame:
         found = ranked_reasons(texts, lambda n: F.col(n) * weights[n], lambda n: F.col(n) * weights[n] > threshold)
-        reasons = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("the engineered feature model found a moderate overall match")))
+        reasons = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(LOGISTIC_OTHERWISE)))
         return pairs.withColumn("score", F.round(sigmoid(F.lit(bias) + weighted_sum(weights)), 6)).withColumn("reasons", reasons)
 
     return run
@@ -190,7 +200,7 @@ def neural(names: Sequence[str], hidden, hidden_bias, out, out_bias, threshold:
     def run(pairs: DataFrame) -> DataFrame:
         scored = pairs.withColumn("score", F.round(mlp_probability(names, hidden, hidden_bias, out, out_bias), 6))
         found = ranked_reasons({n: t for n, t in NEURAL_TEXTS.items() if n in names}, F.col, lambda n: F.col(n) >= threshold)
-        weak = F.when(F.col("score") >= 0.5, "the neural duplicate classifier found a strong overall pairwise match").otherwise("the neural duplicate classifier found only weak duplicate evidence")
+        weak = F.when(F.col("score") >= 0.5, NEURAL_OTHERWISE[0]).otherwise(NEURAL_OTHERWISE[1])
         return scored.withColumn("reasons", F.when(F.size(found) > 0, found).otherwise(F.array(weak)))
 
     return run

@@ -230,7 +230,6 @@ _FUSED = _W + O.lexical() + ", " + O.fused(POOL)
 _EVIDENCE = "round((project_match + component_overlap + issue_type_match) / 3, 4) AS metadata_alignment, round((dense_cosine + bm25_plus) / 2 + 1e-9, 4) AS semantic_lexical_agreement, round((candidate_seed + dense_cosine + bm25_plus) / 3, 4) AS retrieval_confidence"
 _GRAPH_POOL = ", ".join([O.EDGES, O.METADATA, O.GRAPH_SEEDS, O.PROPAGATED, "combined AS (SELECT qid, issue_id, sum(s) AS s FROM (SELECT * FROM seeds UNION ALL SELECT * FROM spread) GROUP BY 1, 2)", O.pool("graph_pool", "combined", "s", POOL)])
 _SEVEN = "round((project_match + issue_type_match + priority_match + status_match + component_overlap + affected_version_overlap + fix_version_overlap) / 7, 4) AS metadata_alignment, round(coalesce(graph_context, 0), 4) AS graph_context, round(least(1.0, seed), 4) AS graph_seed"
-_JUDGE_OTHERWISE = "CASE WHEN JS >= 0.55 THEN 'rag-style reasoning found moderate duplicate evidence across the retrieved context' WHEN JS >= 0.35 THEN 'rag-style reasoning found this issue related, but not strongly confirmed as a duplicate' ELSE 'rag-style reasoning found only weak support for this candidate' END"
 _E5_SOURCE = "(SELECT *, round(greatest(0, least(1, (seed + 1) / 2)), 4) AS llm_embedding_cosine FROM features)"
 
 
@@ -253,20 +252,14 @@ def _fixed(model: str) -> str:
     else:
         head, source = ", ".join([_FUSED, _GRAPH_POOL, O.features("graph_pool", "dense"), O.context("graph_pool")]), f"(SELECT f.* , {_SEVEN} FROM features f LEFT JOIN context USING (qid, issue_id))"
     score = O.JUDGE_SCORE if model == "rag-hybrid-judge" else O.linear_score(model)
-    reasons = {
-        "random-indexing-dense": lambda: O.rules([("dense_cosine >= 0.16", "dense semantic embeddings found a close meaning-level match"), ("title_ngram >= 0.10", "title wording is also similar"), ("description_overlap >= 0.08", "description text overlaps as well")], "'dense semantic similarity was the primary ranking signal'"),
-        "sbert-dense": lambda: O.rules([("sbert_cosine >= 0.72", "SBERT embeddings found a strong semantic duplicate signal"), ("sbert_cosine >= 0.58 AND sbert_cosine < 0.72", "SBERT embeddings found moderate semantic similarity"), ("bm25_plus >= 0.22", "sparse lexical evidence also supports the pair"), ("title_ngram >= 0.10", "title wording is aligned")], "'SBERT semantic similarity was the main ranking signal'"),
-        "llm-e5-large": lambda: O.rules([("llm_embedding_cosine >= 0.65", "transformer embeddings found a strong semantic match"), ("title_ngram >= 0.12", "title wording is also closely aligned"), ("description_overlap >= 0.08", "description overlap further supports the match")], "'transformer semantic similarity was the main ranking signal'"),
-        "graph-metadata-aware": lambda: O.rules([("graph_context >= 0.12", "graph neighbors connected to similar issues support this match"), ("metadata_alignment >= 0.22", "project, component, and issue metadata align closely"), ("dense_cosine >= 0.16", "semantic embeddings also place the issues close together"), ("bm25_plus >= 0.22", "sparse lexical evidence is still strong")], "'graph and metadata evidence suggests only a weak connection'"),
-        "rag-hybrid-judge": lambda: O.rules([
-            ("dense_cosine >= 0.20 AND bm25_plus >= 0.25", "rag-style reasoning found both semantic and lexical evidence for the same issue"),
-            ("dense_cosine >= 0.20 AND NOT bm25_plus >= 0.25", "rag-style reasoning found a strong meaning-level match"),
-            ("NOT dense_cosine >= 0.20 AND bm25_plus >= 0.25", "rag-style reasoning found strong textual overlap"),
-            ("project_match >= 1 OR component_overlap >= 0.2 OR metadata_alignment >= 0.35", "retrieved project and component context supports the match"),
-            ("title_ngram >= 0.12 OR description_overlap >= 0.10", "the retrieved issue language closely matches the new report"),
-            (f"retrieval_confidence < 0.12 AND ({O.JUDGE_SCORE}) < 0.45", "retrieved evidence is thin, so the match should be reviewed carefully"),
-        ], _JUDGE_OTHERWISE.replace("JS", f"({O.JUDGE_SCORE})")),
-    }.get(model, lambda: O.linear_reasons(model, 0.05 if model == "hybrid-sparse-dense" else 0.08))()
+    if model in R.RULES:
+        table_, otherwise = R.RULES[model]
+        reasons = O.rules(list(table_), f"'{otherwise}'")
+    elif model == "rag-hybrid-judge":
+        bands = "coalesce(" + ", ".join(f"CASE WHEN {O.JUDGE_SCORE} >= {least} THEN '{t}' END" for least, t in R.JUDGE_OTHERWISE) + ")"
+        reasons = O.rules([(c.format(score=f"({O.JUDGE_SCORE})"), t) for c, t in R.JUDGE_RULES], bands)
+    else:
+        reasons = O.linear_reasons(model, 0.05 if model == "hybrid-sparse-dense" else 0.08)
     return head + ", " + O.ranked(score, source, 10, f", {reasons} AS reasons")
 
 
