@@ -37,7 +37,7 @@ def overlap(a: str, b: str) -> str:
 
 
 def match(a: str, b: str) -> str:
-    return f"CASE WHEN {a} = {b} AND {a} <> '' THEN 1.0 ELSE 0.0 END"
+    return f"CASE WHEN {a} = {b} AND {a} <> '' THEN 1.0::DOUBLE ELSE 0.0 END"
 
 
 def clamp(x: str) -> str:

@@ -525,7 +525,7 @@ def _(spark, d):
     return back.select("issue_id", "issue_key", "title", F.array_join("components", "||").alias("components"), F.size("comments").cast("bigint").alias("n_comments"), F.array_join(F.col("duplicate_issue_ids").cast("array<string>"), ",").alias("duplicates"))
 
 
-@query("q_search_view", _W + "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY loaded_at DESC NULLS LAST, coalesce(status, '') DESC, coalesce(title, '') DESC) AS rn FROM tawos_issue_search_document) WHERE rn = 1) SELECT coalesce(project_key, '') AS project_key, count(*) AS n_issues, count_if(coalesce(description_text, '') = '') AS n_without_text FROM latest GROUP BY 1")
+@query("q_search_view", _W + "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY loaded_at DESC NULLS LAST, coalesce(status, '') DESC, coalesce(title, '') DESC) AS rn FROM tawos_issue_search_document) WHERE rn = 1) SELECT coalesce(project_key, '') AS project_key, count(*) AS n_issues, count_if(coalesce(description_text, '') = '')::BIGINT AS n_without_text FROM latest GROUP BY 1")
 def _(spark, d):
     """The search view (nulls as empty texts) over the newest row of every tracked record, read back with SQL."""
     S.search_view(S.latest(table(spark, d, "tawos_issue_search_document"), "loaded_at"), "issue_search")
