@@ -177,5 +177,5 @@ def near_duplicate_classes(records: DataFrame, id_col: str, text, threshold: flo
     classes = word_classes(records, id_col, text, min_words)
     pairs = materialize(similar_classes(classes, threshold), "pairs")
     ends = pairs.select(F.explode(F.array("left_rep", "right_rep")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    rows = classes.select("rep", "class_id", F.size("members").alias("n_members"), F.explode("members").alias("issue_id"))
+    rows = classes.select("rep", "class_id", F.size("members").cast("bigint").alias("n_members"), F.explode("members").alias("issue_id"))
     return rows.join(ends, "rep", "left").select("issue_id", "class_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
