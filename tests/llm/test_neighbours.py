@@ -58,6 +58,28 @@ def test_ties_go_to_the_smaller_id(spark):
     assert sorted(got[30]) == [1, 2, 3] and sorted(got[1]) == [2, 3, 4]
 
 
+@pytest.mark.parametrize("scaled", [False, True])
+def test_more_ties_than_the_beam_holds(spark, scaled):
+    n, rng = 6000, np.random.default_rng(8)
+    copies = rng.random(n) < 0.33
+    scale = 1 + rng.random(n) if scaled else np.ones(n)
+    m = np.where(copies[:, None], clustered(40, 16, 3)[0] * scale[:, None], clustered(n, 16, 4)).astype(np.float32)
+    rows = [(k, m[k].tolist()) for k in range(n)]
+    got = {}
+    for r in N.nearest([N.usable_vectors(table(spark, rows), "issue_id", "vec", 16, "s")], 3, shards=2).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.other, r.similarity))
+    same = np.flatnonzero(copies)
+    assert all(got[i] == [(j, 1.0) for j in same[:4] if j != i][:3] for i in same)
+    u = m / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    asked = np.flatnonzero(~copies)[::40]
+    hits = 0
+    for i in asked:
+        s = np.round(u @ u[i], 6)
+        s[i] = -2
+        hits += len({o for o, _ in got[i]} & set(np.lexsort((np.arange(n), -s))[:3]))
+    assert hits >= 0.95 * 3 * len(asked)
+
+
 def test_small_and_empty_spaces(spark):
     none = N.usable_vectors(table(spark, []), "issue_id", "vec", 2, "a")
     one = N.usable_vectors(table(spark, [(1, [1.0, 2.0])]), "issue_id", "vec", 2, "b")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.storage import materialize
+
 #: Shards of a collection; more where a shard would exceed SHARD_ROWS.
 SHARDS = 8
 SHARD_ROWS = 200_000
@@ -18,6 +20,10 @@ LINKS, BASE_LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 24, 40, 56
 BATCH = 512
 #: Beam entries expanded in one step of the walk.
 EXPAND = 4
+#: Similarities that a comparison with a whole shard holds at once.
+SCAN_CELLS = 4_000_000
+#: In a row of ids: no more ids.
+NONE = np.iinfo(np.int64).max
 
 
 class Graph:
@@ -163,20 +169,56 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def _padded(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of at most `width` ids as rows filled up with NONE."""
+    n = np.diff(column.offsets.to_numpy())
+    out = np.full((len(n), width), NONE, np.int64)
+    out[np.arange(width) < n[:, None]] = column.flatten().to_numpy()
+    return out
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     m = m.astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _answers(graph: Graph, exact: np.ndarray, own: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, id, similarity rounded to 6 decimals) of the k most similar others in the shard, by rounded similarity, then smaller id."""
+def _scan(queries: np.ndarray, exact: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, rounded similarities) of the k most similar others of each query among all rows of the shard, by similarity, then id (-1, -inf: none left)."""
+    at, best = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf)
+    step = max(1, SCAN_CELLS // len(own))
+    for a in range(0, len(queries), step):
+        s = np.round(queries[a:a + step] @ exact.T, 6)
+        s[own == ids[a:a + step, None]] = -np.inf
+        for r, row in enumerate(s, a):
+            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+            near = near[np.isfinite(row[near])]
+            near = near[np.lexsort((own[near], -row[near]))][:k]
+            at[r, :len(near)], best[r, :len(near)] = near, row[near]
+    return at, best
+
+
+def _answers(graph: Graph, exact: np.ndarray, own: np.ndarray, members: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, id, similarity rounded to 6 decimals) of the k most similar members of other classes in the shard, by rounded similarity, then smaller id.
+
+    own holds the smallest id of each class of the shard, members its smallest ids (NONE: no more). The walk keeps an
+    arbitrary part of what is equally similar; where that could reach the best k, the whole shard is compared.
+    """
     rows, others, sims = [], [], []
     for a in range(0, len(queries), BATCH):
-        q = queries[a:a + BATCH]
+        q, asking = queries[a:a + BATCH], ids[a:a + BATCH]
         near, _ = graph.search(q.astype(np.float32), beam)
         s = np.round(np.einsum("qd,qcd->qc", q, exact[np.maximum(near, 0)]), 6)
         other = own[np.maximum(near, 0)]
-        s = np.where((near >= 0) & (other != ids[a:a + BATCH, None]), s, -np.inf)
+        s = np.where((near >= 0) & (other != asking[:, None]), s, -np.inf)
+        last = np.where(np.isfinite(s), s, np.inf).min(axis=1)
+        # Classes by their smallest id: the k best ids are members of the k best classes.
+        order = np.lexsort((other, -s), axis=1)[:, :k]
+        s, near = np.take_along_axis(s, order, 1), np.take_along_axis(near, order, 1)
+        tied = np.flatnonzero((s[:, -1] <= last) & (len(own) > beam))
+        if len(tied):
+            near[tied, :], s[tied, :] = _scan(q[tied], exact, own, asking[tied], s.shape[1])
+        other = members[np.maximum(near, 0)].reshape(len(q), -1)
+        s = np.where(other == NONE, -np.inf, np.repeat(s, members.shape[1], axis=1))
         order = np.lexsort((other, -s), axis=1)[:, :k]
         s, other = np.take_along_axis(s, order, 1), np.take_along_axis(other, order, 1)
         r, c = np.nonzero(np.isfinite(s))
@@ -193,7 +235,7 @@ def _per_shard(k: int, beam: int):
     """Over rows sorted by (slot, is_query): builds the graph of each shard from its index rows, then answers its queries as they stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, ids, vecs, graph, exact, own = None, [], [], None, None, None
+        slot, ids, lists, vecs, graph, exact, own, members = None, [], [], [], None, None, None, None
         for b in batches:
             slots = b.column("slot").to_numpy()
             asks = b.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
@@ -201,20 +243,21 @@ def _per_shard(k: int, beam: int):
             for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
                 part = b.slice(int(lo), int(hi - lo))
                 if slots[lo] != slot:
-                    slot, ids, vecs, graph = slots[lo], [], [], None
+                    slot, ids, lists, vecs, graph = slots[lo], [], [], [], None
                 own_ids = part.column("id").to_numpy()
                 m = _unit(_matrix(part.column("vector"), len(part.column("vector")[0])))
                 if not asks[lo]:
                     ids.append(own_ids)
+                    lists.append(_padded(part.column("ids"), k + 1))
                     vecs.append(m)
                     continue
                 if graph is None:
                     if not ids:
                         continue
-                    own, exact = np.concatenate(ids), np.concatenate(vecs)
-                    vecs = []
+                    own, members, exact = np.concatenate(ids), np.concatenate(lists), np.concatenate(vecs)
+                    lists, vecs = [], []
                     graph = Graph(exact.astype(np.float32))
-                rows, others, sims = _answers(graph, exact, own, own_ids, m, k, beam)
+                rows, others, sims = _answers(graph, exact, own, members, own_ids, m, k, beam)
                 yield pa.RecordBatch.from_arrays([part.column("space").take(pa.array(rows)), pa.array(own_ids[rows]), pa.array(others), pa.array(sims)], schema=_OUT)
 
     return run
@@ -234,29 +277,49 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, dimension: int
     )
 
 
-def nearest(spaces: list[DataFrame], k: int, shards: int = SHARDS, beam: int = SEARCH_BEAM) -> DataFrame:
-    """space, id, other, similarity: for every vector the k most similar others of its space (cosine rounded to 6 decimals, then the smaller id).
+def equal_classes(rows: DataFrame, n_ids: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows of usable_vectors: (space, id, vector, ids) of every distinct vector with the smallest id and the n_ids smallest that have it; (space, class, id) of all rows."""
+    first = rows.groupBy("space", "vector").agg(F.min("id").alias("class"))
+    members = materialize(rows.join(first, ["space", "vector"]).select("space", "class", "id"), "members")
+    least = members.withColumn("place", F.row_number().over(Window.partitionBy("space", "class").orderBy("id"))).where(F.col("place") <= n_ids)
+    ids = least.groupBy("space", "class").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = rows.withColumnRenamed("id", "class").join(ids, ["space", "class"])
+    return materialize(classes.select("space", F.col("class").alias("id"), "vector", "ids"), "classes"), members
 
-    spaces are tables of usable_vectors. Each space is cut into shards by a hash of the id; one task per shard builds
-    the graph from its rows and answers all vectors of the space, which pass by as a stream, so a task holds one shard
-    only. The best k over all shards remain. Approximate: a neighbour is missed if the walk of its shard misses it;
-    the similarities are exact. Spaces of one vector or none give no rows.
+
+def nearest(spaces: list[DataFrame], k: int, shards: int = SHARDS, beam: int = SEARCH_BEAM) -> DataFrame:
+    """space, id, other, similarity, rank: for every vector the k most similar others of its space (cosine rounded to 6 decimals, then the smaller id).
+
+    spaces are tables of usable_vectors. Equal vectors make one class, which is indexed and asked for once. The classes
+    of a space are cut into shards by a hash of the id; one task per shard builds the graph from its rows and answers
+    all classes of the space, which pass by as a stream, so a task holds one shard only. A class's best over all shards
+    and its own smallest ids, one more than k, give the answer of every member, itself left out. Approximate: a
+    neighbour is missed if the walk of its shard misses it; the similarities are exact, and so are ties. Spaces of one
+    vector or none give no rows.
     """
-    parts, first = [], 0
-    for rows in spaces:
-        n = max(shards, -(-rows.count() // SHARD_ROWS))
-        place = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") + first
-        index = rows.withColumn("slot", place).withColumn("is_query", F.lit(False))
-        asks = rows.withColumn("slot", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1)))).withColumn("is_query", F.lit(True))
-        parts.append(index.unionByName(asks))
+    rows = spaces[0]
+    for s in spaces[1:]:
+        rows = rows.unionByName(s)
+    classes, members = equal_classes(rows, k + 1)
+    place, first = F.lit(None).cast("int"), 0
+    firsts = F.lit(None).cast("array<int>")
+    for r in classes.groupBy("space").count().orderBy("space").collect():
+        n = max(shards, -(-r["count"] // SHARD_ROWS))
+        here = F.col("space") == r["space"]
+        place = F.when(here, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") + first).otherwise(place)
+        firsts = F.when(here, F.sequence(F.lit(first), F.lit(first + n - 1))).otherwise(firsts)
         first += n
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    placed = both.repartitionById(first, F.col("slot")).sortWithinPartitions("slot", "is_query", "id")
-    found = placed.select("slot", "is_query", "space", "id", "vector").mapInArrow(_per_shard(k, beam), "space string, id long, other long, similarity double")
+    index = classes.withColumn("slot", place).withColumn("is_query", F.lit(False))
+    asks = classes.withColumn("ids", F.lit(None).cast("array<long>")).withColumn("slot", F.explode(firsts)).withColumn("is_query", F.lit(True))
+    placed = index.unionByName(asks).repartitionById(max(first, 1), F.col("slot")).sortWithinPartitions("slot", "is_query", "id")
+    found = placed.select("slot", "is_query", "space", "id", "vector", "ids").mapInArrow(_per_shard(k, beam), "space string, id long, other long, similarity double")
+    found = found.unionByName(classes.select("space", "id", F.explode("ids").alias("other"), F.lit(1.0).alias("similarity")))
     best = Window.partitionBy("space", "id").orderBy(F.desc("similarity"), "other")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    lists = found.groupBy("space", F.col("id").alias("class")).agg(F.array_sort(F.collect_list(F.struct("place", "other", "similarity"))).alias("found"))
+    others = F.slice(F.filter("found", lambda f: f["other"] != F.col("id")), 1, k)
+    out = members.join(lists, ["space", "class"]).select("space", "id", F.posexplode(others).alias("at", "f"))
+    return out.select("space", "id", "f.other", "f.similarity", (F.col("at") + 1).alias("rank"))
 
 
 def similar_pairs(neighbours: DataFrame, least: float) -> DataFrame:
