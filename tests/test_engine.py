@@ -114,6 +114,17 @@ def test_training_pairs_and_models(engine, spark):
     assert L.fit_logistic(nothing, ["x"]).bias == -1.5 and L.fit_mlp(nothing, ["x"]).out_bias == -1
 
 
+@pytest.mark.parametrize("model", ["logreg-engineered", "pairwise-neural-mlp"])
+def test_training_pool_grows_with_the_positives(spark, model):
+    """A hub of 25 links is trained with its 100 best candidates, though a search keeps 20."""
+    rows = [{"issue_id": 1000, "title": "cache ledger", "linked_issue_ids": list(range(800, 825))}]
+    rows += [{"issue_id": k, "title": "printer folder"} for k in range(200)] + [{"issue_id": k, "title": "cache ledger " + "queue " * (k % 7)} for k in range(700, 900)]
+    s = Engine(issues(spark, rows), pool=20).session(spark.createDataFrame([(1000,)], "qid long"))
+    negatives = s.training(model).where("label = 0").select("issue_id", "seed").collect()
+    ranked = sum(r.issue_id >= 700 and r.seed > 0 for r in negatives)
+    assert len(negatives) == 100 and ranked >= 100 - 25 - 1
+
+
 def test_evaluate_and_suites(engine):
     got = engine.evaluate("duplicates", ["bm25", "logreg-engineered"], sample_size=6, top_k_values=(1, 5), folds=2).collect()
     assert {r.model for r in got} == {"bm25", "logreg-engineered"} and all(0 <= r.value <= 1 for r in got)

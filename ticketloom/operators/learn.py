@@ -11,24 +11,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEGATIVES_PER_POSITIVE = 4
+#: Candidates of a query among which its negatives are looked for: this many, or 4 for each positive where that is more.
+TRAINING_POOL, POOL_PER_POSITIVE = 80, 4
 #: Rows that the single-task network trainer takes at most; training pairs beyond it are an even sample by hash.
 MLP_ROWS = 200_000
 
 
-def training_pairs(prepared: DataFrame, candidates: DataFrame, per_positive: int = NEGATIVES_PER_POSITIVE, holdout: DataFrame | None = None) -> DataFrame:
+def related_pairs(prepared: DataFrame, holdout: DataFrame | None = None) -> DataFrame:
+    """(qid, issue_id): the linked and duplicate records of every record that are in the corpus; holdout (issue_id) on neither side."""
+    ids = prepared.select("issue_id")
+    if holdout is not None:
+        ids = ids.join(holdout.select("issue_id"), "issue_id", "left_anti")
+    related = prepared.select(F.col("issue_id").alias("qid"), F.explode(F.array_union("linked_issue_ids", "duplicate_issue_ids")).alias("issue_id")).where("qid <> issue_id")
+    return related.join(ids, "issue_id", "left_semi").join(ids.withColumnRenamed("issue_id", "qid"), "qid", "left_semi").select("qid", "issue_id").distinct()
+
+
+def pool_sizes(related: DataFrame) -> DataFrame:
+    """(qid, pool): how many candidates of each query its negatives are looked for among."""
+    return related.groupBy("qid").agg(F.greatest(F.lit(TRAINING_POOL), F.count("*") * POOL_PER_POSITIVE).alias("pool"))
+
+
+def training_pairs(prepared: DataFrame, candidates: DataFrame, per_positive: int = NEGATIVES_PER_POSITIVE, holdout: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """(qid, issue_id, seed, label): every labelled query's related records (label 1) and its hardest other candidates (label 0).
 
     Negatives are the query's candidates by rank, then the corpus by ascending id, per_positive for each positive.
-    holdout (issue_id): records that appear on neither side. Positives outside the candidates have seed 0.
+    holdout (issue_id): records that appear on neither side. Positives outside the candidates have seed 0; with seeds
+    (qid, issue_id, seed), those outside of it.
     """
     ids = prepared.select("issue_id")
     if holdout is not None:
         ids = ids.join(holdout.select("issue_id"), "issue_id", "left_anti")
-    related = prepared.select(F.col("issue_id").alias("qid"), F.explode(F.array_union("linked_issue_ids", "duplicate_issue_ids")).alias("issue_id")).where("qid <> issue_id")
-    related = related.join(ids, "issue_id", "left_semi").join(ids.withColumnRenamed("issue_id", "qid"), "qid", "left_semi").select("qid", "issue_id").distinct()
+    related = related_pairs(prepared, holdout)
     need = related.groupBy("qid").agg((F.count("*") * per_positive).alias("need"))
     pool = candidates.select("qid", "issue_id", "seed", "rank").join(ids, "issue_id", "left_semi")
-    positive = related.join(pool, ["qid", "issue_id"], "left").select("qid", "issue_id", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.lit(1).alias("label"))
+    known = (candidates if seeds is None else seeds).select("qid", "issue_id", "seed")
+    positive = related.join(known, ["qid", "issue_id"], "left").select("qid", "issue_id", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.lit(1).alias("label"))
     hard = pool.join(need, "qid").where("qid <> issue_id").join(related, ["qid", "issue_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy("rank")
     hard = hard.withColumn("place", F.row_number().over(order)).where("place <= need")

@@ -110,8 +110,9 @@ class Session:
         """Scores of all pairs that share a term; never written whole, only pools cut from it are."""
         return lexical_scores(self.index, self.terms())
 
-    def lexical_pool(self, score: str) -> DataFrame:
-        return self.once(f"pool:{score}", lambda: C.sparse_candidates(self.lexical(), score, self.pool))
+    def lexical_pool(self, score: str, pool: int | None = None) -> DataFrame:
+        n = pool or self.pool
+        return self.once(f"pool:{score}:{n}", lambda: C.sparse_candidates(self.lexical(), score, n))
 
     def query_rows(self) -> DataFrame:
         return self.queries.join(self.prepared.select(F.col("issue_id").alias("qid"), "project_key"), "qid").select("qid", "project_key")
@@ -120,13 +121,14 @@ class Session:
         """Random-indexing vectors of the corpus, or those given as 'dense'."""
         return self.vectors.get("dense") or self.once("ri", lambda: RI.document_vectors(self.index, RI.token_vectors(self.index)))
 
-    def sparse(self, score: str) -> DataFrame:
-        return C.with_fallback(self.lexical_pool(score), self.query_rows(), self.prepared, self.pool)
+    def sparse(self, score: str, pool: int | None = None) -> DataFrame:
+        return C.with_fallback(self.lexical_pool(score, pool), self.query_rows(), self.prepared, pool or self.pool)
 
-    def by_vector(self, space: str, positive: bool) -> DataFrame:
+    def by_vector(self, space: str, positive: bool, pool: int | None = None) -> DataFrame:
+        n = pool or self.pool
         v = self.dense_vectors() if space == "dense" else self.vectors[space]
         q = v.join(self.queries.select(F.col("qid").alias("issue_id")), "issue_id").select(F.col("issue_id").alias("qid"), "vector")
-        return self.once(f"top:{space}", lambda: C.dense_topk(q, v, self.pool, positive))
+        return self.once(f"top:{space}:{n}", lambda: C.dense_topk(q, v, n, positive))
 
     def fused(self) -> DataFrame:
         return self.once("fused", lambda: C.reciprocal_rank_fusion(self.sparse("bm25_plus"), self.by_vector("dense", True), self.pool))
@@ -176,9 +178,20 @@ class Session:
             return X.cross_score(X.standard(pairs), self.pair_scorer)
         return X.standard(pairs)
 
+    def training_candidates(self, model: str, holdout: DataFrame | None = None) -> DataFrame:
+        """The ranked pool of a supervised model for its training, as deep as the positives of each query ask for, whatever the search pool is."""
+        most = self.part("deepest", lambda: L.pool_sizes(L.related_pairs(self.prepared)).agg(F.max("pool")).first()[0]) or L.TRAINING_POOL
+        sizes = L.pool_sizes(L.related_pairs(self.prepared, holdout))
+        cut = lambda ranked: ranked.join(sizes, "qid").where(F.col("rank") <= F.col("pool")).drop("pool")
+        if model == "logreg-engineered":
+            return cut(self.sparse("coarse", most))
+        return cut(C.reciprocal_rank_fusion(cut(self.sparse("bm25_plus", most)), cut(self.by_vector("dense", True, most)), most))
+
     def training(self, model: str, holdout: DataFrame | None = None) -> DataFrame:
-        """Training pairs of a supervised model with its features, over the queries of this session."""
-        pairs = materialize(L.training_pairs(self.prepared, self.candidates(model), holdout=holdout).withColumn("rank", F.lit(0)), "pairs")
+        """Training pairs of a supervised model with its features, over the queries of this session; a search pool below the training pool limits the seeds of positives."""
+        found = self.training_candidates(model, holdout)
+        seeds = found.where(F.col("rank") <= self.pool) if self.pool < L.TRAINING_POOL else found
+        pairs = materialize(L.training_pairs(self.prepared, found, holdout=holdout, seeds=seeds).withColumn("rank", F.lit(0)), "pairs")
         return self.features(model, pairs)
 
     def reranker(self, model: str, holdout: DataFrame | None = None) -> R.Reranker:
