@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from ticketloom.llm import corpus_tokens as C
 from ticketloom.llm import markup, markup_model
 from ticketloom.llm import mixing as M
 from ticketloom.llm import shared_spans as S
-from ticketloom.llm.markup_blocks import blocks
+from ticketloom.llm.markup_blocks import CUES, blocks
 
 TEXTS = [
     None, "", " ", "\n\n  \t x", "Hello hello world's we'll \u00a0\u3000x", "日本語テキスト 12345 ١٢٣ ½", "😀😀 e\u0301 ñ\u200d\ufeff", "a" * 30_000, "x y " * 5_000, "  leading", "tabs\t\t\tand   runs\r\n\r\n", "<|endoftext|> is text",
@@ -198,3 +199,11 @@ def test_elements_and_clean_text(spark, weights):
     clean = {(r.field_name, r.issue_id, r.item_no): r.clean_text for r in markup.clean_text(texts, ["field_name", "issue_id", "item_no"], weights=weights).collect()}
     assert clean["comments", 9, 0] is None and clean["comments", 9, 1] == "plain" and clean["description_text", 3, 0] == "" and clean["comments", 9, 2].startswith("# Title of A & B\n")
     assert markup.elements(texts.limit(0), ["issue_id"], weights=weights).count() == 0
+
+
+def test_every_notation_alone_is_read(spark):
+    texts = ["Overview\n=\nplain", "Overview\n==\nplain", "{CODE}\nx = 1\n{CODE}", "{Noformat}\nraw\n{Noformat}", "{MATH}a + b{MATH}"]
+    assert all(re.search(CUES, t) for t in [*texts, "Overview\n--\nplain"])
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = sorted((r.k, r.kind, r.content) for r in markup.elements(rows, ["k"]).collect())
+    assert got == [(0, "heading", "Overview"), (1, "heading", "Overview"), (2, "code_block", "x = 1"), (3, "code_block", "raw"), (4, "formula", "a + b")]

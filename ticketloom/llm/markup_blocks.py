@@ -7,7 +7,7 @@ import re
 from typing import NamedTuple
 
 #: A text without any of these holds no element: cheap test where the text is read (Java and Python syntax alike).
-CUES = r"<[A-Za-z!/]|\\[A-Za-z(\[]|\{[a-z]|\$|```|~~~|(?m:^\s*(?:[-*+]+\s|#+\s|\d+[.)]\s|h[1-6]\.|={3,}\s*$|-{3,}\s*$))"
+CUES = r"<[A-Za-z!/]|\\[A-Za-z(\[]|\{[A-Za-z]|\$|```|~~~|(?m:^\s*(?:[-*+]+\s|#+\s|\d+[.)]\s|h[1-6]\.|=+\s*$|-{2,}\s*$))"
 
 _SPECIAL = re.compile(
     r"""(?P<comment><!--.*?-->)
