@@ -1,3 +1,4 @@
+import inspect
 import json
 import math
 
@@ -5,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.api import Engine
+from ticketloom.config import Settings
 from ticketloom.operators import candidates as C
 from ticketloom.operators import evaluate as E
 from ticketloom.operators import graph as G
 from ticketloom.operators import learn as L
 from ticketloom.operators import random_indexing as RI
 from ticketloom.operators.index import build_index, lexical_scores, query_terms
-from ticketloom.plans.pipelines import SUITES, resolve_models
+from ticketloom.plans.pipelines import SUITES, Session, resolve_models
 from ticketloom.sources import issues as S
 
 
@@ -125,6 +127,10 @@ def test_training_pool_grows_with_the_positives(spark, model):
     assert len(negatives) == 100 and ranked >= 100 - 25 - 1
 
 
+def test_default_pool_is_the_references():
+    assert inspect.signature(Engine).parameters["pool"].default == Session.pool == Settings().pool == Settings.from_env().pool == 250
+
+
 def test_evaluate_and_suites(engine):
     got = engine.evaluate("duplicates", ["bm25", "logreg-engineered"], sample_size=6, top_k_values=(1, 5), folds=2).collect()
     assert {r.model for r in got} == {"bm25", "logreg-engineered"} and all(0 <= r.value <= 1 for r in got)

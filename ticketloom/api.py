@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ticketloom.config import Settings
 from ticketloom.operators import evaluate as E
 from ticketloom.operators.index import build_index
-from ticketloom.plans.pipelines import MODELS, SUITES, ModelSpec, Session, resolve_models
+from ticketloom.plans.pipelines import MODELS, POOL, SUITES, ModelSpec, Session, resolve_models
 from ticketloom.sources.issues import SCHEMA, normalize, repository
 from ticketloom.storage import materialize
 
@@ -21,7 +21,7 @@ log = logging.getLogger(__name__)
 class Engine:
     """vectors: precomputed spaces by name ('sbert', 'e5', 'dense') as (issue_id, vector array<double>); pair_scorer: a column function of two texts for the cross reranker."""
 
-    def __init__(self, issues: DataFrame, vectors: dict[str, DataFrame] | None = None, pair_scorer: Callable | None = None, pool: int = 100):
+    def __init__(self, issues: DataFrame, vectors: dict[str, DataFrame] | None = None, pair_scorer: Callable | None = None, pool: int = POOL):
         self.issues = normalize(issues).cache()
         self.index = build_index(self.issues)
         self.vectors, self.pair_scorer, self.pool = dict(vectors or {}), pair_scorer, pool

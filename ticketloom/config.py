@@ -35,7 +35,7 @@ class Settings:
     limit: int | None = None
     include_comments: bool = True
     comment_limit: int = 5
-    pool: int = 100
+    pool: int = 250
     results_dir: str = "results"
 
     @classmethod
@@ -43,7 +43,7 @@ class Settings:
         limit = read_int("LIMIT", 0)
         return cls(
             source=read_text("SOURCE", "json"), path=read_text("PATH"), jdbc_url=read_text("JDBC_URL"), jdbc_user=read_text("JDBC_USER"), jdbc_password=read_text("JDBC_PASSWORD"),
-            limit=limit or None, include_comments=read_bool("INCLUDE_COMMENTS", True), comment_limit=read_int("COMMENT_LIMIT", 5), pool=read_int("POOL", 100), results_dir=read_text("RESULTS_DIR", "results"),
+            limit=limit or None, include_comments=read_bool("INCLUDE_COMMENTS", True), comment_limit=read_int("COMMENT_LIMIT", 5), pool=read_int("POOL", 250), results_dir=read_text("RESULTS_DIR", "results"),
         )
 
     def with_overrides(self, **given) -> "Settings":

@@ -17,7 +17,7 @@ from ticketloom.operators import rerank as R
 from ticketloom.operators.index import SearchIndex, lexical_scores, pair_scores, query_terms
 from ticketloom.storage import materialize
 
-POOL, SUPERVISED_POOL = 100, 80
+POOL, SUPERVISED_POOL = 250, 80
 
 
 @dataclass(frozen=True)
