@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -11,13 +10,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Tables written by this process and not yet deleted, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder, but only if all tasks run in this process (master local); on a cluster an
+    unset folder is an error, as the executors do not see each other's disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="ticketloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -25,26 +33,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so that a lost executor costs no recomputation."""
+    """Writes df as Parquet to the shared folder and reads it back, so that a lost executor costs no recomputation.
+
+    The table carries the hint to join by sorting and merging: its compressed files say little about its rows, so the
+    optimiser's estimate must not choose a broadcast. broadcast() around it, after a check of its size, still counts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path).hint("merge")
     out._ticketloom_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Deletes a table of materialize() that no later plan reads."""
-    path = getattr(df, "_ticketloom_path", None)
-    if path is None:
-        return
-    if path.startswith("file:") and os.path.isdir(local := path[len("file:"):].replace("//", "/", 1) if not path.startswith("file:///") else path[len("file://"):]):
-        shutil.rmtree(local, ignore_errors=True)
-        return
-    jvm = df.sparkSession._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize() that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_ticketloom_path", None)
+        if path is not None and _WRITTEN.pop(path, None) is not None:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that this process has written in the session: to be called when its results are stored elsewhere."""
+    for path in [p for p, s in _WRITTEN.items() if s.sparkContext is spark.sparkContext]:
+        del _WRITTEN[path]
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark in {id(s): s for s in _WRITTEN.values()}.values():
+        try:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                release(spark)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
