@@ -15,6 +15,8 @@ from ticketloom.storage import materialize
 SLACK = 2
 #: Tokens whose signatures are made together.
 BATCH_TOKENS = 150_000
+#: The signature of no token is the one key that unrelated records share by rule; its answers are spread over so many keys.
+EMPTY_KEYS = 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,9 +44,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _keys(xor: np.ndarray, part: np.ndarray, band: np.ndarray, kind: int) -> np.ndarray:
+def _keys(row: np.ndarray, xor: np.ndarray, part: np.ndarray, band: np.ndarray, kind: int, rep: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, join keys) of signatures. The empty signature of a part is EMPTY_KEYS keys: an answer takes one of them, a question asks all."""
+    empty = np.flatnonzero(xor == 0)
+    salt = np.zeros(len(xor), np.uint64)
+    if len(empty) and probe:
+        more = np.repeat(empty, EMPTY_KEYS - 1)
+        row, xor, part, band = (np.concatenate([x, x[more]]) for x in (row, xor, part, band))
+        salt = np.concatenate([salt, np.tile(np.arange(1, EMPTY_KEYS, dtype=np.uint64), len(empty))])
+    elif len(empty):
+        salt[empty] = _mix(rep[row[empty]].view(np.uint64)) % np.uint64(EMPTY_KEYS)
     place = (band.astype(np.uint64) << np.uint64(32)) | (part.astype(np.uint64) << np.uint64(1)) | np.uint64(kind)
-    return _mix(xor + _mix(place * _GOLDEN + _GOLDEN)).view(np.int64)
+    return row, _mix(xor + _mix((place + (salt << np.uint64(48))) * _GOLDEN + _GOLDEN)).view(np.int64)
 
 
 def _sketches(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +76,7 @@ def signature_rows(pdf: pd.DataFrame, threshold: float, ends: list[int], probe:
     """
     parts = _parts(threshold, ends)
     size = pdf["size"].to_numpy(np.int64)
+    rep = pdf["rep"].to_numpy(np.int64)
     h = np.concatenate([np.asarray(x, np.int64) for x in pdf["hashes"]]).view(np.uint64)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     row = np.repeat(np.arange(len(size)), size)
@@ -95,15 +107,13 @@ def signature_rows(pdf: pd.DataFrame, threshold: float, ends: list[int], probe:
         cells = np.flatnonzero(chosen)
         tokens = np.flatnonzero(chosen[cell])
         without = xor[cell[tokens]] ^ h[tokens]
-        found.append((cell_row[cells], _keys(xor[cells], part[cells], band[cell_row[cells]], 0)))
-        if probe:
-            found.append((row[tokens], _keys(without, part[cell[tokens]], band[row[tokens]], 1)))
-        else:
-            found.append((cell_row[cells], _keys(xor[cells], part[cells], band[cell_row[cells]], 1)))
-            found.append((row[tokens], _keys(without, part[cell[tokens]], band[row[tokens]], 0)))
+        whole = cell_row[cells], xor[cells], part[cells], band[cell_row[cells]]
+        less = row[tokens], without, part[cell[tokens]], band[row[tokens]]
+        for signatures, kind in ((whole, 0), (less, 1)) if probe else ((whole, 0), (whole, 1), (less, 0)):
+            found.append(_keys(*signatures, kind, rep, probe))
     at = np.concatenate([f[0] for f in found])
     return pd.DataFrame({
-        "key": np.concatenate([f[1] for f in found]), "rep": pdf["rep"].to_numpy()[at], "size": size[at].astype(np.int32), "s0": s0[at], "s1": s1[at],
+        "key": np.concatenate([f[1] for f in found]), "rep": rep[at], "size": size[at].astype(np.int32), "s0": s0[at], "s1": s1[at],
     })
 
 
@@ -116,19 +126,26 @@ def _signatures(classes: DataFrame, threshold: float, ends: list[int], probe: bo
     return classes.select("rep", "size", "hashes").mapInPandas(rows, "key long, rep long, size int, s0 long, s1 long")
 
 
-def word_classes(records: DataFrame, id_col: str, text, min_words: int) -> DataFrame:
-    """Classes of records with the same set of words: rep (smallest id), size, words, hashes, members. Written to the shared folder."""
+def word_classes(records: DataFrame, id_col: str, text, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, members) of records with the same set of words, both written to the shared folder.
+
+    classes: rep (a number), class_id (smallest id), size, words, hashes. members: rep, id, one row per record, so a
+    set that millions of records share is millions of rows and never one array.
+    """
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))))
     sets = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("words")).where(F.size("words") >= min_words)
-    classes = sets.groupBy("words").agg(F.min("id").alias("rep0"), F.collect_set("id").alias("members"))
-    # Two classes may share their smallest id (one id with two texts); the class number keeps them apart.
-    return materialize(
-        classes.select(F.xxhash64("words", F.lit(5)).alias("rep"), F.col("rep0").alias("class_id"), F.size("words").alias("size"), "words",
-                       F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "members"), "classes")
+    key = [F.xxhash64("words", F.lit(k)).alias(f"k{k}") for k in (1, 2)]  # 128 bits: no two sets share them by chance
+    numbered = materialize(sets.groupBy("words").agg(F.min("id").alias("class_id")).select(F.monotonically_increasing_id().alias("rep"), "class_id", "words", *key), "numbered")
+    members = materialize(sets.select("id", *key).distinct().hint("merge").join(numbered.select("k1", "k2", "rep"), ["k1", "k2"]).select("rep", "id"), "members")
+    classes = numbered.select("rep", "class_id", F.size("words").alias("size"), "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return classes, members
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (left_rep, right_rep) of classes whose Jaccard similarity reaches the threshold, each pair once; exact."""
+    """Pairs (left_rep, right_rep) of classes whose Jaccard similarity reaches the threshold, each pair once; exact.
+
+    Every join here is a sort-merge join: nothing is known about the number of rows that a Python map yields.
+    """
     sizes = classes.agg(F.min("size"), F.max("size")).first()
     ends = bands(threshold, sizes[0] or 1, sizes[1] or 1)
     ask = _signatures(classes, threshold, ends, True).select("key", *[F.col(c).alias(f"a_{c}") for c in ("rep", "size", "s0", "s1")])
@@ -136,17 +153,17 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     distance = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
     ratio = (1 - threshold) / (1 + threshold)
     near = (
-        ask.join(give, "key")
+        ask.hint("merge").join(give.hint("merge"), "key")
         .where((F.col("a_size") > F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_rep") > F.col("b_rep"))))
         .where(F.col("b_size") >= F.col("a_size") * threshold - 1e-9)
         .where(distance <= (F.col("a_size") + F.col("b_size")) * ratio + 1e-9)
         .select("a_rep", "b_rep").distinct()
     )
-    a = classes.select(F.col("rep").alias("a_rep"), F.col("words").alias("a_words"))
-    b = classes.select(F.col("rep").alias("b_rep"), F.col("words").alias("b_words"))
+    a = classes.select(F.col("rep").alias("a_rep"), F.col("words").alias("a_words")).hint("merge")
+    b = classes.select(F.col("rep").alias("b_rep"), F.col("words").alias("b_words")).hint("merge")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     return (
-        near.join(a, "a_rep").join(b, "b_rep")
+        near.hint("merge").join(a, "a_rep").hint("merge").join(b, "b_rep")
         .where(shared >= threshold * (F.size("a_words") + F.size("b_words") - shared) - 1e-9)
         .select(F.col("a_rep").alias("left_rep"), F.col("b_rep").alias("right_rep"))
     )
@@ -160,22 +177,20 @@ def near_duplicate_pairs(records: DataFrame, id_col: str, text, threshold: float
     classes, and pairs are read off the classes' members. A record repeated under its id counts once; if one id has
     several texts, a pair counts if any of them reach the threshold. An empty table gives no rows. Exact.
     """
-    classes = word_classes(records, id_col, text, min_words)
+    classes, members = word_classes(records, id_col, text, min_words)
     pairs = materialize(similar_classes(classes, threshold), "pairs")
-    left = classes.select(F.col("rep").alias("left_rep"), F.col("members").alias("l"))
-    right = classes.select(F.col("rep").alias("right_rep"), F.col("members").alias("r"))
-    across = pairs.join(left, "left_rep").join(right, "right_rep").select(F.explode("l").alias("x"), "r").select("x", F.explode("r").alias("y"))
-    within = classes.where(F.size("members") > 1).select(F.explode("members").alias("x"), "members").select("x", F.explode("members").alias("y"))
-    return (
-        across.unionByName(within).where("x <> y")
-        .select(F.least("x", "y").alias("left_issue_id"), F.greatest("x", "y").alias("right_issue_id")).distinct()
-    )
+    x = members.select(F.col("rep").alias("left_rep"), F.col("id").alias("x"))
+    y = members.select(F.col("rep").alias("right_rep"), F.col("id").alias("y"))
+    across = pairs.join(x, "left_rep").hint("merge").join(y, "right_rep").select("x", "y").where("x <> y")
+    within = x.join(y, F.col("left_rep") == F.col("right_rep")).where("x < y").select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("left_issue_id"), F.greatest("x", "y").alias("right_issue_id")).distinct()
 
 
 def near_duplicate_classes(records: DataFrame, id_col: str, text, threshold: float, min_words: int) -> DataFrame:
     """One row per record with at least min_words distinct words: issue_id, class_id (smallest id of the records with the same words), n_members, n_links (similar other classes)."""
-    classes = word_classes(records, id_col, text, min_words)
+    classes, members = word_classes(records, id_col, text, min_words)
     pairs = materialize(similar_classes(classes, threshold), "pairs")
     ends = pairs.select(F.explode(F.array("left_rep", "right_rep")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    rows = classes.select("rep", "class_id", F.size("members").cast("bigint").alias("n_members"), F.explode("members").alias("issue_id"))
-    return rows.join(ends, "rep", "left").select("issue_id", "class_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n_members"))
+    named = classes.select("rep", "class_id").join(sizes, "rep").hint("merge").join(ends.hint("merge"), "rep", "left")
+    return members.join(named.hint("merge"), "rep").select(F.col("id").alias("issue_id"), "class_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
