@@ -47,6 +47,11 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether df is itself a table of materialize()."""
+    return hasattr(df, "_ticketloom_path")
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables of materialize() that no later plan reads."""
     for df in tables:
