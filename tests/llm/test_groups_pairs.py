@@ -34,11 +34,22 @@ def test_chain_star_and_repeats(spark):
     assert found_groups(spark, edges) == brute_groups(edges)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 9])
-def test_peeling_depth_decides_nothing(spark, rounds):
-    """A long chain off the hub: the search stops before, at, or after its end."""
+@pytest.mark.parametrize("first,rounds", [(0, 1), (0, 2), (1, 1), (3, 9)])
+def test_rounds_decide_nothing(spark, first, rounds):
+    """A long chain off the hub: contractions before, and frontier joins before, at, or after its end."""
     edges = [(50, k) for k in range(51, 60)] + [(k, k + 1) for k in range(59, 65)] + [(1, 65)] + [(200, 201)]
-    assert found_groups(spark, edges, peel_rounds=rounds) == brute_groups(edges)
+    assert found_groups(spark, edges, first_rounds=first, frontier_rounds=rounds) == brute_groups(edges)
+
+
+def test_giant_component_is_peeled_whole(spark):
+    """A star is complete after the first round, so the search starts in the long chain and ends when all of it is reached."""
+    rnd = random.Random(4)
+    ids = rnd.sample(range(1000, 9000), 300)
+    edges = [(1, k) for k in range(2, 60)] + list(zip(ids, ids[1:]))
+    report = {}
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r.id: r.group_id for r in K.connected_components(df, report=report).collect()}
+    assert got == brute_groups(edges) and report["peeled"] == 300
 
 
 def test_no_edges(spark):

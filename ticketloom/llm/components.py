@@ -1,4 +1,4 @@
-"""Group identifiers for records linked directly or indirectly: peel the hub's component, then contract the rest."""
+"""Group identifiers for records linked directly or indirectly: the giant component is peeled by frontier joins, the rest labelled by minimum propagation."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.operators.references import named_ids
-from ticketloom.storage import discard, materialize
+from ticketloom.storage import discard, is_written, materialize
 
-#: Breadth-first rounds from the hub. A giant component of matches has a small diameter; what a longer one leaves over
-#: is contracted together with the rest, so the bound decides about speed only.
-PEEL_ROUNDS = 6
+#: Rounds of minimum propagation before the hub is chosen. Small components are complete by then and have no edges
+#: left, so the hub is found among the large ones, whose paths are shorter as well.
+FIRST_ROUNDS = 3
+#: Frontier joins between two contractions. The search goes on until the frontier is empty, whatever their number.
+FRONTIER_ROUNDS = 4
 
 
 def tied_edges(rows: DataFrame, fields: list[str], id_col: str = "issue_id") -> DataFrame:
@@ -18,76 +20,105 @@ def tied_edges(rows: DataFrame, fields: list[str], id_col: str = "issue_id") ->
     ids = rows.select(F.col(id_col).alias("v")).where(F.col("v").isNotNull()).distinct()
     named = F.array_distinct(F.concat(*[named_ids(F.col(f)) for f in fields]))
     pairs = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("a"), F.explode(named).alias("v")).where(F.col("a") != F.col("v")).distinct()
-    return pairs.join(ids, "v", "left_semi").select(F.least("a", "v").alias("u"), F.greatest("a", "v").alias("v")).distinct()
+    return pairs.hint("merge").join(ids.hint("merge"), "v", "left_semi").select(F.least("a", "v").alias("u"), F.greatest("a", "v").alias("v")).distinct()
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def peel(edges: DataFrame, rounds: int = PEEL_ROUNDS) -> DataFrame | None:
-    """Vertices (u) reached from the vertex of the highest degree within `rounds` frontier joins; None for no edges."""
+def propagate(edges: DataFrame) -> DataFrame:
+    """(u, parent): one round of minimum propagation. Every vertex takes the smallest id among its neighbours and itself, then twice its parent's parent."""
+    low = _both_ways(edges).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("parent"))
+    for _ in range(2):
+        up = low.select(F.col("u").alias("parent"), F.col("parent").alias("above"))
+        low = low.hint("merge").join(up.hint("merge"), "parent").select("u", F.col("above").alias("parent"))
+    return low
+
+
+def contract(edges: DataFrame, parent: DataFrame) -> DataFrame:
+    """Edges between the parents of the ends (an end without parent stays), without loops and repeats."""
+    pu = parent.select("u", F.col("parent").alias("pu"))
+    pv = parent.select(F.col("u").alias("v"), F.col("parent").alias("pv"))
+    moved = edges.join(pu, "u", "left").hint("merge").join(pv, "v", "left").select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b"))
+    return materialize(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+
+
+def compose(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(u, parent) of doing one mapping after the other; vertices that the second does not name keep their parent."""
+    above = then.select(F.col("u").alias("parent"), F.col("parent").alias("above"))
+    return first.join(above, "parent", "left").select("u", F.coalesce("above", "parent").alias("parent"))
+
+
+def _hub(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The vertex (u) with edges that stands for most ids so far; of equal ones that of most edges, then the smallest."""
     degree = _both_ways(edges).groupBy("u").agg(F.count("*").alias("degree"))
-    hub = degree.orderBy(F.desc("degree"), "u").select("u").limit(1)
-    frontier = materialize(hub, "frontier")
-    if frontier.isEmpty():
-        return None
-    seen = frontier
+    size = labels.groupBy(F.col("parent").alias("u")).agg(F.count("*").alias("size"))
+    ranked = degree.hint("merge").join(size.hint("merge"), "u", "left")
+    return ranked.orderBy(F.desc_nulls_last("size"), F.desc("degree"), "u").select("u").limit(1)
+
+
+def _frontiers(edges: DataFrame, start: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """(seen, whole): the vertices within `rounds` frontier joins of start, and whether nothing more can be reached."""
+    seen = frontier = materialize(start, "frontier")
     steps = _both_ways(edges)
     for _ in range(rounds):
-        reached = frontier.join(steps, "u").select(F.col("v").alias("u")).distinct().join(seen, "u", "left_anti")
+        reached = frontier.join(steps.hint("merge"), "u").select(F.col("v").alias("u")).distinct().hint("merge").join(seen, "u", "left_anti")
         frontier = materialize(reached, "frontier")
         if frontier.isEmpty():
-            break
+            return seen, True
         seen = seen.unionByName(frontier)
-    return seen
+    return seen, False
 
 
-def connected_components(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, first_rounds: int = FIRST_ROUNDS, frontier_rounds: int = FRONTIER_ROUNDS, report: dict | None = None) -> DataFrame:
     """Labels (id, group_id) of every id in an edge (u, v); group_id is the smallest id of its component.
 
-    1. Breadth-first frontier joins from the highest-degree vertex peel its component; it becomes one vertex (its
-       smallest id) and its inner edges vanish (an anti join when the search ended).
-    2. What remains is labelled by minimum propagation with contraction: every vertex takes the smallest id among its
-       neighbours and itself, two rounds of pointer jumping follow, and the edges between equal labels vanish. The
-       edges shrink geometrically, so long chains take logarithmically many rounds.
+    1. first_rounds rounds of minimum propagation contract the graph; components that they complete have no edges left.
+    2. The largest vertex that still has edges is the hub. Breadth-first frontier joins from it go on until the
+       frontier is empty: its component is then wholly known, becomes one vertex and is anti-joined away. After every
+       frontier_rounds joins what was reached becomes one vertex and the graph is contracted once more, so a component
+       of a long diameter takes logarithmically many joins as well.
+    3. What remains is labelled by further rounds of minimum propagation.
 
-    Self loops and null ends are ignored; repeated edges count once; no edges give no rows.
+    Every mapping of a round is composed with the labels of all ids. Self loops and null ends are ignored; repeated
+    edges count once; no edges give no rows. report: a dictionary that gets 'frontier_joins' and 'peeled' (ids).
     """
     edges = materialize(
         edges.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges"
     )
-    parents: list[DataFrame] = []
-    seen = peel(edges, peel_rounds)
-    if seen is not None:
+    # Until something is merged every id stands for itself.
+    labels = materialize(_both_ways(edges).select("u").distinct().select("u", F.col("u").alias("parent")), "labels")
+    joins, peeled = 0, None
+
+    def step(mapped: DataFrame) -> None:
+        nonlocal edges, labels
+        mapped = mapped if is_written(mapped) else materialize(mapped, "parent")
+        following, told = contract(edges, mapped), materialize(compose(labels, mapped), "labels")
+        discard(edges, labels, mapped)
+        edges, labels = following, told
+
+    for _ in range(first_rounds):
+        if not edges.isEmpty():
+            step(propagate(edges))
+    start = None if edges.isEmpty() else materialize(_hub(edges, labels), "hub")
+    while start is not None:
+        seen, whole = _frontiers(edges, start, frontier_rounds)
+        joins += frontier_rounds
         root = seen.agg(F.min("u")).first()[0]
-        mapped = materialize(seen.select("u", F.lit(root).cast("bigint").alias("parent")), "parent")
-        parents.append(mapped)
-        edges = _contract(edges, mapped)
+        if whole:
+            away = edges.join(seen.hint("merge"), "u", "left_anti")
+            mapped = seen.select("u", F.lit(root).cast("bigint").alias("parent"))
+            told, rest = materialize(compose(labels, mapped.hint("merge")), "labels"), materialize(away, "edges")
+            discard(edges, labels)
+            edges, labels, start, peeled = rest, told, None, root
+        else:
+            step(seen.select("u", F.lit(root).cast("bigint").alias("parent")))
+            low = materialize(propagate(edges), "parent")
+            start = materialize(low.where(F.col("u") == root).select(F.col("parent").alias("u")), "hub")
+            step(low)
     while not edges.isEmpty():
-        low = _both_ways(edges).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("parent"))
-        for _ in range(2):
-            up = low.select(F.col("u").alias("parent"), F.col("parent").alias("above"))
-            low = low.join(up, "parent").select("u", F.col("above").alias("parent"))
-        mapped = materialize(low, "parent")
-        parents.append(mapped)
-        following = _contract(edges, mapped)
-        discard(edges)
-        edges = following
-    if not parents:
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
-    labels = parents[-1]
-    for mapped in reversed(parents[:-1]):
-        above = labels.select(F.col("u").alias("parent"), F.col("parent").alias("above"))
-        own = mapped.join(above, "parent", "left").select("u", F.coalesce("above", "parent").alias("parent"))
-        # Vertices of later rounds are in an earlier one, but for those the first round (the peeled part) left out.
-        labels = own.unionByName(labels.join(mapped.select("u"), "u", "left_anti")) if mapped is parents[0] and seen is not None else own
+        step(propagate(edges))
+    if report is not None:
+        report.update(frontier_joins=joins, peeled=0 if peeled is None else labels.where(F.col("parent") == peeled).count())
     return labels.select(F.col("u").alias("id"), F.col("parent").alias("group_id"))
-
-
-def _contract(edges: DataFrame, parent: DataFrame) -> DataFrame:
-    """Edges between the parents of the ends (an end without parent stays), without loops and repeats."""
-    pu = parent.select("u", F.col("parent").alias("pu"))
-    pv = parent.select(F.col("u").alias("v"), F.col("parent").alias("pv"))
-    moved = edges.join(pu, "u", "left").join(pv, "v", "left").select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b"))
-    return materialize(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
