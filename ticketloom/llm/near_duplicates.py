@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.storage import materialize
+from ticketloom.storage import discard, materialize
 
 #: Parts beyond those the pigeonhole needs; a record leaves out as many of its emptiest parts.
 SLACK = 2
@@ -134,9 +134,12 @@ def word_classes(records: DataFrame, id_col: str, text, min_words: int) -> tuple
     """
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))))
     sets = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("words")).where(F.size("words") >= min_words)
-    key = [F.xxhash64("words", F.lit(k)).alias(f"k{k}") for k in (1, 2)]  # 128 bits: no two sets share them by chance
-    numbered = materialize(sets.groupBy("words").agg(F.min("id").alias("class_id")).select(F.monotonically_increasing_id().alias("rep"), "class_id", "words", *key), "numbered")
-    members = materialize(sets.select("id", *key).distinct().hint("merge").join(numbered.select("k1", "k2", "rep"), ["k1", "k2"]).select("rep", "id"), "members")
+    # 128 bits: no two sets share them by chance.
+    sets = materialize(sets.select("id", "words", *[F.xxhash64("words", F.lit(k)).alias(f"k{k}") for k in (1, 2)]), "sets")
+    numbered = sets.groupBy("words", "k1", "k2").agg(F.min("id").alias("class_id")).withColumn("rep", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered")
+    members = materialize(sets.select("id", "k1", "k2").distinct().hint("merge").join(numbered.select("k1", "k2", "rep"), ["k1", "k2"]).select("rep", "id"), "members")
+    discard(sets)
     classes = numbered.select("rep", "class_id", F.size("words").alias("size"), "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     return classes, members
 
