@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 import pytest
@@ -8,7 +7,7 @@ from ticketloom.llm import corpus_tokens as C
 from ticketloom.llm import markup, markup_model
 from ticketloom.llm import mixing as M
 from ticketloom.llm import shared_spans as S
-from ticketloom.llm.markup_blocks import CUES, blocks
+from ticketloom.llm.markup_blocks import Block, blocks
 
 TEXTS = [
     None, "", " ", "\n\n  \t x", "Hello hello world's we'll \u00a0\u3000x", "日本語テキスト 12345 ١٢٣ ½", "😀😀 e\u0301 ñ\u200d\ufeff", "a" * 30_000, "x y " * 5_000, "  leading", "tabs\t\t\tand   runs\r\n\r\n", "<|endoftext|> is text",
@@ -132,7 +131,7 @@ LATEX = "\\begin{document}\n\\subsection*{Head \\emph{x \\textbf{y}}}\n\\begin{i
 
 @pytest.fixture(scope="module")
 def weights():
-    return markup.trained(1200, 6, 11)
+    return markup.trained()
 
 
 def found(text, weights):
@@ -152,6 +151,18 @@ def test_look_alikes(weights):
         assert found(text, weights) == []
 
 
+def test_labels_are_the_network_s():
+    """No rule stands behind the labels: random weights give other ones, and every kind may be given to every block."""
+    docs = [blocks(t) for t in (HTML, MARKDOWN, WIKI, LATEX)]
+    got = {k for seed in range(3) for d in markup.label(markup_model.init(np.random.default_rng(seed)), docs) for k in d}
+    assert len(got) > 3
+
+
+def test_features_read_the_whole_block():
+    a, b = (markup_model.features([Block("p", "word " * 5_000 + last, False)]) for last in ("x", "y"))
+    assert a[0] == b[0] and a[1][0][:-1] == b[1][0][:-1] and a[1][0][-1] != b[1][0][-1] and len(a[1][0]) == 5_001
+
+
 def test_broken_markup_never_fails(weights):
     rnd = random.Random(2)
     pieces = ["<li>", "</ul>", "<pre>", "```", "{code}", "\\begin{verbatim}", "$", "$$", "h1. x", "\n", "# ", "- ", "\0", "\\item ", "\\section{", "}", "<h2>", "</h3>", "word ", "&lt;", "é", "\\(", "\\]", "====\n"]
@@ -164,23 +175,22 @@ def test_held_out_accuracy(weights):
     held = markup_model.labelled_sample(300, 12345)
     scores = markup_model.scores(weights, [markup_model.features(b) for b, _ in held])
     right = sum(int((s.argmax(1) == np.array(y)).sum()) for s, (_, y) in zip(scores, held))
-    assert right / sum(len(y) for _, y in held) > 0.97
+    assert right / sum(len(y) for _, y in held) > 0.99
 
 
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
     w = markup_model.init(rng)
-    path, words, mask = markup_model._pad([([3, 9, 4], [[1, 2], [], [7]]), ([5], [[8]])])
+    path, mask, words, cell = markup_model._pad([([(3, 30), (9, 31), (4, 32)], [[1, 2], [], [7]]), ([(5, 33)], [[8]])])
     labels = np.array([[1, 2], [0, 0], [3, 0]])
 
     def loss():
-        x, _ = markup_model._inputs(w, path, words)
-        z = np.concatenate([markup_model._run(w, s, x, mask)[0] for s in "fb"], axis=2) @ w["out"] + w["out_b"]
+        z = markup_model._logits(w, markup_model._inputs(w, path, words, cell)[0], mask)[0]
         logp = z - np.log(np.exp(z).sum(2, keepdims=True))
         return -(np.take_along_axis(logp, labels[..., None], 2)[..., 0] * mask).sum() / mask.sum()
 
-    g = markup_model._gradients(w, path, words, mask, labels)
-    for name, at in (("out", (3, 1)), ("fx", (2, 5)), ("bh", (1, 30)), ("fb", (14,)), ("path", (9, 2)), ("word", (2, 1))):
+    g = markup_model._gradients(w, path, mask, words, cell, labels)
+    for name, at in (("out", (3, 1)), ("fx", (2, 5)), ("bh", (1, 30)), ("fb", (18,)), ("out", (35, 2)), ("path", (9, 2)), ("word", (2, 1))):
         keep, eps = w[name][at], 1e-6
         w[name][at] = keep + eps
         up = loss()
@@ -203,7 +213,6 @@ def test_elements_and_clean_text(spark, weights):
 
 def test_every_notation_alone_is_read(spark):
     texts = ["Overview\n=\nplain", "Overview\n==\nplain", "{CODE}\nx = 1\n{CODE}", "{Noformat}\nraw\n{Noformat}", "{MATH}a + b{MATH}"]
-    assert all(re.search(CUES, t) for t in [*texts, "Overview\n--\nplain"])
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     got = sorted((r.k, r.kind, r.content) for r in markup.elements(rows, ["k"]).collect())
     assert got == [(0, "heading", "Overview"), (1, "heading", "Overview"), (2, "code_block", "x = 1"), (3, "code_block", "raw"), (4, "formula", "a + b")]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm import markup_blocks, markup_model
-from ticketloom.llm.markup_blocks import CUES, NONE, Block, blocks, plain, raw
+from ticketloom.llm.markup_blocks import NONE, Block, blocks, plain, raw
 from ticketloom.llm.markup_model import KINDS, features, scores
 
 #: Documents whose blocks are labelled together in a worker.
@@ -24,12 +24,12 @@ def trained(sample: int = markup_model.SAMPLE, epochs: int = markup_model.EPOCHS
 
 
 def label(weights: dict[str, np.ndarray], docs: list[list[Block]]) -> list[list[str]]:
-    """The kind of every block: the network's best among those that the block's notation allows (the exact check)."""
+    """The kind of every block: the network's best of all kinds, in the context of the document's other blocks."""
     full = [k for k, d in enumerate(docs) if d]
     got = scores(weights, [features(docs[k]) for k in full]) if full else []
     out: list[list[str]] = [[] for _ in docs]
     for k, s in zip(full, got):
-        out[k] = [KINDS[max(map(KINDS.index, b.may), key=row.__getitem__)] for b, row in zip(docs[k], s.tolist())]
+        out[k] = [KINDS[j] for j in s.argmax(axis=1).tolist()]
     return out
 
 
@@ -47,9 +47,8 @@ def _content(kind: str, block: Block) -> str:
 def elements(texts: DataFrame, keys: list[str], text: str = "text", weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """keys, kind, content: the distinct headings, list items, code blocks and formulas of every text.
 
-    Texts are cut into leaf blocks with tag paths; a bidirectional LSTM labels each block of a document in the context
-    of all its blocks, and a label must be one that the block's notation allows. Texts that hold no markup cue at all
-    are left out where they are read; null and empty texts have no elements; an element without content is none.
+    Texts are cut into leaf blocks with tag paths; a bidirectional LSTM labels each block of a document with one of all
+    kinds, in the context of all its blocks. Null and empty texts have no elements; an element without content is none.
     Repeated rows count once; other columns are ignored; an empty table gives no rows.
     """
     w = weights if weights is not None else trained()
@@ -65,7 +64,7 @@ def elements(texts: DataFrame, keys: list[str], text: str = "text", weights: dic
             yield out
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", kind string, content string"
-    return texts.where(F.col(text).rlike(CUES)).select(*keys, text).mapInPandas(run, schema).distinct()
+    return texts.where(F.length(F.trim(text)) > 0).select(*keys, text).mapInPandas(run, schema).distinct()
 
 
 _SHAPE = {"heading": "# {}", "list_item": "- {}", "code_block": "```\n{}\n```", "formula": "$${}$$"}

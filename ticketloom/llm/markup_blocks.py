@@ -6,9 +6,6 @@ import html
 import re
 from typing import NamedTuple
 
-#: A text without any of these holds no element: cheap test where the text is read (Java and Python syntax alike).
-CUES = r"<[A-Za-z!/]|\\[A-Za-z(\[]|\{[A-Za-z]|\$|```|~~~|(?m:^\s*(?:[-*+]+\s|#+\s|\d+[.)]\s|h[1-6]\.|=+\s*$|-{2,}\s*$))"
-
 _SPECIAL = re.compile(
     r"""(?P<comment><!--.*?-->)
     |<pre\b[^>]*>(?P<pre>.*?)(?:</pre\s*>|\Z)
@@ -41,7 +38,6 @@ _LINE = re.compile(
     r"|[ \t]*\\(?P<sec>part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?\{(?P<sec_text>.*)"
     r"|[ \t]*\\item\b(?:\[[^\]]*\])?[ \t]*(?P<item_text>.*))$"
 )
-_MATHS = re.compile(r"[\\^_={}+<>|]")
 _NUMBERED = re.compile(r"[ ]{0,3}#[ \t]+\S")
 _RULE = re.compile(r"[ ]{0,3}(?:=+|-{2,})[ \t]*$")
 _BREAK = re.compile(r"[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
@@ -66,10 +62,9 @@ _TEX_ESC = re.compile(r"\\([&%$#_{}])")
 
 
 class Block(NamedTuple):
-    """path: the tags that lead to the block; may: the kinds this notation allows here; source: what stands between the delimiters."""
+    """path: the tags or marks that lead to the block; source: what stands between the delimiters. What the block is, the labeller decides."""
 
     path: str
-    may: tuple[str, ...]
     source: str
     is_html: bool
 
@@ -123,12 +118,11 @@ def blocks(text: str) -> list[Block]:
         for group, path in _CODE.items():
             if m.group(group) is not None:
                 inside = m.group("fenced") if group == "fence" else m.group(group)
-                kept.append(Block(path, ("code_block",), inside, group == "pre"))
+                kept.append(Block(path, inside, group == "pre"))
                 return f"\n\0{len(kept) - 1}\0\n"
         for group, path in _MATH.items():
             if m.group(group) is not None:
-                unsure = group == "d" and not _MATHS.search(m.group(group))
-                kept.append(Block(path, ("formula", NONE) if unsure else ("formula",), m.group(group), False))
+                kept.append(Block(path, m.group(group), False))
                 return f"\0{len(kept) - 1}\0"
         return m.group()
 
@@ -141,13 +135,13 @@ def blocks(text: str) -> list[Block]:
     return out
 
 
-def _emit(path: str, may: tuple[str, ...], source: str, is_html: bool, kept: list[Block], out: list[Block]) -> None:
-    """A block, and after it the formulas and code blocks that stand inside it."""
+def _emit(path: str, marked: bool, source: str, is_html: bool, kept: list[Block], out: list[Block]) -> None:
+    """A block, and after it the formulas and code blocks that stand inside it; a marked block (no plain paragraph) keeps their sources in its own."""
     inner = [kept[int(k)] for k in _KEPT.findall(source)] if "\0" in source else []
     if inner:
-        source = _KEPT.sub(lambda m: " " + kept[int(m[1])].source + " ", source) if may != (NONE,) else _KEPT.sub(" ", source)
+        source = _KEPT.sub(lambda m: " " + kept[int(m[1])].source + " ", source) if marked else _KEPT.sub(" ", source)
     if source.strip():
-        out.append(Block(path, may, source, is_html))
+        out.append(Block(path, source, is_html))
     for b in inner:
         out.append(b._replace(is_html=True) if is_html and not b.path.startswith("html") else b)
 
@@ -165,8 +159,8 @@ def _html(text: str, kept: list[Block], out: list[Block]) -> None:
             if block is None:
                 _lines(piece, kept, out)
             else:
-                may = ("heading",) if block[0] == "h" and block[1:].isdigit() else ("list_item",) if block == "li" else (NONE,)
-                _emit("html/" + "/".join(stack[-3:] + [block] if not stack or stack[-1] != block else stack[-3:]), may, piece, True, kept, out)
+                marked = block == "li" or (block[0] == "h" and block[1:].isdigit())
+                _emit("html/" + "/".join(stack[-3:] + [block] if not stack or stack[-1] != block else stack[-3:]), marked, piece, True, kept, out)
         begin = end
 
     for m in _TAG.finditer(text):
@@ -222,7 +216,7 @@ def _lines(text: str, kept: list[Block], out: list[Block]) -> None:
 
     def flush() -> None:
         if para:
-            _emit("p", (NONE,), " ".join(para), False, kept, out)
+            _emit("p", False, " ".join(para), False, kept, out)
             para.clear()
 
     for k, row in enumerate(rows):
@@ -233,28 +227,22 @@ def _lines(text: str, kept: list[Block], out: list[Block]) -> None:
         if m is None or _BREAK.match(row):
             if _RULE.match(row) and len(para) == 1 and (k < 2 or not rows[k - 2].strip() or "\0" in rows[k - 2]) and "\0" not in para[0]:
                 head = para.pop()
-                _emit("md/setext" + row.strip()[0], ("heading",) if "=" in row else ("heading", NONE), head, False, kept, out)
+                _emit("md/setext" + row.strip()[0], True, head, False, kept, out)
             else:
                 para.append(row)
             continue
         flush()
         if m["atx"]:
-            if len(m["atx"]) > 1:
-                path, may = "md/" + m["atx"], ("heading",)
-            elif (k and _NUMBERED.match(rows[k - 1])) or (k + 1 < len(rows) and _NUMBERED.match(rows[k + 1])):
-                path, may = "list/#", ("list_item", "heading")
-            else:
-                path, may = "md/#", ("heading", "list_item")
-            _emit(path, may, m["atx_text"], False, kept, out)
+            numbered = len(m["atx"]) == 1 and ((k and _NUMBERED.match(rows[k - 1])) or (k + 1 < len(rows) and _NUMBERED.match(rows[k + 1])))
+            _emit("list/#" if numbered else "md/" + m["atx"], True, m["atx_text"], False, kept, out)
         elif m["wh"]:
-            _emit("wiki/h", ("heading",), m["wh_text"], False, kept, out)
+            _emit("wiki/h", True, m["wh_text"], False, kept, out)
         elif m["ord"]:
-            _emit("list/1" + m["ord"][-1], ("list_item",), m["ord_text"], False, kept, out)
+            _emit("list/1" + m["ord"][-1], True, m["ord_text"], False, kept, out)
         elif m["bul"]:
-            may = ("list_item",) if len(m["bul"]) == 1 or set(m["bul"]) == {"*"} else (NONE,)
-            _emit("list/" + m["bul"][:2], may, m["bul_text"], False, kept, out)
+            _emit("list/" + (m["bul"][:2] if len(m["bul"]) < 2 or set(m["bul"]) == {"*"} else "mixed"), True, m["bul_text"], False, kept, out)
         elif m["sec"]:
-            _emit("latex/" + m["sec"], ("heading",), _balanced(m["sec_text"]), False, kept, out)
+            _emit("latex/" + m["sec"], True, _balanced(m["sec_text"]), False, kept, out)
         else:
-            _emit("latex/item", ("list_item",), m["item_text"], False, kept, out)
+            _emit("latex/item", True, m["item_text"], False, kept, out)
     flush()
