@@ -104,9 +104,20 @@ def brute_spans(docs, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_chars", [300_000, 0])
+def test_longer_anchors_stand_for_every_window():
+    for least in (200, 137):
+        length = S.ANCHOR
+        while length < least:
+            step, more = S.longer(length, least)
+            starts = set(range(length - least, 1))  # of the windows around an anchor at 0
+            assert starts == {s for at in (-step, 0) for s in range(at + more - least, at + 1)} & starts and more > length
+            length = more
+        assert length == least
+
+
+@pytest.mark.parametrize("shard_chars", [150_000, 3_000, 0])
 def test_spans_against_brute_force(spark, shard_chars):
-    """By automata and by window hashes: quoted passages of lengths around the limit, periodic and repeated text, non-BMP characters."""
+    """Shards of any size, routed by longer anchors where they are too large: quoted passages of lengths around the limit, periodic and repeated text, non-BMP characters."""
     rnd = random.Random(4)
     noise = lambda n: "".join(rnd.choice("abcdefgh 😀é\n") for _ in range(n))
     passages = [noise(n) for n in (199, 200, 201, 260, 600)]

@@ -1,4 +1,4 @@
-"""Long exact spans shared between documents: winnowed anchors route texts to suffix automata of reference shards."""
+"""Long exact spans shared between documents: winnowed anchors route texts past suffix automata of bounded reference shards."""
 
 from __future__ import annotations
 
@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.storage import materialize
+from ticketloom.storage import discard, materialize
 
 #: Characters of an anchor; any string of `least` characters holds one of its text's anchors wholly.
 ANCHOR = 80
-#: Characters of distinct region texts that one automaton may hold; the regions of a larger shard are compared by
-#: their window hashes instead (exact as well, and cut into as many tasks as needed).
-SHARD_CHARS = 300_000
+#: Characters of distinct text of a reference shard, and of the shards whose automaton is built together.
+SHARD_CHARS = 150_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,9 +172,13 @@ def _anchor_rows(least: int):
     return run
 
 
-def _region_rows(least: int):
-    """(doc_id, text, places [(shard, pos)]) -> (shard, doc_id, begin, region): per shard the text around its anchors, neighbours merged."""
-    reach = least - ANCHOR
+def _grouped(places: DataFrame) -> DataFrame:
+    return places.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "pos")).alias("places"))
+
+
+def _region_rows(least: int, length: int):
+    """(doc_id, text, places [(shard, pos)]) -> (shard, doc_id, begin, region): per shard the text around its anchors of `length` characters, neighbours merged."""
+    reach = least - length
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -186,42 +189,60 @@ def _region_rows(least: int):
                     by[p["shard"]].append(p["pos"])
                 for shard, at in by.items():
                     at = np.array(at)
-                    for b, e in _merge(np.maximum(at - reach, 0), np.minimum(at + ANCHOR + reach, len(text))):
+                    for b, e in _merge(np.maximum(at - reach, 0), np.minimum(at + least, len(text))):
                         rows.append((shard, d, b, text[b:e]))
             yield pd.DataFrame(rows, columns=["shard", "doc_id", "begin", "region"])
 
     return run
 
 
-def _automaton_spans(least: int):
-    """Distinct regions of one shard (shard, region_id, low, high, region) -> spans (shard, region_id, s, e) inside each region."""
+def longer(length: int, least: int) -> tuple[int, int]:
+    """(step, length) of the two longer anchors, at pos - step and at pos, of which every window of `least` characters around an anchor of `length` holds one."""
+    step = -(-(least - length) // 2)
+    return step, min(length + step, least + 1 - step)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("region_id")
-        automaton = Automaton()
-        for low, high, region in pdf[["low", "high", "region"]].itertuples(index=False):
-            automaton.add(region, low if low == high else -2)
-        automaton.finish()
-        rows = [(key[0], r, s, e) for r, region in pdf[["region_id", "region"]].itertuples(index=False) for s, e in automaton.spans(region, least)]
-        return pd.DataFrame(rows, columns=["shard", "region_id", "s", "e"])
+
+def _longer_rows(least: int, length: int):
+    """(doc_id, text, places) -> (doc_id, hash, pos) of the longer anchors that stand for anchors of `length` characters."""
+    step, more = longer(length, least)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, text, places in zip(pdf["doc_id"], pdf["text"], pdf["places"]):
+                for at in sorted({q for p in places for q in (p["pos"] - step, p["pos"]) if 0 <= q <= len(text) - more}):
+                    rows.append((d, gram_hashes(_codes(text[at:at + more]), more)[:1].view(np.int64)[0], at))
+            yield pd.DataFrame(rows, columns=["doc_id", "hash", "pos"])
 
     return run
 
 
-def _window_rows(least: int):
-    """Every window of `least` characters of a region: (shard, region_id, low, high, hash, pos)."""
+def _automaton_spans(least: int):
+    """Distinct regions of some shards (shard, k1, k2, low, high, region) -> spans (shard, k1, k2, s, e) inside each region of one owner."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "region_id", "low", "high"]
-        for b in batches:
-            for *own, region in zip(*(b.column(c).to_pylist() for c in (*names, "region"))):
-                h = gram_hashes(_codes(region), least).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([*[pa.array([x] * n, pa.string() if isinstance(x, str) else pa.int64()) for x in own], pa.array(h), pa.array(np.arange(n))], [*names, "hash", "pos"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["shard", "k1", "k2"], ignore_index=True)
+        owner = pd.factorize(pdf["low"])[0]
+        owner[(pdf["low"] != pdf["high"]).to_numpy()] = -2
+        automaton = Automaton()
+        for region, own in zip(pdf["region"], owner.tolist()):
+            automaton.add(region, own)
+        automaton.finish()
+        rows = [(k, s, e) for k in np.flatnonzero(owner != -2).tolist() for s, e in automaton.spans(pdf["region"].iat[k], least)]
+        out = pdf[["shard", "k1", "k2"]].iloc[[r[0] for r in rows]].reset_index(drop=True)
+        return out.assign(s=[r[1] for r in rows], e=[r[2] for r in rows])
 
     return run
 
 
+def _by_automata(distinct: DataFrame, needed: DataFrame, least: int, shard_chars: int) -> DataFrame:
+    """Spans (shard, k1, k2, s, e) inside the regions of one owner; shards are put together to automata of about shard_chars characters."""
+    chars = needed.agg(F.sum("chars")).first()[0] or 0
+    bundles = int(max(1, -(-chars // max(shard_chars, 1))))
+    rows = distinct.join(needed.select("shard"), "shard", "left_semi").withColumn("bundle", F.pmod(F.xxhash64("shard"), F.lit(bundles)))
+    return rows.groupBy("bundle").applyInPandas(_automaton_spans(least), "shard long, k1 long, k2 long, s long, e long")
+
+
 def unite(spans: DataFrame) -> DataFrame:
     """Per doc_id the union of its spans; overlapping and touching ones become one."""
     order = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
@@ -238,35 +259,45 @@ def shared_spans(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text
 
     1. Winnowing picks anchors (hashes of ANCHOR characters) such that every `least` characters hold one; equal strings
        have equal anchors. Anchors in one document only end here (a count with partial aggregation).
-    2. The shard of an anchor is the smallest document that has it. Each document sends the text around its anchors
-       (every window of `least` characters that holds one) to their shards, so two documents with a common string meet
-       in a shard of one of its anchors: no pairs are made.
-    3. Equal regions of a shard are one, with its smallest and largest document. A suffix automaton of the distinct
-       regions marks the states that two documents reach; each region streams through it, and the matching statistics
-       above the threshold are the spans. A shard of more than shard_chars of distinct text (one passage in a large
-       part of all documents, in many surroundings) is compared by window hashes instead, counted with partial
-       aggregation.
-    4. The spans of a region go back to every document that has it, and the runs of a document are united.
+    2. The reference shard of an anchor is the smallest document that has it. Each document sends the text around its
+       anchors (every window of `least` characters that holds one) to their shards, so two documents with a common
+       string meet in a shard of one of its anchors: no pairs are made. Equal regions of a shard are one, with its
+       smallest and largest document.
+    3. A shard of more than shard_chars of distinct text (one passage in a large part of all documents) is routed anew
+       by longer anchors, two for each of its anchors, until every shard fits: at the full length of a window all
+       regions of a shard are equal. All shards are thus bounded and treated alike.
+    4. A suffix automaton of the distinct regions of a shard marks the states that two documents reach. Each region of
+       one document streams through it, and the matching statistics above the threshold are its spans; a region that
+       two documents have is a span itself.
+    5. The spans of a region go back to every document that has it, and the runs of a document are united.
 
     Null, empty and shorter texts have no spans; a repeated row of one doc_id is no other document; an empty table
-    gives no rows. 64-bit hashes only route, but for the window hashes of oversized shards.
+    gives no rows. Hashes only route and name regions (128 bits).
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
     found = materialize(texts.mapInArrow(_anchor_rows(least), "doc_id long, hash long, pos long"), "anchors")
-    common = found.groupBy("hash").agg(F.min("doc_id").alias("shard"), F.max("doc_id").alias("most")).where("shard < most").select("hash", "shard")
-    places = found.join(common, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "pos")).alias("places"))
-    regions = texts.join(places, "doc_id").mapInPandas(_region_rows(least), "shard long, doc_id long, begin long, region string")
-    regions = materialize(regions.withColumn("region_id", F.sha2("region", 256)), "regions")
-    distinct = materialize(regions.groupBy("shard", "region_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("region").alias("region")), "distinct")
-    large = materialize(distinct.groupBy("shard").agg(F.sum(F.length("region")).alias("chars")).where(F.col("chars") > shard_chars).select("shard"), "large")
-    inside = "shard long, region_id string, s long, e long"
-    small = distinct.join(large, "shard", "left_anti").groupBy("shard").applyInPandas(_automaton_spans(least), inside)
-    windows = distinct.join(large, "shard", "left_semi").mapInArrow(_window_rows(least), "shard long, region_id string, low long, high long, hash long, pos long")
-    twice = windows.groupBy("shard", "hash").agg(F.min("low").alias("first"), F.max("high").alias("other")).where("first < other").select("shard", "hash")
-    hits = windows.join(twice, ["shard", "hash"], "left_semi").select("shard", "region_id", F.col("pos").alias("s"), (F.col("pos") + least).alias("e"))
-    spans = small.unionByName(hits).join(regions.select("shard", "region_id", "doc_id", "begin"), ["shard", "region_id"])
-    placed = spans.select("doc_id", (F.col("begin") + F.col("s")).alias("span_start"), (F.col("begin") + F.col("e")).alias("span_end")).distinct()
-    return unite(placed)
+    in_two = lambda t, *more: t.groupBy("hash").agg(F.min("doc_id").alias("shard"), F.max("doc_id").alias("most")).where("shard < most").select("hash", *more)
+    places = materialize(found.join(in_two(found, "shard").hint("merge"), "hash").select("doc_id", "shard", "pos"), "places")
+    discard(found)
+    length, out = ANCHOR, None
+    while True:
+        rows = texts.hint("merge").join(_grouped(places).hint("merge"), "doc_id").mapInPandas(_region_rows(least, length), "shard long, doc_id long, begin long, region string")
+        regions = materialize(rows.withColumns({f"k{k}": F.xxhash64("region", F.lit(k)) for k in (1, 2)}), "regions")
+        distinct = regions.groupBy("shard", "k1", "k2", "region").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        distinct = materialize(distinct, "distinct")
+        sizes = materialize(distinct.groupBy("shard").agg(F.sum(F.length("region")).alias("chars"), F.count_if(F.col("low") == F.col("high")).alias("single")), "sizes")
+        large = sizes.where((F.col("single") > 0) & (F.col("chars") > shard_chars) & F.lit(length < least)).select("shard")
+        fits = sizes.where((F.col("single") > 0) & ((F.col("chars") <= shard_chars) | F.lit(length == least)))
+        whole = distinct.where("low < high").join(large, "shard", "left_anti").select("shard", "k1", "k2", F.lit(0).cast("bigint").alias("s"), F.length("region").cast("bigint").alias("e"))
+        spans = whole.unionByName(_by_automata(distinct, fits, least, shard_chars)).hint("merge")
+        placed = spans.join(regions.select("shard", "k1", "k2", "doc_id", "begin"), ["shard", "k1", "k2"]).select("doc_id", (F.col("begin") + F.col("s")).alias("span_start"), (F.col("begin") + F.col("e")).alias("span_end"))
+        out = placed if out is None else out.unionByName(placed)
+        if large.isEmpty():
+            return unite(out.distinct())
+        again = places.join(large, "shard", "left_semi")
+        longer_found = materialize(texts.hint("merge").join(_grouped(again).hint("merge"), "doc_id").mapInPandas(_longer_rows(least, length), "doc_id long, hash long, pos long"), "anchors")
+        length = longer(length, least)[1]
+        places = materialize(longer_found.join(in_two(longer_found).hint("merge"), "hash").select("doc_id", F.col("hash").alias("shard"), "pos"), "places")
 
 
 def shared_parts(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
