@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector: a navigable small-world graph per shard, shard results merged."""
+"""Most similar vectors for every vector: a small-world graph per shard, stored as flat neighbour arrays; vectors ask the nearest shards, whose results are merged."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.storage import materialize
 
-#: Shards of a collection; more where a shard would exceed SHARD_ROWS.
-SHARDS = 8
-SHARD_ROWS = 200_000
+#: Cells of a collection; more where a cell would exceed SHARD_ROWS on average, MOST_CELLS at most. A cell of more than
+#: SHARD_ROWS vectors is several shards.
+CELLS, SHARD_ROWS, MOST_CELLS = 4, 100_000, 512
+#: Vectors that the cells' centres are fitted on: so many a cell, but at least and at most these.
+SAMPLE_A_CELL, SAMPLE_LEAST, SAMPLE_MOST = 64, 2_048, 32_768
 #: Links of a node in the upper layers and in the lowest one; candidates kept while building and while searching.
 LINKS, BASE_LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 24, 40, 56
 #: Queries that walk the graph together, and nodes that are inserted together.
@@ -29,11 +32,23 @@ NONE = np.iinfo(np.int64).max
 class Graph:
     """A hierarchical navigable small-world graph over unit vectors, held as flat neighbour arrays (-1: no link)."""
 
-    def __init__(self, vectors: np.ndarray, seed: int = 5):
+    def __init__(self, vectors: np.ndarray, seed: int = 5, flat: list[np.ndarray] | None = None):
+        """Builds the graph, or takes it from the arrays of flat()."""
         self.v = vectors
         n = len(vectors)
+        if flat is not None:
+            self.level = np.array([(len(x) - BASE_LINKS) // LINKS for x in flat])
+            self.links = []
+            for layer in range(int(self.level.max()) + 1):
+                lo, width = (0, BASE_LINKS) if layer == 0 else (BASE_LINKS + (layer - 1) * LINKS, LINKS)
+                links = np.full((n, width), -1, np.int32)
+                at = np.flatnonzero(self.level >= layer)
+                links[at] = np.stack([flat[k][lo:lo + width] for k in at])
+                self.links.append(links)
+            self.entry = int(self.level.argmax())
+            return
         rng = np.random.default_rng(seed)
-        self.level = np.minimum((-np.log(rng.random(n) + 1e-12) / np.log(LINKS)).astype(int), 6)
+        self.level = (-np.log(rng.random(n) + 1e-12) / np.log(LINKS)).astype(int)
         # Nodes of higher layers come first: a batch then never needs an entry point above those it can find.
         self.order = np.argsort(-self.level, kind="stable")
         top = int(self.level.max()) if n else 0
@@ -41,6 +56,10 @@ class Graph:
         self.entry = int(self.order[0]) if n else -1
         self._build()
 
+    def flat(self) -> list[np.ndarray]:
+        """Per node its links from the lowest layer up to its own, as one array."""
+        return [np.concatenate([self.links[layer][k] for layer in range(level + 1)]) for k, level in enumerate(self.level.tolist())]
+
     def _build(self) -> None:
         done = 1
         n = len(self.v)
@@ -231,32 +250,96 @@ def _answers(graph: Graph, exact: np.ndarray, own: np.ndarray, members: np.ndarr
 _OUT = pa.schema([("space", pa.string()), ("id", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
 
 
+def visits(cells: int) -> int:
+    """How many of the nearest cells a vector asks: all of few, and one more each time their number doubles."""
+    return min(cells, CELLS + int(np.ceil(np.log2(max(cells / CELLS, 1)))))
+
+
+def centres(vectors: np.ndarray, cells: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """Unit centres of `cells` clusters of unit vectors (k-means by cosine)."""
+    rng = np.random.default_rng(seed)
+    out = vectors[rng.choice(len(vectors), min(cells, len(vectors)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (vectors @ out.T).argmax(axis=1)
+        for k in range(len(out)):
+            if (own == k).any():
+                out[k] = vectors[own == k].sum(axis=0)
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out
+
+
+def _route(to: np.ndarray, most: int):
+    """Adds `cells`: the `most` cells of the nearest centres, the nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = _unit(_matrix(b.column("vector"), to.shape[1]))
+            near = np.argsort(-np.round(m @ to.T, 9), axis=1, kind="stable")[:, :most].astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], [*b.schema.names, "cells"])
+
+    return run
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (slot, id) -> the same rows with their place `node` in the graph of the slot and their `links` there."""
+
+    def built(slot: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        column = rows.column("vector").chunk(0)
+        flat = Graph(_unit(_matrix(column, len(column[0]))).astype(np.float32)).flat()
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
+        links = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+        rows = rows.append_column("node", pa.array(np.arange(len(flat), dtype=np.int32))).append_column("links", links)
+        yield from rows.to_batches(max_chunksize=4096)
+
+    slot, parts = None, []
+    for b in batches:
+        slots = b.column("slot").to_numpy()
+        cuts = np.flatnonzero(np.diff(slots)) + 1
+        for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
+            if hi > lo and slots[lo] != slot:
+                if parts:
+                    yield from built(slot, parts)
+                slot, parts = slots[lo], []
+            if hi > lo:
+                parts.append(b.slice(int(lo), int(hi - lo)))
+    if parts:
+        yield from built(slot, parts)
+
+
 def _per_shard(k: int, beam: int):
-    """Over rows sorted by (slot, is_query): builds the graph of each shard from its index rows, then answers its queries as they stream by."""
+    """Over rows sorted by (slot, is_query, node): takes the graph of each shard from its node rows, then answers its queries as they stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, ids, lists, vecs, graph, exact, own, members = None, [], [], [], None, None, None, None
+        slot, ids, lists, vecs, links, graph, exact, own, members = None, [], [], [], [], None, None, None, None
         for b in batches:
+            if not b.num_rows:
+                continue
             slots = b.column("slot").to_numpy()
             asks = b.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
             cuts = np.flatnonzero((np.diff(slots) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
             for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(slots)]])):
                 part = b.slice(int(lo), int(hi - lo))
                 if slots[lo] != slot:
-                    slot, ids, lists, vecs, graph = slots[lo], [], [], [], None
+                    slot, ids, lists, vecs, links, graph = slots[lo], [], [], [], [], None
                 own_ids = part.column("id").to_numpy()
                 m = _unit(_matrix(part.column("vector"), len(part.column("vector")[0])))
                 if not asks[lo]:
                     ids.append(own_ids)
                     lists.append(_padded(part.column("ids"), k + 1))
                     vecs.append(m)
+                    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(part.column("links")).to_numpy(zero_copy_only=False))])
+                    links += np.split(part.column("links").flatten().to_numpy(), starts[1:-1])
                     continue
                 if graph is None:
                     if not ids:
                         continue
                     own, members, exact = np.concatenate(ids), np.concatenate(lists), np.concatenate(vecs)
-                    lists, vecs = [], []
-                    graph = Graph(exact.astype(np.float32))
+                    graph = Graph(exact.astype(np.float32), flat=links)
+                    lists, vecs, links = [], [], []
                 rows, others, sims = _answers(graph, exact, own, members, own_ids, m, k, beam)
                 yield pa.RecordBatch.from_arrays([part.column("space").take(pa.array(rows)), pa.array(own_ids[rows]), pa.array(others), pa.array(sims)], schema=_OUT)
 
@@ -287,38 +370,67 @@ def equal_classes(rows: DataFrame, n_ids: int) -> tuple[DataFrame, DataFrame]:
     return materialize(classes.select("space", F.col("class").alias("id"), "vector", "ids"), "classes"), members
 
 
-def nearest(spaces: list[DataFrame], k: int, shards: int = SHARDS, beam: int = SEARCH_BEAM) -> DataFrame:
+def _routed(classes: DataFrame, cells: int, shard_rows: int) -> tuple[DataFrame, dict[str, list[int]]]:
+    """classes with `cells`, the cells each vector asks (its own first), written to the shared folder; per space the number of shards of every cell."""
+    kinds, out, sizes = dict(classes.dtypes), None, {}
+    schema = f"space string, id long, vector {kinds['vector']}, ids array<long>, cells array<int>"
+    for r in classes.groupBy("space").agg(F.count("*").alias("n"), F.first(F.size("vector")).alias("d")).orderBy("space").collect():
+        here = classes.where(F.col("space") == r.space)
+        n = min(MOST_CELLS, max(cells, -(-r.n // shard_rows)))
+        sample = here.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_A_CELL * n))).select("vector").toArrow()
+        to = centres(_unit(_matrix(sample.column("vector").combine_chunks(), r.d)), n)
+        part = here.select("space", "id", "vector", "ids").mapInArrow(_route(to, visits(len(to))), schema)
+        out, sizes[r.space] = part if out is None else out.unionByName(part), [0] * len(to)
+    if out is None:
+        return classes.withColumn("cells", F.array().cast("array<int>")), sizes
+    out = materialize(out, "routed")
+    for r in out.groupBy("space", F.col("cells")[0].alias("cell")).count().collect():
+        sizes[r.space][r.cell] = -(-r["count"] // shard_rows)
+    return out, sizes
+
+
+def nearest(spaces: list[DataFrame], k: int, cells: int = CELLS, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """space, id, other, similarity, rank: for every vector the k most similar others of its space (cosine rounded to 6 decimals, then the smaller id).
 
-    spaces are tables of usable_vectors. Equal vectors make one class, which is indexed and asked for once. The classes
-    of a space are cut into shards by a hash of the id; one task per shard builds the graph from its rows and answers
-    all classes of the space, which pass by as a stream, so a task holds one shard only. A class's best over all shards
-    and its own smallest ids, one more than k, give the answer of every member, itself left out. Approximate: a
-    neighbour is missed if the walk of its shard misses it; the similarities are exact, and so are ties. Spaces of one
-    vector or none give no rows.
+    spaces are tables of usable_vectors. Equal vectors make one class, which is indexed and asked for once.
+
+    1. Centres fitted on a bounded sample cut a space into cells; every class belongs to its nearest one. A cell of more
+       than shard_rows classes is cut further by a hash of the id. Each such shard has one graph, built by one task and
+       stored row by row: a class with its links on all layers as one flat array.
+    2. Every class asks the shards of its nearest cells (visits()), so the work grows with the number of classes alone. A
+       task loads the graph of one shard; the classes that ask pass by as a stream.
+    3. A class's best over those shards and its own smallest ids, one more than k, give the answer of every member,
+       itself left out.
+
+    Approximate: a neighbour is missed if its cell is not asked or the walk of its shard misses it; the similarities are
+    exact, and so are ties. Spaces of one vector or none give no rows.
     """
     rows = spaces[0]
     for s in spaces[1:]:
         rows = rows.unionByName(s)
     classes, members = equal_classes(rows, k + 1)
-    place, first = F.lit(None).cast("int"), 0
-    firsts = F.lit(None).cast("array<int>")
-    for r in classes.groupBy("space").count().orderBy("space").collect():
-        n = max(shards, -(-r["count"] // SHARD_ROWS))
-        here = F.col("space") == r["space"]
-        place = F.when(here, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") + first).otherwise(place)
-        firsts = F.when(here, F.sequence(F.lit(first), F.lit(first + n - 1))).otherwise(firsts)
-        first += n
-    index = classes.withColumn("slot", place).withColumn("is_query", F.lit(False))
-    asks = classes.withColumn("ids", F.lit(None).cast("array<long>")).withColumn("slot", F.explode(firsts)).withColumn("is_query", F.lit(True))
-    placed = index.unionByName(asks).repartitionById(max(first, 1), F.col("slot")).sortWithinPartitions("slot", "is_query", "id")
-    found = placed.select("slot", "is_query", "space", "id", "vector", "ids").mapInArrow(_per_shard(k, beam), "space string, id long, other long, similarity double")
+    routed, sizes = _routed(classes, cells, shard_rows)
+    first, firsts, counts = 0, F.lit(None).cast("array<int>"), F.lit(None).cast("array<int>")
+    for space, shards in sizes.items():
+        here, starts = F.col("space") == space, np.cumsum([first, *shards]).tolist()
+        firsts = F.when(here, F.array(*map(F.lit, starts[:-1]))).otherwise(firsts)
+        counts = F.when(here, F.array(*map(F.lit, shards))).otherwise(counts)
+        first = starts[-1]
+    own = F.col("cells")[0]
+    shard_of = F.get(firsts, own) + F.pmod(F.xxhash64("id"), F.get(counts, own).cast("bigint")).cast("int")
+    indexed = routed.select("space", "id", "vector", "ids", shard_of.alias("slot")).repartitionById(max(first, 1), F.col("slot")).sortWithinPartitions("slot", "id")
+    kind = dict(routed.dtypes)["vector"]
+    graphs = materialize(indexed.mapInArrow(_build, f"space string, id long, vector {kind}, ids array<long>, slot int, node int, links array<int>"), "graphs")
+    asked = F.flatten(F.transform(F.filter("cells", lambda c: F.get(counts, c) > 0), lambda c: F.sequence(F.get(firsts, c), F.get(firsts, c) + F.get(counts, c) - 1)))
+    asks = routed.select("space", "id", "vector", F.explode(asked).alias("slot"), F.lit(True).alias("is_query"))
+    placed = graphs.withColumn("is_query", F.lit(False)).unionByName(asks, allowMissingColumns=True).repartitionById(max(first, 1), F.col("slot")).sortWithinPartitions("slot", "is_query", "node")
+    found = placed.select("slot", "is_query", "space", "id", "vector", "ids", "links").mapInArrow(_per_shard(k, beam), "space string, id long, other long, similarity double")
     found = found.unionByName(classes.select("space", "id", F.explode("ids").alias("other"), F.lit(1.0).alias("similarity")))
     best = Window.partitionBy("space", "id").orderBy(F.desc("similarity"), "other")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     lists = found.groupBy("space", F.col("id").alias("class")).agg(F.array_sort(F.collect_list(F.struct("place", "other", "similarity"))).alias("found"))
     others = F.slice(F.filter("found", lambda f: f["other"] != F.col("id")), 1, k)
-    out = members.join(lists, ["space", "class"]).select("space", "id", F.posexplode(others).alias("at", "f"))
+    out = members.join(lists.hint("merge"), ["space", "class"]).select("space", "id", F.posexplode(others).alias("at", "f"))
     return out.select("space", "id", "f.other", "f.similarity", (F.col("at") + 1).alias("rank"))
 
 
