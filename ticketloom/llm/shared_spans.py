@@ -17,6 +17,8 @@ from ticketloom.storage import discard, materialize
 ANCHOR = 80
 #: Characters of distinct text of a reference shard, and of the shards whose automaton is built together.
 SHARD_CHARS = 150_000
+#: Tasks of a stage at most.
+MOST_TASKS = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,6 +242,8 @@ def _by_automata(distinct: DataFrame, needed: DataFrame, least: int, shard_chars
     chars = needed.agg(F.sum("chars")).first()[0] or 0
     bundles = int(max(1, -(-chars // max(shard_chars, 1))))
     rows = distinct.join(needed.select("shard"), "shard", "left_semi").withColumn("bundle", F.pmod(F.xxhash64("shard"), F.lit(bundles)))
+    # A task for every automaton: they are small as data and long as work, so the optimiser would put too many together.
+    rows = rows.repartition(min(bundles, MOST_TASKS), "bundle")
     return rows.groupBy("bundle").applyInPandas(_automaton_spans(least), "shard long, k1 long, k2 long, s long, e long")
 
 
