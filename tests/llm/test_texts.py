@@ -79,6 +79,23 @@ def test_mix_meets_weights_and_caps(spark, block_rows):
     assert all(capped[s].most_repeats == capped[s].max_repeats for s in ("big", "mid", "small"))
 
 
+def test_landing_uses_repeats():
+    """Few long documents: a total between their sums is met by using some once more and others once less."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        size = rng.integers(200, 900, 30).astype(float)
+        cap, uses = np.full(30, 4), rng.integers(0, 2, 30).astype(float)
+        total = float(size.sum() * rng.uniform(0.5, 2.5))
+        got = M.even_out(uses, size, cap, total)
+        assert (got >= 0).all() and (got <= cap).all() and abs((got * size).sum() - total) <= 0.01 * total
+
+
+def test_promises_are_judged(spark):
+    plan = spark.createDataFrame([("a", 0.5, 2, 2, 100, 1.0), ("b", 0.5, 1, 3, 300, 0.5)], "source string, target_weight double, max_repeats int, n_docs long, n_tokens long, uses double")
+    chosen = spark.createDataFrame([(1, "a", 50, 2), (2, "b", 100, 2), (3, "b", 100, 1)], "doc_id long, source string, n_tokens long, repeats int")
+    assert {r.source: (r.cap_kept, r.share_met) for r in M.kept_promises(chosen, plan).collect()} == {"a": (True, True), "b": (False, False)}
+
+
 def test_mix_of_nothing(spark):
     counted = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     weights = spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int")

@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.storage import materialize
+from ticketloom.storage import is_written, materialize
 
 #: Documents that one flight moves in one task; larger sources are cut into blocks, whose left-over documents (at most
 #: two a block) fly again together.
 BLOCK_ROWS = 20_000
+#: Share of a source's tokens that the landing may miss before single documents are used once more or once less.
+TOLERANCE = 0.001
 _EPS = 1e-9
 
 
@@ -97,55 +99,68 @@ def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pi
 
 
-def even_out(pi: np.ndarray, size: np.ndarray, total: float, rounds: int = 4) -> np.ndarray:
-    """Exchanges single documents, taken for not taken, while that brings the taken size nearer to `total`.
+def even_out(uses: np.ndarray, size: np.ndarray, cap: np.ndarray, total: float, rounds: int = 500, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Changes how often single documents are used, within 0..cap, until their size is within tolerance of `total` or no change helps.
 
-    The landing of one very long document can miss the total by its length; the number of documents stays.
+    The landing of a long document can miss the total by its length. A change uses one document once more, one once
+    less, or both; the best of all is taken each time, so few documents leave their drawn numbers, and none where the
+    flight has met the total already.
     """
-    pi = pi.copy()
+    uses = uses.copy()
+    none = np.array([-1])  # stands for no document, of size 0
     for _ in range(rounds):
-        miss = total - float((pi * size).sum())
-        taken, free = np.flatnonzero(pi == 1), np.flatnonzero(pi == 0)
-        if not len(taken) or not len(free):
+        miss = total - float((uses * size).sum())
+        if abs(miss) <= tolerance * total:
             break
-        free = free[np.argsort(size[free], kind="stable")]
-        at = np.searchsorted(size[free], size[taken] + miss)
-        pairs = np.concatenate([np.clip(at - 1, 0, len(free) - 1), np.clip(at, 0, len(free) - 1)])
-        left = np.abs(miss - (size[free[pairs]] - np.tile(size[taken], 2)))
+        more, less = np.concatenate([none, np.flatnonzero(uses < cap)]), np.concatenate([none, np.flatnonzero(uses > 0)])
+        more_size, less_size = np.where(more < 0, 0, size[more]), np.where(less < 0, 0, size[less])
+        order = np.argsort(more_size, kind="stable")
+        more, more_size = more[order], more_size[order]
+        at = np.searchsorted(more_size, less_size + miss)
+        pairs = np.concatenate([np.clip(at - 1, 0, len(more) - 1), np.clip(at, 0, len(more) - 1)])
+        left = np.abs(miss - (more_size[pairs] - np.tile(less_size, 2)))
         best = int(left.argmin())
         if left[best] >= abs(miss):
             break
-        pi[free[pairs[best]]], pi[np.tile(taken, 2)[best]] = 1, 0
-    return pi
+        for k, d in ((more[pairs[best]], 1), (np.tile(less, 2)[best], -1)):
+            if k >= 0:
+                uses[k] += d
+    return uses
+
+
+_ITEM = "doc_id long, source string, n_tokens long, pi double, whole int, cap int"
 
 
 def _fly(last: bool, seed: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", ignore_index=True)
         rng = np.random.default_rng([seed, int(pdf["doc_id"].iloc[0]) & 0x7FFFFFFF, len(pdf)])
-        size, wanted = pdf["n_tokens"].to_numpy(float), pdf["pi"].to_numpy()
+        size, wanted, whole = pdf["n_tokens"].to_numpy(float), pdf["pi"].to_numpy(), pdf["whole"].to_numpy()
         pi = flight(wanted, size, rng)
-        pdf["pi"] = even_out(landing(pi, size), size, float((wanted * size).sum())) if last else pi
-        return pdf[["doc_id", "source", "n_tokens", "pi"]]
+        if last:
+            pi = even_out(landing(pi, size) + whole, size, pdf["cap"].to_numpy(), float(((wanted + whole) * size).sum())) - whole
+        pdf["pi"] = pi
+        return pdf[["doc_id", "source", "n_tokens", "pi", "whole", "cap"]]
 
     return run
 
 
 def balanced_sample(items: DataFrame, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """items (doc_id, source, n_tokens, pi) with pi set to 0 or 1: a balanced sample in which each source keeps its sums of pi and pi * n_tokens but for the landing.
+    """items (doc_id, source, n_tokens, pi, whole, cap) with pi set to a whole number: a balanced sample in which each source keeps its sums of pi and pi * n_tokens but for the landing.
 
-    Sources larger than block_rows fly in blocks; what the blocks leave (at most two documents each) flies again, so
-    each round holds 2 / block_rows of the documents of the one before.
+    A document is to be used whole + pi times, cap times at most. Sources larger than block_rows fly in blocks; what the
+    blocks leave (at most two documents each) flies again, so each round holds 2 / block_rows of the documents of the
+    one before. The last flight lands and is evened out, which may use one of its documents once more or less.
     """
-    schema = "doc_id long, source string, n_tokens long, pi double"
     decided = None
     while True:
         sizes = items.groupBy("source").agg(F.count("*").alias("n"))
         largest = sizes.agg(F.max("n")).first()[0] or 0
         blocks = sizes.select("source", F.ceil(F.col("n") / block_rows).alias("blocks"))
-        placed = items.join(blocks, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))).drop("blocks")
+        # One row per weighted source: as many as the weights table names, whatever the documents are.
+        placed = items.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))).drop("blocks")
         last = largest <= block_rows
-        flown = placed.groupBy("source", "block").applyInPandas(_fly(last, seed), schema)
+        flown = placed.groupBy("source", "block").applyInPandas(_fly(last, seed), _ITEM)
         if last:
             return flown if decided is None else decided.unionByName(flown)
         flown = materialize(flown, "flight")
@@ -158,21 +173,18 @@ def mix(counted: DataFrame, weights: DataFrame, total_tokens: int | None = None,
     """(chosen, plan): chosen has doc_id, source, n_tokens, repeats (1..max_repeats) of every document used.
 
     counted has doc_id, source, n_tokens. Each document of a source is used floor(uses) times, and once more for those
-    that the cube sample takes with probability uses - floor(uses). Documents without source, of a source without
-    weight, or without tokens are not used (a text of no tokens adds to no share). A weighted source without documents
-    is in the plan with 0 uses. Empty tables give no rows.
+    that the cube sample takes with probability uses - floor(uses); the landing may change single documents by one, so
+    that a source of few long documents meets its tokens as well. Documents without source, of a source without weight,
+    or without tokens are not used (a text of no tokens adds to no share). A weighted source without documents is in
+    the plan with 0 uses. Empty tables give no rows.
     """
-    counted = materialize(counted, "counted")
+    counted = counted if is_written(counted) else materialize(counted, "counted")
     sizes = counted.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0)).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     plan = plan_sources(sizes, weights, total_tokens)
-    uses = plan.where("uses > 0").select("source", F.floor("uses").alias("whole"), (F.col("uses") - F.floor("uses")).alias("pi"))
+    uses = plan.where("uses > 0").select("source", F.floor("uses").cast("int").alias("whole"), (F.col("uses") - F.floor("uses")).alias("pi"), F.col("max_repeats").alias("cap"))
     items = counted.where(F.col("n_tokens") > 0).join(F.broadcast(uses), "source")  # one row per weighted source
-    drawn = balanced_sample(items.select("doc_id", "source", "n_tokens", "pi"), seed, block_rows)
-    chosen = (
-        drawn.join(F.broadcast(uses.select("source", "whole")), "source")
-        .select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("pi")).cast("int").alias("repeats"))
-        .where("repeats > 0")
-    )
+    drawn = balanced_sample(items.select("doc_id", "source", "n_tokens", "pi", "whole", "cap"), seed, block_rows)
+    chosen = drawn.select("doc_id", "source", "n_tokens", (F.col("whole") + F.round("pi")).cast("int").alias("repeats")).where("repeats > 0")
     return chosen, plan
 
 
@@ -185,3 +197,12 @@ def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return plan.join(drawn, "source", "left").select(
         "source", "target_weight", F.round(F.coalesce("tokens_drawn", F.lit(0)) / total, 6).alias("reached_share"), "max_repeats", zero("n_drawn"), zero("tokens_drawn"), zero("most_repeats"))
+
+
+def kept_promises(chosen: DataFrame, plan: DataFrame, within: float = 0.01) -> DataFrame:
+    """Per source of the plan that has tokens: cap_kept, and share_met: its tokens are those planned, up to `within` of them or its shortest document."""
+    drawn = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most"), F.min("n_tokens").alias("shortest"))
+    wanted = F.col("uses") * F.col("n_tokens")
+    joined = plan.where("n_tokens > 0 AND max_repeats > 0 AND target_weight > 0").join(drawn, "source", "left")
+    return joined.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"),
+                         (F.abs(F.coalesce("tokens", F.lit(0)) - wanted) <= F.greatest(wanted * within, F.coalesce("shortest", "n_tokens"))).alias("share_met"))

@@ -140,6 +140,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
+def p9_kept_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether caps and shares are kept, for the largest total that meets every share, and for the whole corpus's tokens as total, at which caps bind."""
+    counted = materialize(corpus_tokens.token_counts(table(spark, sf_dir, "documents"), keep=("source",)), "counted")
+    total = counted.agg(F.sum("n_tokens")).first()[0] or 0
+    weights = table(spark, sf_dir, "source_weights")
+    parts = [mixing.kept_promises(*mixing.mix(counted, weights, t)).select(F.lit(name).alias("total"), "*") for name, t in (("largest", None), ("given", total))]
+    return parts[0].unionByName(parts[1])
+
+
+def p9_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of a total that no source can reach: every document as often as its source allows."""
+    counted = corpus_tokens.token_counts(table(spark, sf_dir, "documents"), keep=("source",))
+    return mixing.mix(counted, table(spark, sf_dir, "source_weights"), 10**15)[0].select("doc_id", "source", "repeats")
+
+
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 3 most similar others of every usable vector, in both spaces."""
     dense = neighbours.usable_vectors(table(spark, sf_dir, "dense_embedding_space"), "issue_id", "document_vector", 192, "dense")
@@ -192,7 +207,7 @@ QUERIES = {
     "p10_found": p10_found, "p10_shared_parts": p10_shared_parts,
     "p4_found": p4_found, "p4_clean_text": p4_clean_text,
     "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall,
-    "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept_promises": p9_kept_promises, "p9_everything": p9_everything,
     "p3_found": p3_found, "p3_classes": p3_classes,
     "p5_found": p5_found, "p5_group_sizes": p5_group_sizes,
     "p8_ids": p8_ids, "p8_token_counts": p8_token_counts, "p8_round_trip": p8_round_trip,
@@ -217,6 +232,10 @@ _P10 = """
         """
 
 SQL = {
+    "p9_kept_promises": """SELECT total, source, true AS cap_kept, true AS share_met FROM (SELECT DISTINCT source FROM source_weights WHERE target_weight > 0 AND max_repeats > 0),
+        (SELECT unnest(['largest', 'given']) AS total) WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)""",
+    "p9_everything": """SELECT doc_id, source, max_repeats AS repeats FROM documents
+        JOIN (SELECT source, max(max_repeats) AS max_repeats, max(target_weight) AS w FROM source_weights GROUP BY 1) USING (source) WHERE length(text) > 0 AND w > 0 AND max_repeats > 0""",
     "p6_neighbours": _P6 + "SELECT space_name AS space, id, other, s AS similarity, rn AS rank FROM best",
     "p10_found": _P10 + "SELECT doc_id, span_start, span_end FROM spans",
     "p10_shared_parts": _P10 + """, own AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY 1)
