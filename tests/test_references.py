@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from ticketloom.operators.references import orphan_references, orphan_report
+from ticketloom.operators.references import bloom_words, orphan_references, orphan_report
 
 SCHEMA = "issue_id long, linked_issue_ids string, duplicate_issue_ids string, loaded_at timestamp_ntz, maybe string"
 FIELDS = ["linked_issue_ids", "duplicate_issue_ids"]
@@ -24,7 +24,14 @@ def test_missing_later_and_deleted(spark):
 
 def test_a_tiny_filter_changes_nothing(spark):
     rows = [(k, f"{k + 1}||{k + 5000}", None, T(2024, 1, 1)) for k in range(300)]
-    assert find(spark, rows, bloom_words=2) == find(spark, rows) and len(find(spark, rows)) == 301
+    assert find(spark, rows, most_words=2) == find(spark, rows) and len(find(spark, rows)) == 301
+
+
+def test_the_filter_follows_the_keys(spark):
+    assert [bloom_words(n) for n in (0, 1, 1000, 10_000_000, 10**12)] == [64, 64, 256, 1 << 21, 1 << 22]
+    report = {}
+    rows = [(k, f"{k + 100_000}", None, T(2024, 1, 1)) for k in range(2000)]
+    assert len(find(spark, rows, report=report)) == 2000 and report["n_keys"] == report["n_references"] == 2000 and report["n_proven"] > 1900
 
 
 def test_repeats_nulls_and_reloads(spark):

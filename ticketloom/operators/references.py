@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the Bloom filter: 2^19 words of 64 bits are 4 MB of bits, and at most 2^19 broadcast rows.
-BLOOM_WORDS = 1 << 19
-BLOOM_BITS = 4
+from ticketloom.storage import materialize
+
+#: Bits of the Bloom filter for each key, and bits that a key sets. The filter has at most MOST_WORDS words of 64 bits
+#: (32 MB, some 27 million keys at these bits); it is broadcast in rows of ROW_WORDS words.
+BITS_PER_KEY, BLOOM_BITS, MOST_WORDS, ROW_WORDS = 10, 4, 1 << 22, 64
 
 
 def named_id(token: Column) -> Column:
@@ -34,23 +36,31 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom_filter(keys: DataFrame, key: str, words: int = BLOOM_WORDS) -> DataFrame:
-    """A blocked Bloom filter as a table (word, mask) of at most `words` rows: each key sets BLOOM_BITS bits of one word."""
-    return (
-        keys.where(F.col(key).isNotNull())
-        .groupBy(_word(F.col(key), words).alias("word"))
-        .agg(F.bit_or(_mask(F.col(key))).alias("mask"))
-    )
+def bloom_words(n_keys: int, most: int = MOST_WORDS) -> int:
+    """Words of a filter for so many keys: a power of two. Beyond `most` the filter proves less and the exact join decides more."""
+    need = -(-n_keys * BITS_PER_KEY // 64)
+    return min(most, 1 << max(need - 1, ROW_WORDS - 1).bit_length())
+
+
+def bloom_filter(keys: DataFrame, key: str, words: int) -> DataFrame:
+    """A blocked Bloom filter as a table (row, masks) of at most words / ROW_WORDS rows: each key sets BLOOM_BITS bits of one word."""
+    word = _word(F.col(key), words)
+    masks = keys.where(F.col(key).isNotNull()).groupBy(word.alias("word")).agg(F.bit_or(_mask(F.col(key))).alias("mask"))
+    rows = masks.groupBy(F.shiftright("word", 6).alias("row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(ROW_WORDS - 1)).alias("k"), "mask"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(ROW_WORDS - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("bigint")), F.lit(0).cast("bigint")))
+    return rows.select("row", dense.alias("masks"))
 
 
-def bloom_split(rows: DataFrame, key: str, bloom: DataFrame, words: int = BLOOM_WORDS) -> DataFrame:
-    """rows with the column `maybe`: false proves that the key is in no row the filter was made of."""
+def bloom_split(rows: DataFrame, key: str, bloom: DataFrame, words: int) -> DataFrame:
+    """rows with the column `maybe`: false proves that the key is in no row the filter was made of. The filter's size is bounded (MOST_WORDS), so it is broadcast."""
     need = _mask(F.col(key))
+    at = _word(F.col(key), words)
+    mask = F.get("__masks", at.bitwiseAND(F.lit(ROW_WORDS - 1)).cast("int"))
     return (
-        rows.withColumn("__word", _word(F.col(key), words))
-        .join(F.broadcast(bloom.withColumnRenamed("word", "__word").withColumnRenamed("mask", "__mask")), "__word", "left")
-        .withColumn("maybe", F.coalesce(F.col("__mask").bitwiseAND(need) == need, F.lit(False)))
-        .drop("__word", "__mask")
+        rows.withColumn("__row", F.shiftright(at, 6))
+        .join(F.broadcast(bloom.withColumnRenamed("row", "__row").withColumnRenamed("masks", "__masks")), "__row", "left")
+        .withColumn("maybe", F.coalesce(mask.bitwiseAND(need) == need, F.lit(False)))
+        .drop("__row", "__masks")
     )
 
 
@@ -67,29 +77,36 @@ def references(rows: DataFrame, fields: list[str], id_col: str = "issue_id", tim
 
 
 def orphan_references(rows: DataFrame, deleted: DataFrame, fields: list[str], id_col: str = "issue_id",
-                      time_col: str = "loaded_at", deleted_col: str = "deleted_at", bloom_words: int = BLOOM_WORDS,
-                      keep_sound: bool = False) -> DataFrame:
+                      time_col: str = "loaded_at", deleted_col: str = "deleted_at", most_words: int = MOST_WORDS,
+                      keep_sound: bool = False, report: dict | None = None) -> DataFrame:
     """References to records that are missing, deleted or come later.
 
     A reference is an orphan if, at the end of the calendar month of the naming row's load, its target has no row
-    loaded yet or is deleted. A broadcast Bloom filter of the keys that have rows proves orphans outright; only
-    filter-positive references are joined with the keys.
+    loaded yet or is deleted. A broadcast Bloom filter of the keys that have rows, of a size that follows their number
+    up to most_words, proves orphans outright; only filter-positive references are joined with the keys. References are
+    read and marked once and written to the shared folder.
 
     Result: issue_id, field_name, target_issue_id, period ('yyyy-MM'), and with keep_sound every reference with the
-    flag is_orphan. Nulls: a null or blank field names nothing; a null issue_id is kept as null; a row without a load
-    time has no month and its references are reported with a null period as orphans only if the target has no row at
-    all; a target row without load time counts as never loaded. Repeated rows count once. Empty tables give no rows.
+    flag is_orphan. report: a dictionary that gets n_keys, n_references and n_proven. Nulls: a null or blank field names
+    nothing; a null issue_id is kept as null; a row without a load time has no month and its references are reported
+    with a null period as orphans only if the target has no row at all; a target row without load time counts as never
+    loaded. Repeated rows count once. Empty tables give no rows.
     """
-    keys = rows.groupBy(F.col(id_col).alias("target_issue_id")).agg(F.min(F.col(time_col).cast("date")).alias("first_loaded"))
+    keys = materialize(rows.groupBy(F.col(id_col).alias("target_issue_id")).agg(F.min(F.col(time_col).cast("date")).alias("first_loaded")), "keys")
     gone = deleted.groupBy(F.col(id_col).alias("target_issue_id")).agg(F.min(F.col(deleted_col).cast("date")).alias("gone_at"))
-    bloom = bloom_filter(rows.select(F.col(id_col).alias("key")), "key", bloom_words)
-    refs = bloom_split(references(rows, fields, id_col, time_col), "target_issue_id", bloom, bloom_words)
+    n_keys = keys.count()
+    words = bloom_words(n_keys, most_words)
+    bloom = bloom_filter(keys, "target_issue_id", words)
+    refs = materialize(bloom_split(references(rows, fields, id_col, time_col), "target_issue_id", bloom, words), "references")
+    if report is not None:
+        n, proven = refs.agg(F.count("*"), F.count_if(~F.col("maybe"))).first()
+        report.update(n_keys=n_keys, n_references=n, n_proven=proven)
     end = F.add_months("month", 1)
     proven = refs.where(~F.col("maybe")).withColumn("is_orphan", F.lit(True))
     verified = (
         refs.where("maybe")
-        .join(keys, "target_issue_id", "left")
-        .join(gone, "target_issue_id", "left")
+        .join(keys, "target_issue_id", "left").hint("merge")
+        .join(gone.hint("merge"), "target_issue_id", "left")
         .withColumn("is_orphan", F.col("first_loaded").isNull() | F.coalesce((F.col("first_loaded") >= end) | (F.col("gone_at") < end), F.lit(False)))
     )
     cols = ["issue_id", "field_name", "target_issue_id", F.date_format("month", "yyyy-MM").alias("period")]
