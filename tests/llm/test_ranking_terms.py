@@ -19,13 +19,22 @@ def brute_positions(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 5])
-def test_positions_against_brute_force(spark, monkeypatch, bucket_rows):
-    """With tiny buckets every group is cut at its quantiles; the result is the same."""
-    monkeypatch.setattr(R, "BUCKET_ROWS", bucket_rows)
-    rows = [(k % 2, k, [None, NAN, INF, -INF, 0.0, 1.5][k % 6] if k % 5 == 0 else float((k * 7) % 40)) for k in range(150)]
+@pytest.mark.parametrize("range_rows", [50_000, 5])
+def test_positions_against_brute_force(spark, range_rows):
+    """With tiny ranges every group is cut; the result is the same."""
+    rows = [(k % 2, k, [None, NAN, INF, -INF, 0.0, -0.0][k % 6] if k % 5 == 0 else float((k * 7) % 40)) for k in range(150)]
     df = spark.createDataFrame(rows, "g long, item long, v double").withColumn("value", R.finite(F.col("v"))).drop("v")
-    assert {(r.g, r.item): r.position for r in R.positions(df, ["g"]).collect()} == brute_positions(rows)
+    assert {(r.g, r.item): r.position for r in R.positions(df, ["g"], range_rows=range_rows).collect()} == brute_positions(rows)
+
+
+@pytest.mark.parametrize("range_rows", [50_000, 7])
+def test_final_ranks_of_ties_in_ranges(spark, range_rows):
+    """A hot group whose medians are nearly all equal, a null group and a small one."""
+    rows = [(g, k, 3 if k % 9 else 1, 2.5 if k % 4 else 2.0) for g, n in ((1, 90), (None, 4), (3, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g long, item long, median_position long, mean_position double")
+    got = {(r.g, r.item): r.final_rank for r in R.final_ranks(df, ["g"], "item", range_rows).collect()}
+    want = {(g, x[1]): k for g in (1, None, 3) for k, x in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[3], r[1])), 1)}
+    assert got == want
 
 
 def candidates(spark, rows):

@@ -9,7 +9,7 @@ from ticketloom.storage import materialize
 
 #: A term in more than this share of the records is hot. A record has a bounded number of terms on average, so there
 #: are at most (mean terms per record) / HOT_SHARE hot terms, whatever the size of the collection.
-HOT_SHARE = 0.01
+HOT_SHARE = 0.001
 
 
 def latest_bags(bags: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def term_scores(bags: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     stats = stats.withColumn("ridf", F.log2(F.col("n_records") / F.col("df")) + F.log2(-F.expm1(-lam)))
     hot = stats.where(F.col("df") > F.col("n_records") * hot_share)
     marked = postings.join(F.broadcast(hot), "term", "left")
-    cold = marked.where(F.col("df").isNull()).select("issue_id", "term", "tf").join(stats.where(F.col("df") <= F.col("n_records") * hot_share), "term")
+    cold = marked.where(F.col("df").isNull()).select("issue_id", "term", "tf").hint("merge").join(stats.where(F.col("df") <= F.col("n_records") * hot_share), "term")
     both = marked.where(F.col("df").isNotNull()).unionByName(cold)
     return both.withColumn("distinctiveness", F.col("tf") * F.col("ridf")).withColumn(
         "tfidf", F.round((1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + F.col("n_records")) / (1 + F.col("df"))) + 1), 6)

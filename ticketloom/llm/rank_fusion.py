@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.functions.text import let
-from ticketloom.storage import materialize
+from ticketloom.storage import discard, materialize
 
-#: Distinct values of one score of one group that one task may sort; larger groups are cut at their own quantiles.
-BUCKET_ROWS = 50_000
-#: Cuts of a group beyond BUCKET_ROWS.
-CUTS = 256
+#: Rows of a range, which one task sorts.
+RANGE_ROWS = 50_000
 
 
 def finite(value: Column) -> Column:
@@ -20,44 +18,47 @@ def finite(value: Column) -> Column:
     return F.when(F.isnan(value), None).otherwise(value)
 
 
-def positions(scores: DataFrame, group: list[str], value: str = "value") -> DataFrame:
+def in_ranges(rows: DataFrame, group: list[str], order: list[str], range_rows: int) -> DataFrame:
+    """rows with `__part`, the number of a range of (group, order) that holds about range_rows of them; written to the shared folder.
+
+    Ranges follow the rows, not the groups: a hot group lies in as many ranges as its rows need, small ones share one.
+    """
+    parts = max(1, -(-rows.count() // range_rows))
+    return materialize(rows.repartitionByRange(parts, *group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def positions(scores: DataFrame, group: list[str], value: str = "value", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds `position` to each row: 1 + number of the group's rows with a larger value; null values get the group's row count.
 
-    Works on distinct values with counts, so ties of any number cost one row. Groups with more than BUCKET_ROWS
-    distinct values are cut into ranges at approximate quantiles; ranks inside a range are added to the counts of the
-    ranges above, so no task sorts an unbounded group. The result is exact whatever the cuts are.
+    Works on distinct values with counts, so ties of any number cost one row. These are cut into ranges of range_rows;
+    ranks inside a range are added to the counts of the ranges above, so no task sorts more than a range. Exact.
     """
-    values = scores.groupBy(*group, value).agg(F.count("*").alias("__n"))
-    values = materialize(values, "values")
-    cuts = (
-        values.groupBy(*group)
-        .agg(F.count("*").alias("__distinct"), F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], 10_000).alias("__cuts"))
-        .where(F.col("__distinct") > BUCKET_ROWS)
-        .select(*group, F.array_distinct("__cuts").alias("__cuts"))
-    )
-    cuts = materialize(cuts, "cuts")
-    bucket = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(
-        F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(value))), F.lit(0))
-    )
-    values = values.join(cuts, group, "left").withColumn("__bucket", bucket).drop("__cuts")
-    above = Window.partitionBy(*group).orderBy(F.desc("__bucket"))
-    buckets = (
-        values.groupBy(*group, "__bucket").agg(F.sum("__n").alias("__rows"))
+    values = materialize(scores.groupBy(*group, value).agg(F.count("*").alias("__n")), "values")
+    ranged = in_ranges(values, group, [value], range_rows)
+    discard(values)
+    above = Window.partitionBy(*group).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        ranged.groupBy(*group, "__part").agg(F.sum("__n").alias("__rows"))
         .withColumn("__all", F.sum("__rows").over(Window.partitionBy(*group)))
-        .withColumn("__above", F.coalesce(F.sum("__rows").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("__above", F.coalesce(F.sum("__rows").over(above), F.lit(0)))
         .drop("__rows")
     )
-    inside = Window.partitionBy(*group, "__bucket").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "__part").orderBy(F.desc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        values.join(buckets, [*group, "__bucket"])
-        .withColumn("position", F.when(F.col(value).isNull(), F.col("__all")).otherwise(1 + F.col("__above") + F.coalesce(F.sum("__n").over(inside), F.lit(0))))
-        .select(*[F.col(g).alias(f"__{g}") for g in group], F.col(value).alias("__value"), "position")
+        ranged.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("r")
+        .join(parts.hint("merge").alias("p"), _same("r", "p", [*group, "__part"]))
+        .withColumn("position", F.when(F.col(f"r.{value}").isNull(), F.col("__all")).otherwise(1 + F.col("__above") + F.col("__inside")))
+        .select(*[F.col(f"r.{g}").alias(g) for g in [*group, value]], "position")
     )
-    on = [scores[g].eqNullSafe(ranked[f"__{g}"]) for g in group] + [scores[value].eqNullSafe(ranked["__value"])]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return scores.join(ranked, cond).drop(*[f"__{g}" for g in group], "__value")
+    return scores.alias("s").hint("merge").join(ranked.hint("merge").alias("k"), _same("s", "k", [*group, value])).select("s.*", "k.position")
+
+
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    """Equality of the columns of two aliased tables, null with null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
 
 
 def weighted_median(pairs: Column) -> Column:
@@ -71,7 +72,7 @@ def weighted_median(pairs: Column) -> Column:
     return let(half, lambda h: F.aggregate(F.array_sort(pairs), start, step(h), lambda a: a["median"]))
 
 
-def aggregate_ranks(items: DataFrame, group: list[str], item: str, weights: dict[str, float]) -> DataFrame:
+def aggregate_ranks(items: DataFrame, group: list[str], item: str, weights: dict[str, float], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Median rank aggregation of the score columns named in `weights`.
 
     items has one row per (group, item). Every score is replaced by its position in the group; items are ordered by
@@ -86,7 +87,7 @@ def aggregate_ranks(items: DataFrame, group: list[str], item: str, weights: dict
         *group, item,
         F.explode(F.array(*[F.struct(F.lit(n).alias("score_name"), finite(F.col(n)).alias("value"), F.lit(float(weights[n])).alias("weight")) for n in names])).alias("s"),
     ).select(*group, item, "s.*")
-    ranked = positions(scores, [*group, "score_name"])
+    ranked = positions(scores, [*group, "score_name"], range_rows=range_rows)
     merged = (
         ranked.groupBy(*group, item)
         .agg(F.collect_list(F.struct("position", "weight")).alias("__p"), (F.sum("position") / len(names)).alias("mean_position"))
@@ -96,20 +97,16 @@ def aggregate_ranks(items: DataFrame, group: list[str], item: str, weights: dict
     return merged.select(*group, item, "median_position", "mean_position")
 
 
-def final_ranks(merged: DataFrame, group: list[str], item: str) -> DataFrame:
-    """Adds final_rank (1..n per group) to aggregate_ranks, through ranges of the median position, so a hot group is spread."""
+def final_ranks(merged: DataFrame, group: list[str], item: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds final_rank (1..n per group) to aggregate_ranks: by median position, mean position, then item, numbered within ranges of that order."""
     order = ["median_position", "mean_position", item]
-    span = merged.withColumn("__range", F.floor(F.log2(F.col("median_position").cast("double")) * 8))
-    sizes = span.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy(*group, "__range").orderBy(*order)
-    return (
-        span.withColumn("__row", F.row_number().over(within))
-        .join(sizes, [*group, "__range"])
-        .withColumn("final_rank", F.col("__before") + F.col("__row"))
-        .drop("__range", "__row", "__before")
-    )
+    ranged = in_ranges(materialize(merged, "merged"), group, order, range_rows)
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = ranged.withColumn("__row", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)))
+    joined = within.alias("r").join(parts.hint("merge").alias("p"), _same("r", "p", [*group, "__part"]))
+    return joined.select("r.*", (F.col("__before") + F.col("__row")).alias("final_rank")).drop("__part", "__row")
 
 
 FEATURES = ("bm25", "bm25_plus", "tfidf_cosine", "title_ngram", "description_overlap", "dense_cosine")
