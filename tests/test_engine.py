@@ -73,6 +73,73 @@ def test_new_records_and_duplicates(engine, spark):
     assert all(r.score >= 0.5 for r in dup)
 
 
+ALL = ["bm25", "bm25-plus", "tfidf-cosine", "lexical", "random-indexing-dense", "sbert-dense", "hybrid-sparse-dense", "rag-hybrid-judge", "graph-metadata-aware", "llm-e5-large", "llm-e5-cross-reranker", "logreg-engineered", "pairwise-neural-mlp"]
+
+
+@pytest.mark.parametrize("model", ALL)
+def test_every_model_takes_new_records(engine, spark, model):
+    """A new record without id and key: its copy in the corpus comes first, or at least in every list."""
+    new = spark.createDataFrame([(-1, "cache ledger fails", "A", "Bug", ["cache"]), (-2, "neverseen words", None, None, None)], "qid long, title string, project_key string, issue_type string, components array<string>")
+    vector = spark.createDataFrame([(-1, [1.0, 0.0, 0.3]), (-2, [0.0, 1.0, 0.3])], "issue_id long, vector array<double>")
+    found = engine.search_new(new, model, 5, {"sbert": vector, "e5": vector}).collect()
+    assert {r.qid for r in found} == {-1, -2} and all(0 <= r.score <= 1 and 1 <= r.rank <= 5 for r in found)
+
+
+def test_comparing_new_records(engine, spark):
+    new = spark.createDataFrame([(-1, "cache ledger fails")], "qid long, title string")
+    got = engine.compare_new(new, ["bm25", "sbert-dense", "hybrid-sparse-dense"], 3)
+    assert {r.model for r in got.collect()} == {"bm25", "hybrid-sparse-dense"}
+    with pytest.raises(RuntimeError):
+        engine.search_new(new, "sbert-dense")
+    from ticketloom.api import Engine as E_
+
+    coded = E_(engine.issues, {"sbert": engine.vectors["sbert"]}, pool=5, encoders={"sbert": lambda: lambda texts: [[1.0, 0.0, 0.3] for _ in texts]})
+    assert coded.search_new(new, "sbert-dense", 3).count() == 3
+
+
+def test_unseen_terms_are_encoded(engine, spark):
+    """A query's vector by hand: known terms by their token vectors, unseen ones by six positions of length one together."""
+    from ticketloom.operators.index import ad_hoc_bags
+
+    s = engine.asking(spark.createDataFrame([(-1, "cache neverseen")], "qid long, title string"))
+    bags = {r.term: r for r in ad_hoc_bags(s.index, s.asked).collect()}
+    tokens = {}
+    for r in s.token_vectors().where("term = 'cache'").collect():
+        tokens[r.dim] = r.value
+    e = spark.createDataFrame([("neverseen",)], "t string").select(RI.index_entries(F.col("t"), 192, 6).alias("e")).first().e
+    n = s.index.n
+    idf = lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5))
+    want = [(1 + math.log(bags["cache"].tf)) * idf(bags["cache"].df) * tokens.get(d, 0.0) for d in range(192)]
+    for x in e:
+        want[x.dim] += (1 + math.log(3)) * idf(0) * x.sign / 6**0.5
+    norm = math.sqrt(sum(x * x for x in want))
+    assert bags["neverseen"].df == 0 and s.of_queries("dense").first().vector == pytest.approx([x / norm for x in want])
+
+
+def test_the_same_key_is_the_same_issue(engine, spark):
+    new = spark.createDataFrame([(-1, "P-4", "cache ledger fails")], "qid long, issue_key string, title string")
+    assert 4 not in {r.issue_id for r in engine.search_new(new, "bm25", 20).collect()}
+    without = new.select("qid", "title")
+    assert engine.search_new(without, "bm25", 20).count() == 20
+
+
+def test_query_edges_are_no_evidence(engine, spark):
+    from ticketloom.api import Engine as E_
+
+    blind = E_(engine.issues, pool=20, exclude_query_edges=True)
+    q = spark.createDataFrame([(4,)], "qid long")
+    s, t = engine.session(q), blind.session(q)
+    assert t.exclude_query_edges
+    neighbour = s.edges().where("src = 4").first().dst
+    pairs = spark.createDataFrame([(4, neighbour)], "qid long, issue_id long")
+    edges = s.edges().where(F.col("src").isin(4, neighbour) & F.col("dst").isin(4, neighbour))
+    assert G.graph_context(pairs, s.prepared, edges).count() == 1 and G.graph_context(pairs, s.prepared, edges, True).count() == 0
+
+
+def test_pool_of_nothing_is_the_default(engine):
+    assert Session(engine.index, engine.index.prepared).pool == Session(engine.index, engine.index.prepared, pool=0).pool == 250
+
+
 def test_fusion_keeps_the_order_of_equal_lists(spark):
     ranked = spark.createDataFrame([(1, k, 1.0 / k, k) for k in range(1, 6)], "qid long, issue_id long, seed double, rank int")
     got = C.reciprocal_rank_fusion(ranked, ranked, 5).orderBy("rank").collect()
@@ -167,6 +234,33 @@ def test_json_source(spark, tmp_path):
         S.repository("jira_api").load(spark)
 
 
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("\n".join(json.dumps({"id": k, "key": f"K-{k}", "title": "t", "linked_issue_ids": [1]}) for k in range(1, 4)) + "\n\n")
+    got = {r.issue_id: r.linked_issue_ids for r in S.JsonRepository(str(tmp_path / "x.jsonl")).load(spark).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == [1]
+
+
+def test_jdbc_source(spark):
+    """Over an embedded database; the tables are read by three connections."""
+    url, login = "jdbc:derby:memory:tickets;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    tables = {
+        "issue": spark.createDataFrame([(k, f"P-{k}", 10, f"title {k}", None, "raw", "Bug", None, "Open", None) for k in range(1, 8)], "id long, issue_key string, project_id long, title string, description_text string, description string, type string, priority string, status string, resolution string"),
+        "project": spark.createDataFrame([(10, "P")], "id long, project_key string"), "component": spark.createDataFrame([(5, "ui")], "id long, name string"), "version": spark.createDataFrame([(3, "1.0")], "id long, name string"),
+        "issue_component": spark.createDataFrame([(k, 5) for k in range(1, 8)], "issue_id long, component_id long"), "affected_version": spark.createDataFrame([(1, 3)], "issue_id long, affected_version_id long"),
+        "fix_version": spark.createDataFrame([], "issue_id long, fix_version_id long"), "issue_link": spark.createDataFrame([(1, 4, "Duplicate")], "issue_id long, target_issue_id long, name string"),
+        "comment": spark.createDataFrame([(1, None, "b", 2)], "issue_id long, comment_text string, comment string, creation_date int"),
+    }
+    try:
+        for name, df in tables.items():
+            df.toDF(*[c.upper() for c in df.columns]).write.jdbc(url, name, mode="overwrite", properties=login)
+    except Exception as e:  # noqa: BLE001
+        pytest.skip(f"no embedded database: {str(e)[:200]}")
+    repo = S.repository("jdbc", url=url, properties=login, comment_limit=2, partitions=3)
+    assert repo.read(spark, "issue").rdd.getNumPartitions() == 3
+    got = {r.issue_id: r for r in repo.load(spark).collect()}
+    assert len(got) == 7 and got[1].duplicate_issue_ids == [4] and got[4].duplicate_issue_ids == [1] and got[1].comments == ["b"] and got[7].components == ["ui"]
+
+
 def test_relational_source(spark):
     t = {
         "issue": spark.createDataFrame([(1, "P-1", 10, "T", None, "raw", "Bug", None, "Open", None), (2, "P-2", 99, "no project", "d", None, None, None, None, None)], "id long, issue_key string, project_id long, title string, description_text string, description string, type string, priority string, status string, resolution string"),

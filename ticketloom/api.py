@@ -4,27 +4,38 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.config import Settings
 from ticketloom.operators import evaluate as E
-from ticketloom.operators.index import build_index
+from ticketloom.operators.embedding import embed
+from ticketloom.operators.index import build_index, prepare
 from ticketloom.plans.pipelines import MODELS, POOL, SUITES, ModelSpec, Session, resolve_models
 from ticketloom.sources.issues import SCHEMA, normalize, repository
 from ticketloom.storage import materialize
 
 log = logging.getLogger(__name__)
+#: Parts of a session that belong to the corpus and serve every session.
+_SHARED = ("ri", "tokens", "edges")
 
 
 class Engine:
-    """vectors: precomputed spaces by name ('sbert', 'e5', 'dense') as (issue_id, vector array<double>); pair_scorer: a column function of two texts for the cross reranker."""
+    """vectors: precomputed spaces by name ('sbert', 'e5', 'dense') as (issue_id, vector array<double>); pair_scorer: a column function of two texts for the cross reranker.
 
-    def __init__(self, issues: DataFrame, vectors: dict[str, DataFrame] | None = None, pair_scorer: Callable | None = None, pool: int = POOL):
+    encoders: by space a function that loads an encoder of texts (see operators.embedding.embed), for new records.
+    exclude_query_edges: keeps a query's own links out of the graph evidence, so an evaluation does not see its labels.
+    diagnostics: a folder that gets the loss curve of every network fitted; None writes none.
+    """
+
+    def __init__(self, issues: DataFrame, vectors: dict[str, DataFrame] | None = None, pair_scorer: Callable | None = None, pool: int = POOL,
+                 encoders: dict[str, Callable] | None = None, exclude_query_edges: bool = False, diagnostics: str | None = None):
         self.issues = normalize(issues).cache()
         self.index = build_index(self.issues)
-        self.vectors, self.pair_scorer, self.pool = dict(vectors or {}), pair_scorer, pool
+        self.vectors, self.pair_scorer, self.pool = dict(vectors or {}), pair_scorer, pool or POOL
+        self.encoders, self.exclude_query_edges, self.diagnostics = dict(encoders or {}), exclude_query_edges, diagnostics
         # Vectors learnt from the corpus and fitted models serve all later queries; a Session's parts hold what belongs to its queries.
         self._models: dict = {}
 
@@ -32,26 +43,25 @@ class Engine:
     def from_source(cls, spark: SparkSession, settings: Settings, **options) -> "Engine":
         if settings.source in ("jdbc", "mysql"):
             login = {k: v for k, v in (("user", settings.jdbc_user), ("password", settings.jdbc_password)) if v}
-            repo = repository(settings.source, url=settings.jdbc_url, properties=login, comment_limit=settings.comment_limit if settings.include_comments else None, limit=settings.limit)
+            repo = repository(settings.source, url=settings.jdbc_url, properties=login, comment_limit=settings.comment_limit if settings.include_comments else None, limit=settings.limit, partitions=settings.partitions)
         elif settings.source == "json":
             repo = repository("json", path=settings.path, limit=settings.limit)
         else:
             repo = repository(settings.source, **({"path": settings.path} if settings.source == "parquet" else {}))
-        return cls(repo.load(spark), pool=settings.pool, **options)
+        return cls(repo.load(spark), pool=settings.pool, **{"diagnostics": settings.diagnostics, **options})
 
     @property
     def catalog(self) -> dict[str, ModelSpec]:
         return MODELS
 
     def session(self, queries: DataFrame) -> Session:
-        s = Session(self.index, queries, dict(self.vectors), self.pair_scorer, self.pool)
-        if "ri" in self._models:
-            s._made["ri"] = self._models["ri"]
+        s = Session(self.index, queries, dict(self.vectors), self.pair_scorer, self.pool, self.exclude_query_edges, diagnostics=self.diagnostics)
+        s._made.update({k: self._models[k] for k in _SHARED if k in self._models})
         return s
 
-    def runnable(self, models: Sequence[str] | None = None) -> list[str]:
+    def runnable(self, models: Sequence[str] | None = None, session: Session | None = None) -> list[str]:
         """The models asked for whose needs are met; the others are skipped with a warning, but RuntimeError if none is left."""
-        probe = Session(self.index, self.issues.select(F.col("issue_id").alias("qid")), dict(self.vectors), self.pair_scorer, self.pool)
+        probe = session or self.session(self.issues.select(F.col("issue_id").alias("qid")))
         names = resolve_models(models)
         ready = [m for m in names if probe.available(m)]
         for m in names:
@@ -74,37 +84,40 @@ class Engine:
         if model not in MODELS:
             raise ValueError(f"unknown model {model!r}; known: {', '.join(MODELS)}")
         out = session.ranked(model, top_k, self._reranker(model))
-        if "ri" in session._made:
-            self._models["ri"] = session._made["ri"]
+        self._models.update({k: session._made[k] for k in _SHARED if k in session._made})
         return out
 
     def search(self, queries: DataFrame, model: str = "bm25", top_k: int = 10) -> DataFrame:
         """Best matches of records of the corpus (queries: qid): qid, issue_id, rank, score, reasons, issue_key, title."""
-        found = self._ranked(self.session(queries.select("qid").distinct()), model, top_k)
-        return found.join(self.issues.select("issue_id", "issue_key", "title"), "issue_id")
-
-    def search_new(self, records: DataFrame, model: str = "bm25", top_k: int = 10) -> DataFrame:
-        """Best matches of new records (the columns of the source schema, absent ones null; qid names each) by a lexical model."""
-        from pyspark.sql import Window
+        return self._named(self._ranked(self.session(queries.select("qid").distinct()), model, top_k))
 
-        from ticketloom.operators import candidates as C
-        from ticketloom.operators import features as X
-        from ticketloom.operators import rerank as R
-        from ticketloom.operators.index import ad_hoc_terms, lexical_scores, pair_scores, prepare
+    def asking(self, records: DataFrame, query_vectors: dict[str, DataFrame] | None = None) -> Session:
+        """A session of new records: the columns of the source schema, absent ones null; qid names each.
 
-        if model not in ("bm25", "bm25-plus", "tfidf-cosine", "lexical"):
-            raise ValueError("new records are searched by lexical models; index them for the others")
+        query_vectors: their vectors (issue_id = qid, vector) in precomputed spaces; spaces with an encoder are encoded here.
+        """
         have = dict(records.dtypes)
-        full = records.select("qid", *[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in SCHEMA.split(", ")) if n != "issue_id"])
-        full = normalize(full)
-        terms = materialize(ad_hoc_terms(self.index, full), "terms")
-        score = {"bm25": "bm25", "lexical": "bm25"}.get(model, model.replace("-", "_"))
-        found = materialize(C.with_fallback(C.sparse_candidates(lexical_scores(self.index, terms), score, self.pool), full.select("qid", "project_key"), self.index.prepared, self.pool), "pool")
-        pairs = X.standard(X.pair_rows(found, pair_scores(self.index, terms, found), self.index.prepared, prepare(full.withColumn("issue_id", F.col("qid")))))
-        scored = R.linear(R.LINEAR_WEIGHTS[model])(pairs).select("qid", "issue_id", "score", "reasons")
-        order = Window.partitionBy("qid").orderBy(F.desc("score"), "issue_id")
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-        return best.join(self.issues.select("issue_id", "issue_key", "title"), "issue_id")
+        full = normalize(records.select("qid", *[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in SCHEMA.split(", ")) if n != "issue_id"]))
+        asked = materialize(prepare(full.withColumn("issue_id", F.col("qid"))), "asked")
+        given = dict(query_vectors or {})
+        for name, load in self.encoders.items():
+            given.setdefault(name, materialize(embed(asked, load, "query: " if name == "e5" else ""), "encoded"))
+        s = self.session(asked.select(F.col("issue_id").alias("qid")))
+        s.asked, s.query_vectors = asked, given
+        return s
+
+    def search_new(self, records: DataFrame, model: str = "bm25", top_k: int = 10, query_vectors: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Best matches of new records by any model whose needs are met (see asking())."""
+        return self._named(self._ranked(self.asking(records, query_vectors), model, top_k))
+
+    def compare_new(self, records: DataFrame, models: Sequence[str] | None = None, top_k: int = 10, query_vectors: dict[str, DataFrame] | None = None) -> DataFrame:
+        """search_new() of several models; those that cannot run are skipped with a warning."""
+        session = self.asking(records, query_vectors)
+        parts = [self._named(self._ranked(session, m, top_k)).withColumn("model", F.lit(m)) for m in self.runnable(models, session)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _named(self, found: DataFrame) -> DataFrame:
+        return found.join(self.issues.select("issue_id", "issue_key", "title"), "issue_id")
 
     def find_duplicates(self, queries: DataFrame, model: str = "bm25", top_k: int = 10, threshold: float = 0.55) -> DataFrame:
         return self.search(queries, model, top_k).where(F.col("score") >= threshold)

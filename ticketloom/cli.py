@@ -25,11 +25,16 @@ def build_parser() -> argparse.ArgumentParser:
         for flag in ("source", "path", "jdbc-url", "jdbc-user", "jdbc-password", "results-dir"):
             c.add_argument(f"--{flag}")
         c.add_argument("--limit", type=int)
+        c.add_argument("--partitions", type=int, help="connections to read a database table with")
+        c.add_argument("--vectors", action="append", default=[], metavar="SPACE=PATH", help="Parquet table (issue_id, vector) of a precomputed space: sbert, e5 or dense")
+        c.add_argument("--exclude-query-edges", action="store_true", help="keep a query's own links out of the graph evidence")
+        c.add_argument("--disable-training-diagnostics", action="store_true", help="write no loss curves of fitted networks")
         c.add_argument("--pool", type=int)
         if name in ("similar", "duplicates"):
             c.add_argument("--model", default="bm25")
             c.add_argument("--top-k", type=int, default=10)
             c.add_argument("--title", required=True)
+            c.add_argument("--query-vectors", action="append", default=[], metavar="SPACE=PATH", help="Parquet table (issue_id = 0, vector) of the record asked for")
             for flag in ("description-text", "project-key", "issue-type", "priority", "status"):
                 c.add_argument(f"--{flag}")
             for flag in ("component", "affected-version", "fix-version", "comment"):
@@ -52,6 +57,12 @@ def build_query(spark: SparkSession, a: argparse.Namespace):
     return spark.createDataFrame([row], "qid long, title string, description_text string, project_key string, issue_type string, priority string, status string, components array<string>, affected_versions array<string>, fix_versions array<string>, comments array<string>")
 
 
+def read_vectors(spark: SparkSession, given: Sequence[str]) -> dict:
+    """Spaces given as name=path, with vectors as doubles."""
+    pairs = (g.split("=", 1) for g in given)
+    return {name: spark.read.parquet(path).selectExpr("issue_id", "CAST(vector AS array<double>) AS vector") for name, path in pairs}
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
     a = build_parser().parse_args(argv)
@@ -61,11 +72,13 @@ def main(argv: Sequence[str] | None = None) -> int:
     if a.command == "suites":
         print("\n".join(f"{n:34} {', '.join(models)}" for n, (_, models) in SUITES.items()))
         return 0
-    settings = Settings.from_env().with_overrides(source=a.source, path=a.path, jdbc_url=a.jdbc_url, jdbc_user=a.jdbc_user, jdbc_password=a.jdbc_password, limit=a.limit, pool=a.pool, results_dir=a.results_dir)
+    settings = Settings.from_env().with_overrides(source=a.source, path=a.path, jdbc_url=a.jdbc_url, jdbc_user=a.jdbc_user, jdbc_password=a.jdbc_password, limit=a.limit, partitions=a.partitions, pool=a.pool, results_dir=a.results_dir)
     spark = SparkSession.builder.appName("ticketloom").getOrCreate()
-    engine, writer = Engine.from_source(spark, settings), ResultsWriter(settings.results_dir)
+    options = {"diagnostics": None} if a.disable_training_diagnostics else {}
+    engine = Engine.from_source(spark, settings, vectors=read_vectors(spark, a.vectors), exclude_query_edges=a.exclude_query_edges, **options)
+    writer = ResultsWriter(settings.results_dir)
     if a.command in ("similar", "duplicates"):
-        found = engine.search_new(build_query(spark, a), a.model, a.top_k)
+        found = engine.search_new(build_query(spark, a), a.model, a.top_k, read_vectors(spark, a.query_vectors))
         if a.command == "duplicates":
             found = found.where(found["score"] >= a.threshold)
         found = found.cache()

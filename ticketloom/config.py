@@ -25,7 +25,7 @@ def read_bool(name: str, default: bool) -> bool:
 
 @dataclass(frozen=True)
 class Settings:
-    """source: json, jdbc, parquet or rest. limit: rows to load (None: all). pool: candidates per query."""
+    """source: json, jdbc, parquet or rest. limit: rows to load (None: all; 0: none from JSON, all from a database). pool: candidates per query."""
 
     source: str = "json"
     path: str | None = None
@@ -35,15 +35,21 @@ class Settings:
     limit: int | None = None
     include_comments: bool = True
     comment_limit: int = 5
+    #: Connections that read a database table; it is cut by ranges of its id.
+    partitions: int = 8
     pool: int = 250
     results_dir: str = "results"
+    #: Folder of the training diagnostics; None: none are written.
+    diagnostics: str | None = None
 
     @classmethod
     def from_env(cls) -> "Settings":
-        limit = read_int("LIMIT", 0)
+        limit = read_text("LIMIT")
+        results = read_text("RESULTS_DIR", "results")
         return cls(
             source=read_text("SOURCE", "json"), path=read_text("PATH"), jdbc_url=read_text("JDBC_URL"), jdbc_user=read_text("JDBC_USER"), jdbc_password=read_text("JDBC_PASSWORD"),
-            limit=limit or None, include_comments=read_bool("INCLUDE_COMMENTS", True), comment_limit=read_int("COMMENT_LIMIT", 5), pool=read_int("POOL", 250), results_dir=read_text("RESULTS_DIR", "results"),
+            limit=None if limit is None else int(limit), include_comments=read_bool("INCLUDE_COMMENTS", True), comment_limit=read_int("COMMENT_LIMIT", 5), partitions=read_int("PARTITIONS", 8), pool=read_int("POOL", 250), results_dir=results,
+            diagnostics=f"{results}/diagnostics" if read_bool("DIAGNOSTICS", True) else None,
         )
 
     def with_overrides(self, **given) -> "Settings":

@@ -14,7 +14,7 @@ ENGINEERED = (
 )
 NEURAL = (*ENGINEERED, "dense_cosine")
 
-_SIDE = ("project_key", "issue_type", "priority", "status", "weighted_terms", "title_terms", "description_terms", "title_ngrams",
+_SIDE = ("issue_key", "project_key", "issue_type", "priority", "status", "weighted_terms", "title_terms", "description_terms", "title_ngrams",
          "component_terms", "affected_version_terms", "fix_version_terms", "document_length")
 
 
@@ -33,6 +33,12 @@ def pair_rows(candidates: DataFrame, lexical: DataFrame, prepared: DataFrame, qu
     return joined.join(side(query_side if query_side is not None else prepared, "q"), "qid").join(side(prepared, "c"), "issue_id")
 
 
+def other_issue(pairs: DataFrame) -> DataFrame:
+    """Pairs whose records are not the same issue: they differ in id, and in key where the query has one."""
+    same_key = F.coalesce((F.col("q_issue_key") == F.col("c_issue_key")) & (F.col("q_issue_key") != ""), F.lit(False))
+    return pairs.where((F.col("qid") != F.col("issue_id")) & ~same_key)
+
+
 def standard(pairs: DataFrame) -> DataFrame:
     """The six standard features; keeps the other columns."""
     return pairs.withColumns({
@@ -79,11 +85,11 @@ def hybrid(pairs: DataFrame) -> DataFrame:
 def rag(pairs: DataFrame) -> DataFrame:
     """Adds agreement, alignment (mean of three) and retrieval confidence to engineered features with dense_cosine.
 
-    Half of a sum of two 4-decimal numbers often ends in 5; the small addend makes such halves round up in any engine.
+    Half of a sum of two 4-decimal numbers often ends in 5: it is rounded as a decimal number, so halves go up in any engine.
     """
     c = F.col
     return pairs.withColumns({
-        "semantic_lexical_agreement": _r4((c("dense_cosine") + c("bm25_plus")) / 2 + 1e-9),
+        "semantic_lexical_agreement": F.round((c("dense_cosine") + c("bm25_plus")).cast("decimal(12,4)") / 2, 4).cast("double"),
         "metadata_alignment": _r4((c("project_match") + c("component_overlap") + c("issue_type_match")) / 3),
         "retrieval_confidence": _r4((c("candidate_seed") + c("dense_cosine") + c("bm25_plus")) / 3),
     })

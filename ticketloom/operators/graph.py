@@ -34,10 +34,13 @@ def metadata_keys(prepared: DataFrame) -> DataFrame:
     return prepared.select("issue_id", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("m")).select("issue_id", "m.key", "m.w")
 
 
-def metadata_seeds(prepared: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, issue_id, seed): the weights of the metadata values a query shares with each record, 1 at most; one join, one aggregate."""
+def metadata_seeds(prepared: DataFrame, queries: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(qid, issue_id, seed): the weights of the metadata values a query shares with each record, 1 at most; one join, one aggregate.
+
+    asked: the prepared queries (issue_id = qid) if they are not records of the corpus.
+    """
     keys = metadata_keys(prepared)
-    own = keys.join(queries.select(F.col("qid").alias("issue_id")), "issue_id").select(F.col("issue_id").alias("qid"), "key", "w")
+    own = metadata_keys(prepared if asked is None else asked).join(queries.select(F.col("qid").alias("issue_id")), "issue_id").select(F.col("issue_id").alias("qid"), "key", "w")
     return own.join(keys.select("issue_id", "key"), "key").groupBy("qid", "issue_id").agg(F.least(F.lit(1.0), F.round(F.sum("w"), 9)).alias("seed"))
 
 
@@ -59,23 +62,30 @@ def propagate(seeds: DataFrame, edges: DataFrame, nodes: int = SEED_NODES, exclu
     return both.groupBy("qid", "issue_id").agg(F.sum("seed").alias("seed"))
 
 
-def graph_candidates(base: DataFrame, prepared: DataFrame, queries: DataFrame, edges: DataFrame, pool: int, exclude_query_edges: bool = False) -> DataFrame:
+def graph_candidates(base: DataFrame, prepared: DataFrame, queries: DataFrame, edges: DataFrame, pool: int, exclude_query_edges: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """Seeds from a fused list and shared metadata, plus what propagates from the best of them, cut to the pool."""
     ranked = base.select("qid", "issue_id", (1 / (8 + F.col("rank")) + T.clamp(F.col("seed"))).alias("seed"))
-    seeds = ranked.unionByName(metadata_seeds(prepared, queries)).groupBy("qid", "issue_id").agg(F.sum("seed").alias("seed"))
+    seeds = ranked.unionByName(metadata_seeds(prepared, queries, asked)).groupBy("qid", "issue_id").agg(F.sum("seed").alias("seed"))
     combined = seeds.unionByName(propagate(seeds, edges, exclude_query_edges=exclude_query_edges)).groupBy("qid", "issue_id").agg(F.sum("seed").alias("seed"))
     return top_pool(combined, pool)
 
 
-def graph_context(pairs: DataFrame, prepared: DataFrame, edges: DataFrame) -> DataFrame:
-    """(qid, issue_id, graph_context): how well a candidate's neighbours fit the query, weighted by the edges, 1 at most; candidates without neighbours are absent."""
+def graph_context(pairs: DataFrame, prepared: DataFrame, edges: DataFrame, exclude_query_edges: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """(qid, issue_id, graph_context): how well a candidate's neighbours fit the query, weighted by the edges, 1 at most; candidates without neighbours are absent.
+
+    With exclude_query_edges the query itself is no neighbour, so a link that is to be found is no evidence for itself.
+    asked: the prepared queries (issue_id = qid) if they are not records of the corpus.
+    """
     cols = ("project_key", "issue_type", "component_terms", "affected_version_terms", "fix_version_terms", "title_ngrams")
-    q = prepared.select(F.col("issue_id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in cols])
+    q = (prepared if asked is None else asked).select(F.col("issue_id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in cols])
     n = prepared.select(F.col("issue_id").alias("dst"), *[F.col(c).alias(f"n_{c}") for c in cols])
     j = lambda c: T.jaccard(F.col(f"q_{c}"), F.col(f"n_{c}"))
     support = (
         0.25 * T.binary_match(F.col("q_project_key"), F.col("n_project_key")) + 0.35 * j("component_terms") + 0.15 * j("affected_version_terms")
         + 0.15 * j("fix_version_terms") + 0.10 * T.binary_match(F.col("q_issue_type"), F.col("n_issue_type")) + 0.12 * j("title_ngrams")
     )
-    joined = pairs.select("qid", "issue_id").join(edges.withColumnRenamed("src", "issue_id"), "issue_id").join(q, "qid").join(n, "dst")
+    near = pairs.select("qid", "issue_id").join(edges.withColumnRenamed("src", "issue_id"), "issue_id")
+    if exclude_query_edges:
+        near = near.where("dst <> qid AND issue_id <> qid")
+    joined = near.join(q, "qid").join(n, "dst")
     return joined.groupBy("qid", "issue_id").agg(F.least(F.lit(1.0), F.sum(support * F.col("w")) / F.sum("w")).alias("graph_context"))

@@ -98,11 +98,14 @@ def query_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return own.select(F.col("issue_id").alias("qid"), "term", impact.alias("impact"), "unit_weight")
 
 
-def ad_hoc_terms(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """(qid, term, impact, unit_weight) of queries outside the corpus: records with a qid instead of an id; an unseen term has df 0 and counts in the norm."""
-    bags = term_bags(prepare(queries.withColumn("issue_id", F.col("qid"))))
-    known = bags.join(index.document_frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    weighted = known.withColumn("w", tfidf_weight(F.col("tf"), F.lit(index.n), F.col("df")))
+def ad_hoc_bags(index: SearchIndex, asked: DataFrame) -> DataFrame:
+    """(issue_id, term, tf, df) of prepared records outside the corpus (issue_id: their qid); an unseen term has df 0."""
+    return term_bags(asked).join(index.document_frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+
+
+def ad_hoc_terms(index: SearchIndex, asked: DataFrame) -> DataFrame:
+    """(qid, term, impact, unit_weight) of prepared records outside the corpus; unseen terms count in the norm."""
+    weighted = ad_hoc_bags(index, asked).withColumn("w", tfidf_weight(F.col("tf"), F.lit(index.n), F.col("df")))
     norms = weighted.groupBy("issue_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     impact = idf_bm25(F.lit(index.n), F.col("df")) * F.least("tf", F.lit(TF_CAP))
     return weighted.join(norms, "issue_id").select(F.col("issue_id").alias("qid"), "term", impact.alias("impact"), (F.col("w") / F.col("norm")).alias("unit_weight"))

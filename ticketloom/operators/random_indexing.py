@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from ticketloom.functions.text import let
 from ticketloom.operators.index import SearchIndex, idf_bm25
 
 DIMENSIONS, ACTIVE, WINDOW, PASSES, LEXICAL_MIX = 192, 8, 3, 2, 0.35
+#: Positions of a term that only a query has.
+UNSEEN_ACTIVE = 6
 #: Triples read from two SHA-256 digests of a token; far more than ACTIVE distinct positions.
 _TRIPLES = 20
 
@@ -84,15 +87,33 @@ def token_vectors(index: SearchIndex, dimensions: int = DIMENSIONS, active: int
     return mixed.join(norms, "term").where("norm > 0").select("term", "dim", (F.col("value") / F.col("norm")).alias("value"))
 
 
+def unseen_vectors(terms: DataFrame, dimensions: int = DIMENSIONS, active: int = UNSEEN_ACTIVE, hashing=index_entries) -> DataFrame:
+    """(term, dim, value) of unit length for terms the training has not seen: their sign vectors, of fewer positions."""
+    entries = terms.select("term", F.explode(hashing(F.col("term"), dimensions, active)).alias("e"))
+    return entries.select("term", "e.dim", (F.col("e.sign") / math.sqrt(active)).alias("value"))
+
+
+def query_vectors(index: SearchIndex, bags: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(issue_id, vector) of records outside the corpus, from ad_hoc_bags() and the token vectors of the corpus."""
+    known = vectors.join(bags.select("term").distinct(), "term", "left_semi")
+    unseen = unseen_vectors(bags.where("df = 0").select("term").distinct())
+    return encode(bags, known.unionByName(unseen), index.n)
+
+
 def document_vectors(index: SearchIndex, vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(issue_id, vector) of unit length: the token vectors weighted by (1 + ln tf) * idf; records of zero weight are absent.
+    """(issue_id, vector) of unit length of the records of the corpus; records of zero weight are absent."""
+    return encode(index.postings, vectors, index.n, dimensions)
+
+
+def encode(bags: DataFrame, vectors: DataFrame, n: int, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(issue_id, vector) of unit length: the token vectors of bags (issue_id, term, tf, df) weighted by (1 + ln tf) * idf.
 
     Token vectors become arrays; one aggregate sums all dimensions of a record, map-side first.
     """
     dense = vectors.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
     dense = dense.select("term", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("v"))
-    weight = (1 + F.log(F.col("tf").cast("double"))) * idf_bm25(F.lit(index.n), F.col("df"))
-    joined = index.postings.select("issue_id", "term", weight.alias("w")).join(dense, "term")
+    weight = (1 + F.log(F.col("tf").cast("double"))) * idf_bm25(F.lit(n), F.col("df"))
+    joined = bags.select("issue_id", "term", weight.alias("w")).join(dense, "term")
     sums = joined.groupBy("issue_id").agg(*[F.sum(F.col("w") * F.col("v")[d]).alias(f"d{d}") for d in range(dimensions)])
     packed = sums.select("issue_id", F.array(*[F.col(f"d{d}") for d in range(dimensions)]).alias("s"))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))

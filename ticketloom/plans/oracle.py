@@ -125,7 +125,7 @@ def features(candidates: str, cosine: str | None = None, keep_self: bool = False
   {j("affected_version_terms")} AS affected_version_overlap, {j("fix_version_terms")} AS fix_version_overlap,
   {match("q.project_key", "c.project_key")} AS project_match, {match("q.issue_type", "c.issue_type")} AS issue_type_match, {match("q.priority", "c.priority")} AS priority_match, {match("q.status", "c.status")} AS status_match,
   round(least(q.document_length, c.document_length)::DOUBLE / greatest(q.document_length, c.document_length), 4) AS length_ratio{cos}
-  FROM {candidates} k LEFT JOIN lexical l ON l.qid = k.qid AND l.issue_id = k.issue_id JOIN sized q ON q.issue_id = k.qid JOIN sized c ON c.issue_id = k.issue_id {joins} {"" if keep_self else "WHERE k.qid <> k.issue_id"})"""
+  FROM {candidates} k LEFT JOIN lexical l ON l.qid = k.qid AND l.issue_id = k.issue_id JOIN sized q ON q.issue_id = k.qid JOIN sized c ON c.issue_id = k.issue_id {joins} {"" if keep_self else "WHERE k.qid <> k.issue_id AND NOT coalesce(q.issue_key = c.issue_key AND q.issue_key <> '', false)"})"""
 
 
 def ranked(score: str, source: str = "features", top_k: int = 10, extra: str = "") -> str:

@@ -14,9 +14,10 @@ from ticketloom.operators import graph as G
 from ticketloom.operators import learn as L
 from ticketloom.operators import random_indexing as RI
 from ticketloom.operators import rerank as R
-from ticketloom.operators.index import SearchIndex, lexical_scores, pair_scores, query_terms
+from ticketloom.operators.index import SearchIndex, ad_hoc_bags, ad_hoc_terms, lexical_scores, pair_scores, query_terms
 from ticketloom.storage import materialize
 
+#: The pools of the first stage.
 POOL, SUPERVISED_POOL = 250, 80
 
 
@@ -27,24 +28,27 @@ class ModelSpec:
     description: str
     needs_vectors: str | None = None
     supervised: bool = False
+    uses_dense: bool = False
 
 
+#: The names of the models.
 MODELS: dict[str, ModelSpec] = {m.name: m for m in (
     ModelSpec("bm25", "sparse", "BM25 retrieval and a lexical linear reranker"),
     ModelSpec("bm25-plus", "sparse", "BM25+ retrieval and a lexical linear reranker"),
     ModelSpec("tfidf-cosine", "sparse", "TF-IDF cosine retrieval and a lexical linear reranker"),
     ModelSpec("lexical", "sparse", "BM25 retrieval with balanced lexical weights"),
     ModelSpec("logreg-engineered", "supervised", "coarse retrieval, 16 features, logistic regression", supervised=True),
-    ModelSpec("random-indexing-dense", "dense", "random-indexing vectors trained on the corpus"),
+    ModelSpec("random-indexing-dense", "dense", "random-indexing vectors trained on the corpus", uses_dense=True),
     ModelSpec("sbert-dense", "dense", "precomputed sentence vectors", needs_vectors="sbert"),
-    ModelSpec("hybrid-sparse-dense", "hybrid", "reciprocal-rank fusion of BM25+ and dense vectors"),
-    ModelSpec("pairwise-neural-mlp", "neural", "fused retrieval, 17 features, a small network", supervised=True),
-    ModelSpec("rag-hybrid-judge", "judge", "fused retrieval and a rule-based judge"),
-    ModelSpec("graph-metadata-aware", "graph", "fused retrieval spread over links and metadata"),
+    ModelSpec("hybrid-sparse-dense", "hybrid", "reciprocal-rank fusion of BM25+ and dense vectors", uses_dense=True),
+    ModelSpec("pairwise-neural-mlp", "neural", "fused retrieval, 17 features, a small network", supervised=True, uses_dense=True),
+    ModelSpec("rag-hybrid-judge", "judge", "fused retrieval and a rule-based judge", uses_dense=True),
+    ModelSpec("graph-metadata-aware", "graph", "fused retrieval spread over links and metadata", uses_dense=True),
     ModelSpec("llm-e5-large", "language", "precomputed transformer vectors", needs_vectors="e5"),
     ModelSpec("llm-e5-cross-reranker", "language", "transformer vectors and a pluggable pair scorer", needs_vectors="e5"),
 )}
 
+#: The themes of the suites and their models.
 _THEMES = {
     "sparse-lexical": (("tfidf-cosine", "bm25", "bm25-plus"), ()),
     "classical-ml": (("bm25", "bm25-plus", "logreg-engineered"), ()),
@@ -79,7 +83,11 @@ def resolve_models(names: Sequence[str] | None) -> list[str]:
 
 @dataclass
 class Session:
-    """An index and a set of corpus queries (qid), with the parts that pipelines share; each part is built once, when first used."""
+    """An index and a set of queries (qid), with the parts that pipelines share; each part is built once, when first used.
+
+    Queries are records of the corpus, or new records: then `asked` holds them prepared (issue_id = qid), and
+    query_vectors their vectors in the precomputed spaces. A pool of 0 is the default one.
+    """
 
     index: SearchIndex
     queries: DataFrame
@@ -87,8 +95,14 @@ class Session:
     pair_scorer: Callable | None = None
     pool: int = POOL
     exclude_query_edges: bool = False
+    asked: DataFrame | None = None
+    query_vectors: dict[str, DataFrame] = field(default_factory=dict)
+    diagnostics: str | None = None
     _made: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.pool = self.pool or POOL
+
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
             self._made[name] = materialize(make(), name.replace(":", "-"))
@@ -104,7 +118,7 @@ class Session:
         return self.index.prepared
 
     def terms(self) -> DataFrame:
-        return self.once("terms", lambda: query_terms(self.index, self.queries))
+        return self.once("terms", lambda: query_terms(self.index, self.queries) if self.asked is None else ad_hoc_terms(self.index, self.asked))
 
     def lexical(self) -> DataFrame:
         """Scores of all pairs that share a term; never written whole, only pools cut from it are."""
@@ -115,11 +129,23 @@ class Session:
         return self.once(f"pool:{score}:{n}", lambda: C.sparse_candidates(self.lexical(), score, n))
 
     def query_rows(self) -> DataFrame:
-        return self.queries.join(self.prepared.select(F.col("issue_id").alias("qid"), "project_key"), "qid").select("qid", "project_key")
+        side = self.prepared if self.asked is None else self.asked
+        return self.queries.join(side.select(F.col("issue_id").alias("qid"), F.coalesce("project_key", F.lit("")).alias("project_key")), "qid").select("qid", "project_key")
+
+    def token_vectors(self) -> DataFrame:
+        return self.once("tokens", lambda: RI.token_vectors(self.index))
 
     def dense_vectors(self) -> DataFrame:
         """Random-indexing vectors of the corpus, or those given as 'dense'."""
-        return self.vectors.get("dense") or self.once("ri", lambda: RI.document_vectors(self.index, RI.token_vectors(self.index)))
+        return self.vectors.get("dense") or self.once("ri", lambda: RI.document_vectors(self.index, self.token_vectors()))
+
+    def of_queries(self, space: str) -> DataFrame | None:
+        """(issue_id, vector) of new records in a space; None if the queries are records of the corpus."""
+        if self.asked is None:
+            return None
+        if space in self.query_vectors or space in self.vectors or space != "dense":
+            return self.query_vectors[space]
+        return self.once("asked-ri", lambda: RI.query_vectors(self.index, ad_hoc_bags(self.index, self.asked), self.token_vectors()))
 
     def sparse(self, score: str, pool: int | None = None) -> DataFrame:
         return C.with_fallback(self.lexical_pool(score, pool), self.query_rows(), self.prepared, pool or self.pool)
@@ -127,7 +153,7 @@ class Session:
     def by_vector(self, space: str, positive: bool, pool: int | None = None) -> DataFrame:
         n = pool or self.pool
         v = self.dense_vectors() if space == "dense" else self.vectors[space]
-        q = v.join(self.queries.select(F.col("qid").alias("issue_id")), "issue_id").select(F.col("issue_id").alias("qid"), "vector")
+        q = (v if self.asked is None else self.of_queries(space)).join(self.queries.select(F.col("qid").alias("issue_id")), "issue_id").select(F.col("issue_id").alias("qid"), "vector")
         return self.once(f"top:{space}:{n}", lambda: C.dense_topk(q, v, n, positive))
 
     def fused(self) -> DataFrame:
@@ -152,26 +178,27 @@ class Session:
             found = self.by_vector("e5", False)
             return found if model == "llm-e5-large" else found.where(F.col("rank") <= SUPERVISED_POOL)
         if model == "graph-metadata-aware":
-            return self.once("graph", lambda: G.graph_candidates(self.fused(), self.prepared, self.queries, self.edges(), self.pool, self.exclude_query_edges))
+            return self.once("graph", lambda: G.graph_candidates(self.fused(), self.prepared, self.queries, self.edges(), self.pool, self.exclude_query_edges, self.asked))
         return self.fused().where(F.col("rank") <= SUPERVISED_POOL) if model == "pairwise-neural-mlp" else self.fused()
 
     def features(self, model: str, candidates: DataFrame) -> DataFrame:
-        pairs = X.pair_rows(candidates, pair_scores(self.index, self.terms(), candidates), self.prepared)
+        pairs = X.pair_rows(candidates, pair_scores(self.index, self.terms(), candidates), self.prepared, self.asked)
+        cosine = lambda rows: X.with_cosine(rows, self.dense_vectors(), query_vectors=self.of_queries("dense"))
         if model == "logreg-engineered":
             return X.engineered(pairs)
         if model == "random-indexing-dense":
-            return X.with_cosine(X.standard(pairs), self.dense_vectors())
+            return cosine(X.standard(pairs))
         if model == "sbert-dense":
-            return X.with_cosine(X.standard(pairs), self.vectors["sbert"], "sbert_cosine")
+            return X.with_cosine(X.standard(pairs), self.vectors["sbert"], "sbert_cosine", self.of_queries("sbert"))
         if model == "hybrid-sparse-dense":
-            return X.hybrid(X.with_cosine(X.standard(pairs), self.dense_vectors()))
+            return X.hybrid(cosine(X.standard(pairs)))
         if model == "pairwise-neural-mlp":
-            return X.with_cosine(X.engineered(pairs), self.dense_vectors())
+            return cosine(X.engineered(pairs))
         if model == "rag-hybrid-judge":
-            return X.rag(X.with_cosine(X.engineered(pairs), self.dense_vectors()))
+            return X.rag(cosine(X.engineered(pairs)))
         if model == "graph-metadata-aware":
-            context = G.graph_context(candidates, self.prepared, self.edges())
-            return X.graph(X.with_cosine(X.standard(pairs), self.dense_vectors()), context)
+            context = G.graph_context(candidates, self.prepared, self.edges(), self.exclude_query_edges, self.asked)
+            return X.graph(cosine(X.standard(pairs)), context)
         if model == "llm-e5-large":
             return X.embedding_seed(X.standard(pairs))
         if model == "llm-e5-cross-reranker":
@@ -200,20 +227,23 @@ class Session:
             return R.logistic(m.weights, m.bias)
         if model == "pairwise-neural-mlp":
             m = L.fit_mlp(self.training(model, holdout), X.NEURAL)
+            if self.diagnostics:
+                L.write_diagnostics(m, self.prepared.sparkSession, f"{self.diagnostics}/{model}")
             return R.neural(m.names, m.hidden, m.hidden_bias, m.out, m.out_bias)
         fixed = {"random-indexing-dense": R.dense, "sbert-dense": R.sbert, "rag-hybrid-judge": R.judge, "graph-metadata-aware": R.graph, "llm-e5-large": R.e5, "llm-e5-cross-reranker": R.cross}
         return fixed.get(model) or R.linear(R.LINEAR_WEIGHTS[model], 0.05 if model == "hybrid-sparse-dense" else 0.08)
 
     def available(self, model: str) -> bool:
-        """Whether what the model needs is there: precomputed vectors, and for the cross reranker a pair scorer."""
-        need = MODELS[model].needs_vectors
-        return (need is None or need in self.vectors) and (model != "llm-e5-cross-reranker" or self.pair_scorer is not None)
+        """Whether what the model needs is there: precomputed vectors, also those of new records, and for the cross reranker a pair scorer."""
+        need = MODELS[model].needs_vectors or ("dense" if MODELS[model].uses_dense and "dense" in self.vectors else None)
+        return (need is None or need in self.vectors and (self.asked is None or need in self.query_vectors)) and (model != "llm-e5-cross-reranker" or self.pair_scorer is not None)
 
     def ranked(self, model: str, top_k: int = 10, reranker: R.Reranker | None = None) -> DataFrame:
         """qid, issue_id, rank, score, reasons: pool, without the query itself, features, rerank, the best top_k by score, then id."""
         if not self.available(model):
             raise RuntimeError(f"model {model!r} is known but what it needs is not available")
-        pairs = self.features(model, C.exclude_self(self.candidates(model)))
+        found = self.candidates(model)
+        pairs = X.other_issue(self.features(model, C.exclude_self(found) if self.asked is None else found))
         scored = (reranker or self.part(f"model:{model}", lambda: self.reranker(model)))(pairs).select("qid", "issue_id", "score", "reasons")
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "issue_id")
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -211,7 +211,7 @@ _SPARSE = _W + O.lexical() + ", " + O.pool("bm", "lexical", "bm25", POOL, "bm25
 @query("q_features_standard", _SPARSE + ", " + O.features("bm") + f" SELECT qid, issue_id, {', '.join(X.STANDARD)} FROM features")
 def _(spark, d):
     s = _session(spark, d)
-    return s.features("bm25", C.exclude_self(s.candidates("bm25"))).select("qid", "issue_id", *X.STANDARD)
+    return X.other_issue(s.features("bm25", C.exclude_self(s.candidates("bm25")))).select("qid", "issue_id", *X.STANDARD)
 
 
 _COARSE = _W + O.lexical() + ", " + O.pool("co", "lexical", "coarse", POOL, "coarse > 0") + ", " + O.features("co")
@@ -220,14 +220,14 @@ _COARSE = _W + O.lexical() + ", " + O.pool("co", "lexical", "coarse", POOL, "coa
 @query("q_features_engineered", _COARSE + f" SELECT qid, issue_id, {', '.join(X.ENGINEERED)} FROM features")
 def _(spark, d):
     s = _session(spark, d)
-    return s.features("logreg-engineered", C.exclude_self(s.candidates("logreg-engineered"))).select("qid", "issue_id", *X.ENGINEERED)
+    return X.other_issue(s.features("logreg-engineered", C.exclude_self(s.candidates("logreg-engineered")))).select("qid", "issue_id", *X.ENGINEERED)
 
 
 # Models
 
 _RANKED = " SELECT qid, issue_id, place AS rank, score, reasons FROM ranked"
 _FUSED = _W + O.lexical() + ", " + O.fused(POOL)
-_EVIDENCE = "round((project_match + component_overlap + issue_type_match) / 3, 4) AS metadata_alignment, round((dense_cosine + bm25_plus) / 2 + 1e-9, 4) AS semantic_lexical_agreement, round((candidate_seed + dense_cosine + bm25_plus) / 3, 4) AS retrieval_confidence"
+_EVIDENCE = "round((project_match + component_overlap + issue_type_match) / 3, 4) AS metadata_alignment, round((dense_cosine + bm25_plus) / 2 , 4) AS semantic_lexical_agreement, round((candidate_seed + dense_cosine + bm25_plus) / 3, 4) AS retrieval_confidence"
 _GRAPH_POOL = ", ".join([O.EDGES, O.METADATA, O.GRAPH_SEEDS, O.PROPAGATED, "combined AS (SELECT qid, issue_id, sum(s) AS s FROM (SELECT * FROM seeds UNION ALL SELECT * FROM spread) GROUP BY 1, 2)", O.pool("graph_pool", "combined", "s", POOL)])
 _SEVEN = "round((project_match + issue_type_match + priority_match + status_match + component_overlap + affected_version_overlap + fix_version_overlap) / 7, 4) AS metadata_alignment, round(coalesce(graph_context, 0), 4) AS graph_context, round(least(1.0, seed), 4) AS graph_seed"
 _E5_SOURCE = "(SELECT *, round(greatest(0, least(1, (seed + 1) / 2)), 4) AS llm_embedding_cosine FROM features)"

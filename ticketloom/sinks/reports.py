@@ -36,7 +36,8 @@ def metric_table(metrics: DataFrame) -> str:
     """Metrics of several models with one column per cut-off."""
     ks = [r.k for r in metrics.select("k").distinct().orderBy("k").collect()]
     wide = metrics.groupBy("model", "task", "metric").pivot("k", ks).agg(F.first("value")).orderBy("model", "metric")
-    return markdown(["model", "task", "metric", *map(str, ks)], wide.limit(REPORT_ROWS).collect())
+    # Models x metrics rows, however large the collection is.
+    return markdown(["model", "task", "metric", *map(str, ks)], wide.collect())
 
 
 def render(found: DataFrame) -> list[str]:

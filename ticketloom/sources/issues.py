@@ -98,17 +98,22 @@ def decode_json(records: DataFrame) -> DataFrame:
 
 
 class JsonRepository:
-    """A JSON file or folder: a list of records, {"issues": [...]}, or one record."""
+    """A JSON file or folder: a list of records, {"issues": [...]}, or one record; or one record a line (.jsonl, .ndjson), which many tasks read."""
 
-    def __init__(self, path: str, limit: int | None = None):
+    def __init__(self, path: str, limit: int | None = None, lines: bool | None = None):
         self.path, self.limit = path, limit
+        self.lines = path.lower().endswith((".jsonl", ".ndjson")) if lines is None else lines
 
     def load(self, spark: SparkSession) -> DataFrame:
-        whole = spark.read.text(self.path, wholetext=True).select(F.trim("value").alias("v"))
-        wrapped = F.get_json_object("v", "$.issues")
-        several = F.when(F.col("v").startswith("["), F.col("v")).otherwise(wrapped)
-        items = F.when(several.isNotNull(), F.from_json(several, "array<string>")).otherwise(F.array("v"))
-        issues = reverse_links(decode_json(whole.select(F.explode(items).alias("record"))))
+        if self.lines:
+            records = spark.read.text(self.path).select(F.trim("value").alias("record")).where(F.col("record") != "")
+        else:
+            whole = spark.read.text(self.path, wholetext=True).select(F.trim("value").alias("v"))
+            wrapped = F.get_json_object("v", "$.issues")
+            several = F.when(F.col("v").startswith("["), F.col("v")).otherwise(wrapped)
+            items = F.when(several.isNotNull(), F.from_json(several, "array<string>")).otherwise(F.array("v"))
+            records = whole.select(F.explode(items).alias("record"))
+        issues = reverse_links(decode_json(records))
         return issues if self.limit is None else issues.orderBy("issue_id").limit(self.limit)
 
 
@@ -139,16 +144,27 @@ def from_relational(tables: dict[str, DataFrame], comment_limit: int | None = No
 
 
 class JdbcRepository:
-    """The relational tables over JDBC; columns and limits are pushed down by Spark's JDBC source."""
+    """The relational tables over JDBC. Tables that grow with the issues are read by several connections, each a range of ids; columns are pruned and filters pushed down by Spark's JDBC source."""
 
     TABLES = ("issue", "project", "issue_component", "component", "affected_version", "fix_version", "version", "issue_link", "comment")
-
-    def __init__(self, url: str, properties: dict[str, str], comment_limit: int | None = None, limit: int | None = None):
-        self.url, self.properties, self.comment_limit, self.limit = url, properties, comment_limit, limit
+    #: The column whose ranges cut a table.
+    RANGES = {"issue": "id", "issue_component": "issue_id", "affected_version": "issue_id", "fix_version": "issue_id", "issue_link": "issue_id", "comment": "issue_id"}
+
+    def __init__(self, url: str, properties: dict[str, str], comment_limit: int | None = None, limit: int | None = None, partitions: int = 8):
+        self.url, self.properties, self.comment_limit, self.limit, self.partitions = url, properties, comment_limit, limit, partitions
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        options = {}
+        if name in self.RANGES and self.partitions > 1:
+            column = self.RANGES[name]
+            low, high = spark.read.jdbc(self.url, f"(SELECT min({column}) AS low, max({column}) AS high FROM {name}) bounds", properties=self.properties).first()
+            if low is not None and low < high:
+                options = {"column": column, "lowerBound": int(low), "upperBound": int(high) + 1, "numPartitions": self.partitions}
+        found = spark.read.jdbc(self.url, name, properties=self.properties, **options)
+        return found.toDF(*[c.lower() for c in found.columns])
 
     def load(self, spark: SparkSession) -> DataFrame:
-        read = lambda t: (lambda d: d.toDF(*[c.lower() for c in d.columns]))(spark.read.jdbc(self.url, t, properties=self.properties))
-        return reverse_links(from_relational({t: read(t) for t in self.TABLES}, self.comment_limit, self.limit))
+        return reverse_links(from_relational({t: self.read(spark, t) for t in self.TABLES}, self.comment_limit, self.limit))
 
 
 class ParquetRepository:
