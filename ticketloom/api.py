@@ -48,7 +48,7 @@ class Engine:
             repo = repository("json", path=settings.path, limit=settings.limit)
         else:
             repo = repository(settings.source, **({"path": settings.path} if settings.source == "parquet" else {}))
-        return cls(repo.load(spark), pool=settings.pool, **{"diagnostics": settings.diagnostics, **options})
+        return cls(repo.load(spark), pool=settings.pool, **{"diagnostics": f"{settings.results_dir}/diagnostics" if settings.diagnostics else None, **options})
 
     @property
     def catalog(self) -> dict[str, ModelSpec]:

@@ -72,10 +72,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     if a.command == "suites":
         print("\n".join(f"{n:34} {', '.join(models)}" for n, (_, models) in SUITES.items()))
         return 0
-    settings = Settings.from_env().with_overrides(source=a.source, path=a.path, jdbc_url=a.jdbc_url, jdbc_user=a.jdbc_user, jdbc_password=a.jdbc_password, limit=a.limit, partitions=a.partitions, pool=a.pool, results_dir=a.results_dir)
+    settings = Settings.from_env().with_overrides(source=a.source, path=a.path, jdbc_url=a.jdbc_url, jdbc_user=a.jdbc_user, jdbc_password=a.jdbc_password, limit=a.limit, partitions=a.partitions, pool=a.pool, results_dir=a.results_dir, diagnostics=False if a.disable_training_diagnostics else None)
     spark = SparkSession.builder.appName("ticketloom").getOrCreate()
-    options = {"diagnostics": None} if a.disable_training_diagnostics else {}
-    engine = Engine.from_source(spark, settings, vectors=read_vectors(spark, a.vectors), exclude_query_edges=a.exclude_query_edges, **options)
+    engine = Engine.from_source(spark, settings, vectors=read_vectors(spark, a.vectors), exclude_query_edges=a.exclude_query_edges)
     writer = ResultsWriter(settings.results_dir)
     if a.command in ("similar", "duplicates"):
         found = engine.search_new(build_query(spark, a), a.model, a.top_k, read_vectors(spark, a.query_vectors))

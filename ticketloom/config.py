@@ -39,17 +39,16 @@ class Settings:
     partitions: int = 8
     pool: int = 250
     results_dir: str = "results"
-    #: Folder of the training diagnostics; None: none are written.
-    diagnostics: str | None = None
+    #: Whether the loss curves of fitted networks are written, to <results_dir>/diagnostics.
+    diagnostics: bool = True
 
     @classmethod
     def from_env(cls) -> "Settings":
         limit = read_text("LIMIT")
-        results = read_text("RESULTS_DIR", "results")
         return cls(
             source=read_text("SOURCE", "json"), path=read_text("PATH"), jdbc_url=read_text("JDBC_URL"), jdbc_user=read_text("JDBC_USER"), jdbc_password=read_text("JDBC_PASSWORD"),
-            limit=None if limit is None else int(limit), include_comments=read_bool("INCLUDE_COMMENTS", True), comment_limit=read_int("COMMENT_LIMIT", 5), partitions=read_int("PARTITIONS", 8), pool=read_int("POOL", 250), results_dir=results,
-            diagnostics=f"{results}/diagnostics" if read_bool("DIAGNOSTICS", True) else None,
+            limit=None if limit is None else int(limit), include_comments=read_bool("INCLUDE_COMMENTS", True), comment_limit=read_int("COMMENT_LIMIT", 5), partitions=read_int("PARTITIONS", 8), pool=read_int("POOL", 250), results_dir=read_text("RESULTS_DIR", "results"),
+            diagnostics=read_bool("DIAGNOSTICS", True),
         )
 
     def with_overrides(self, **given) -> "Settings":

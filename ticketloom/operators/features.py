@@ -33,10 +33,10 @@ def pair_rows(candidates: DataFrame, lexical: DataFrame, prepared: DataFrame, qu
     return joined.join(side(query_side if query_side is not None else prepared, "q"), "qid").join(side(prepared, "c"), "issue_id")
 
 
-def other_issue(pairs: DataFrame) -> DataFrame:
-    """Pairs whose records are not the same issue: they differ in id, and in key where the query has one."""
+def other_issue(pairs: DataFrame, by_id: bool = True) -> DataFrame:
+    """Pairs whose records are not the same issue: they differ in key where the query has one, and in id (the qid of a new record is no id)."""
     same_key = F.coalesce((F.col("q_issue_key") == F.col("c_issue_key")) & (F.col("q_issue_key") != ""), F.lit(False))
-    return pairs.where((F.col("qid") != F.col("issue_id")) & ~same_key)
+    return pairs.where(~same_key & (F.col("qid") != F.col("issue_id")) if by_id else ~same_key)
 
 
 def standard(pairs: DataFrame) -> DataFrame:

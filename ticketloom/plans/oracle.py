@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ticketloom.functions.text import STOPWORDS
-from ticketloom.operators.rerank import JUDGE_WEIGHTS, LINEAR_TEXTS, LINEAR_WEIGHTS
+from ticketloom.plans.oracle_values import JUDGE_WEIGHTS, LINEAR_TEXTS, LINEAR_WEIGHTS, STOPWORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -100,9 +99,28 @@ def cosines(space: str, positive: bool) -> str:
     return f"""cos_{space} AS (SELECT * FROM (SELECT a.issue_id AS qid, b.issue_id, list_cosine_similarity(a.v, b.v) AS c FROM vectors a JOIN queries ON qid = a.issue_id JOIN vectors b ON b.space = a.space WHERE a.space = '{space}') {"WHERE c > 0" if positive else ""})"""
 
 
-def fused(size: int) -> str:
+#: Random-indexing vectors of the corpus, as token entries, co-occurrences, token vectors and document vectors.
+RANDOM_ENTRIES = r"""
+digests AS (SELECT term, substr(sha256(term), 1, 60) || substr(sha256(term || '#'), 1, 60) AS h FROM frequencies),
+triples AS (SELECT term, i, ('0x' || substr(h, i * 6 + 1, 4))::INT % 192 AS dim, CASE WHEN ('0x' || substr(h, i * 6 + 5, 2))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS sign FROM digests, range(20) r(i)),
+firsts AS (SELECT term, dim, arg_min(sign, i) AS sign, min(i) AS i FROM triples GROUP BY 1, 2),
+entries AS MATERIALIZED (SELECT term, dim, sign FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY i) AS r FROM firsts) WHERE r <= 8)"""
+COOCCURRENCE = """
+seq AS (SELECT issue_id, unnest(weighted_terms) AS term, generate_subscripts(weighted_terms, 1) AS i FROM prepared),
+cooc AS MATERIALIZED (SELECT a.term, b.term AS neighbour, sum(1.0::DOUBLE / abs(a.i - b.i)) AS weight FROM seq a JOIN seq b ON a.issue_id = b.issue_id AND b.i BETWEEN a.i - 3 AND a.i + 3 AND a.i <> b.i GROUP BY 1, 2)"""
+TOKEN_VECTORS = """
+mixed AS (SELECT term, dim, sum(v) AS v FROM (SELECT c.term, dim, 2 * weight * sign AS v FROM cooc c JOIN entries e ON e.term = neighbour UNION ALL SELECT term, dim, 0.35 * sign FROM entries) GROUP BY 1, 2),
+unit AS MATERIALIZED (SELECT term, dim, v / norm AS value FROM mixed JOIN (SELECT term, sqrt(sum(v * v)) AS norm FROM mixed GROUP BY 1) USING (term) WHERE norm > 0)"""
+RANDOM_DOCUMENTS = """
+doc AS (SELECT issue_id, dim, sum((1 + ln(tf)) * idf * value) AS v FROM postings JOIN unit USING (term) GROUP BY 1, 2),
+docs AS MATERIALIZED (SELECT issue_id, dim, v / norm AS v FROM doc JOIN (SELECT issue_id, sqrt(sum(v * v)) AS norm FROM doc GROUP BY 1) USING (issue_id) WHERE norm > 0)"""
+RANDOM_VECTORS = ",".join([RANDOM_ENTRIES, COOCCURRENCE, TOKEN_VECTORS, RANDOM_DOCUMENTS, """
+vectors AS MATERIALIZED (SELECT 'dense' AS space, i.issue_id, list(coalesce(d.v, 0.0) ORDER BY k) AS v FROM (SELECT DISTINCT issue_id FROM docs) i CROSS JOIN range(192) r(k) LEFT JOIN docs d ON d.issue_id = i.issue_id AND d.dim = k GROUP BY 2)"""])
+
+
+def fused(size: int, vectors: str = VECTORS) -> str:
     return ",\n".join([
-        pool("sparse", "lexical", "bm25_plus", size, "bm25_plus > 0"), VECTORS, cosines("dense", True), pool("dense", "cos_dense", "c", size),
+        pool("sparse", "lexical", "bm25_plus", size, "bm25_plus > 0"), vectors, cosines("dense", True), pool("dense", "cos_dense", "c", size),
         f"""fuse AS (SELECT qid, issue_id, sum(x) AS s FROM (SELECT qid, issue_id, 0.52 / (25 + rank) + 0.18 * seed / (seed + 8) AS x FROM sparse
             UNION ALL SELECT qid, issue_id, 0.48 / (25 + rank) + 0.18 * {clamp("seed")} FROM dense) GROUP BY 1, 2)""",
         pool("fused", "fuse", "s", size),

@@ -243,7 +243,7 @@ class Session:
         if not self.available(model):
             raise RuntimeError(f"model {model!r} is known but what it needs is not available")
         found = self.candidates(model)
-        pairs = X.other_issue(self.features(model, C.exclude_self(found) if self.asked is None else found))
+        pairs = X.other_issue(self.features(model, C.exclude_self(found) if self.asked is None else found), self.asked is None)
         scored = (reranker or self.part(f"model:{model}", lambda: self.reranker(model)))(pairs).select("qid", "issue_id", "score", "reasons")
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "issue_id")
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -6,8 +6,9 @@ Search queries are the records whose id is divisible by 100, against all records
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
@@ -20,14 +21,17 @@ from ticketloom.operators import random_indexing as RI
 from ticketloom.operators import rerank as R
 from ticketloom.operators.index import build_index, idf_bm25, idf_tfidf
 from ticketloom.plans import oracle as O
-from ticketloom.plans.pipelines import Session
+from ticketloom.plans import oracle_values as V
+from ticketloom.plans.pipelines import MODELS, Session
+from ticketloom.sinks.reports import metric_pivot
 from ticketloom.sources import issues as S
 from ticketloom.sources import synthetic as SY
 from ticketloom.storage import exists, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-POOL = 50
+#: The pool of the registered queries is the engine's.
+POOL, SUPERVISED = 250, 80
 _SESSIONS: dict[tuple, Session] = {}
 
 
@@ -52,6 +56,11 @@ def _vectors(spark: SparkSession, d: str, name: str, column: str, dimension: int
     return table(spark, d, name).where(v.isNotNull() & good).groupBy("issue_id").agg(F.min(v).cast("array<double>").alias("vector"))
 
 
+def _shared_words(a: Column, b: Column) -> Column:
+    """A stand-in for a cross encoder: how many of the words of two whole texts are shared."""
+    return T.jaccard(F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))) * 6.0 - 3.0
+
+
 def _session(spark: SparkSession, d: str, labelled: bool = False) -> Session:
     """The index of a folder, built once and kept as long as its tables are there."""
     key = (spark.sparkContext.applicationId, d, labelled)
@@ -62,7 +71,7 @@ def _session(spark: SparkSession, d: str, labelled: bool = False) -> Session:
         asks = index.prepared.where((F.size("linked_issue_ids") > 0) | (F.size("duplicate_issue_ids") > 0)) if labelled else index.prepared.where(F.col("issue_id") % 100 == 0)
         vectors = {"dense": materialize(_vectors(spark, d, "dense_embedding_space", "document_vector", 192), "dense"), "sbert": materialize(_vectors(spark, d, "sbert_embedding_space", "embedding", 64), "sbert")}
         vectors["e5"] = vectors["sbert"]
-        kept = _SESSIONS[key] = Session(index, asks.select(F.col("issue_id").alias("qid")), vectors, pair_scorer=lambda a, b: F.levenshtein(F.substring(a, 1, 60), F.substring(b, 1, 60)) / -20.0, pool=POOL)
+        kept = _SESSIONS[key] = Session(index, asks.select(F.col("issue_id").alias("qid")), vectors, pair_scorer=_shared_words, pool=POOL)
     return kept
 
 
@@ -176,7 +185,7 @@ for _name, _score in (("q_bm25_topk", "bm25"), ("q_bm25plus_topk", "bm25_plus"),
 
 @query("q_candidate_fallback", _W + O.PREPARED + """, asks AS (SELECT DISTINCT -row_number() OVER (ORDER BY project_key) AS qid, project_key FROM (SELECT DISTINCT project_key FROM prepared WHERE project_key <> '' UNION ALL SELECT 'no such project')),
     placed AS (SELECT issue_id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY issue_id) AS r, row_number() OVER (ORDER BY issue_id) AS a FROM prepared)
-    SELECT qid, issue_id, r AS rank FROM asks JOIN placed USING (project_key) WHERE r <= 50 UNION ALL SELECT qid, issue_id, a FROM asks, placed WHERE asks.project_key = 'no such project' AND a <= 50""")
+    SELECT qid, issue_id, r AS rank FROM asks JOIN placed USING (project_key) WHERE r <= 250 UNION ALL SELECT qid, issue_id, a FROM asks, placed WHERE asks.project_key = 'no such project' AND a <= 250""")
 def _(spark, d):
     """Queries of unseen words only, one of every project and one of none: the first records of the project, else of the corpus."""
     from pyspark.sql import Window
@@ -214,7 +223,7 @@ def _(spark, d):
     return X.other_issue(s.features("bm25", C.exclude_self(s.candidates("bm25")))).select("qid", "issue_id", *X.STANDARD)
 
 
-_COARSE = _W + O.lexical() + ", " + O.pool("co", "lexical", "coarse", POOL, "coarse > 0") + ", " + O.features("co")
+_COARSE = _W + O.lexical() + ", " + O.pool("co", "lexical", "coarse", SUPERVISED, "coarse > 0") + ", " + O.features("co")
 
 
 @query("q_features_engineered", _COARSE + f" SELECT qid, issue_id, {', '.join(X.ENGINEERED)} FROM features")
@@ -227,37 +236,44 @@ def _(spark, d):
 
 _RANKED = " SELECT qid, issue_id, place AS rank, score, reasons FROM ranked"
 _FUSED = _W + O.lexical() + ", " + O.fused(POOL)
-_EVIDENCE = "round((project_match + component_overlap + issue_type_match) / 3, 4) AS metadata_alignment, round((dense_cosine + bm25_plus) / 2 , 4) AS semantic_lexical_agreement, round((candidate_seed + dense_cosine + bm25_plus) / 3, 4) AS retrieval_confidence"
+_EVIDENCE = "round((project_match + component_overlap + issue_type_match) / 3, 4) AS metadata_alignment, (round((dense_cosine + bm25_plus) * 10000)::BIGINT + 1) // 2 / 10000 AS semantic_lexical_agreement, round((candidate_seed + dense_cosine + bm25_plus) / 3, 4) AS retrieval_confidence"
 _GRAPH_POOL = ", ".join([O.EDGES, O.METADATA, O.GRAPH_SEEDS, O.PROPAGATED, "combined AS (SELECT qid, issue_id, sum(s) AS s FROM (SELECT * FROM seeds UNION ALL SELECT * FROM spread) GROUP BY 1, 2)", O.pool("graph_pool", "combined", "s", POOL)])
 _SEVEN = "round((project_match + issue_type_match + priority_match + status_match + component_overlap + affected_version_overlap + fix_version_overlap) / 7, 4) AS metadata_alignment, round(coalesce(graph_context, 0), 4) AS graph_context, round(least(1.0, seed), 4) AS graph_seed"
 _E5_SOURCE = "(SELECT *, round(greatest(0, least(1, (seed + 1) / 2)), 4) AS llm_embedding_cosine FROM features)"
 
 
-def _fixed(model: str) -> str:
-    """SQL of a model's ranking, with reasons as one text."""
+_TEXT = "(SELECT issue_id, list_distinct(string_split(coalesce(nullif(array_to_string(list_slice(weighted_terms, 1, 320), ' '), ''), 'empty issue'), ' ')) AS x FROM prepared)"
+_CROSS_SOURCE = f"""(SELECT f.*, round(1 / (1 + exp(-greatest(least({O.jaccard('a.x', 'b.x')} * 6.0 - 3.0, 30), -30))), 4) AS llm_cross_score
+    FROM {_E5_SOURCE} f JOIN {_TEXT} a ON a.issue_id = qid JOIN {_TEXT} b ON b.issue_id = f.issue_id)"""
+
+
+def _fixed(model: str, vectors: str = O.VECTORS, new: bool = False) -> str:
+    """SQL of a model's ranking, with reasons as one text. new: the queries are records outside the corpus, equal to records of it."""
+    sparse, fused = _SPARSE, _W + O.lexical() + ", " + O.fused(POOL, vectors)
+    features = lambda *a: O.features(*a, keep_self=new)
     if model in ("bm25", "lexical"):
-        head, source = _SPARSE + ", " + O.features("bm"), "features"
+        head, source = sparse + ", " + features("bm"), "features"
     elif model in ("bm25-plus", "tfidf-cosine"):
         score = model.replace("-", "_")
-        head, source = _W + O.lexical() + ", " + O.pool("bm", "lexical", score, POOL, f"{score} > 0") + ", " + O.features("bm"), "features"
+        head, source = _W + O.lexical() + ", " + O.pool("bm", "lexical", score, POOL, f"{score} > 0") + ", " + features("bm"), "features"
     elif model == "random-indexing-dense":
-        head, source = _FUSED + ", " + O.pool("fall", "(SELECT d.qid, d.issue_id, d.seed FROM dense d UNION ALL SELECT qid, f.issue_id, 0 FROM (SELECT q.qid, p.project_key FROM queries q JOIN prepared p ON p.issue_id = q.qid WHERE q.qid NOT IN (SELECT qid FROM dense)) m JOIN prepared f USING (project_key) WHERE project_key <> '')", "seed", POOL) + ", " + O.features("fall", "dense"), "features"
-    elif model in ("sbert-dense", "llm-e5-large"):
-        head = _W + O.lexical() + f", {O.VECTORS}, {O.cosines('sbert', False)}, {O.pool('sb', 'cos_sbert', 'c', POOL)}, " + O.features("sb", "sbert")
-        source = "features" if model == "sbert-dense" else _E5_SOURCE
+        head, source = fused + ", " + O.pool("fall", "(SELECT d.qid, d.issue_id, d.seed FROM dense d UNION ALL SELECT qid, f.issue_id, 0 FROM (SELECT q.qid, p.project_key FROM queries q JOIN prepared p ON p.issue_id = q.qid WHERE q.qid NOT IN (SELECT qid FROM dense)) m JOIN prepared f USING (project_key) WHERE project_key <> '')", "seed", POOL) + ", " + features("fall", "dense"), "features"
+    elif model in ("sbert-dense", "llm-e5-large", "llm-e5-cross-reranker"):
+        head = _W + O.lexical() + f", {O.VECTORS}, {O.cosines('sbert', False)}, {O.pool('sb', 'cos_sbert', 'c', SUPERVISED if model.endswith("reranker") else POOL)}, " + features("sb", "sbert")
+        source = {"sbert-dense": "features", "llm-e5-large": _E5_SOURCE}.get(model, _CROSS_SOURCE)
     elif model == "hybrid-sparse-dense":
-        head, source = _FUSED + ", " + O.features("fused", "dense"), f"(SELECT *, round({O.clamp('seed')}, 4) AS rrf_seed FROM features)"
+        head, source = fused + ", " + features("fused", "dense"), f"(SELECT *, round({O.clamp('seed')}, 4) AS rrf_seed FROM features)"
     elif model == "rag-hybrid-judge":
-        head, source = _FUSED + ", " + O.features("fused", "dense"), f"(SELECT *, {_EVIDENCE} FROM features)"
+        head, source = fused + ", " + features("fused", "dense"), f"(SELECT *, {_EVIDENCE} FROM features)"
     else:
-        head, source = ", ".join([_FUSED, _GRAPH_POOL, O.features("graph_pool", "dense"), O.context("graph_pool")]), f"(SELECT f.* , {_SEVEN} FROM features f LEFT JOIN context USING (qid, issue_id))"
+        head, source = ", ".join([fused, _GRAPH_POOL, features("graph_pool", "dense"), O.context("graph_pool")]), f"(SELECT f.* , {_SEVEN} FROM features f LEFT JOIN context USING (qid, issue_id))"
     score = O.JUDGE_SCORE if model == "rag-hybrid-judge" else O.linear_score(model)
-    if model in R.RULES:
-        table_, otherwise = R.RULES[model]
+    if model in V.RULES:
+        table_, otherwise = V.RULES[model]
         reasons = O.rules(list(table_), f"'{otherwise}'")
     elif model == "rag-hybrid-judge":
-        bands = "coalesce(" + ", ".join(f"CASE WHEN {O.JUDGE_SCORE} >= {least} THEN '{t}' END" for least, t in R.JUDGE_OTHERWISE) + ")"
-        reasons = O.rules([(c.format(score=f"({O.JUDGE_SCORE})"), t) for c, t in R.JUDGE_RULES], bands)
+        bands = "coalesce(" + ", ".join(f"CASE WHEN {O.JUDGE_SCORE} >= {least} THEN '{t}' END" for least, t in V.JUDGE_OTHERWISE) + ")"
+        reasons = O.rules([(c.format(score=f"({O.JUDGE_SCORE})"), t) for c, t in V.JUDGE_RULES], bands)
     else:
         reasons = O.linear_reasons(model, 0.05 if model == "hybrid-sparse-dense" else 0.08)
     return head + ", " + O.ranked(score, source, 10, f", {reasons} AS reasons")
@@ -270,16 +286,55 @@ def _rank_query(name: str, model: str):
 
 
 for _name, _model in (("q_rank_bm25", "bm25"), ("q_rank_bm25_plus", "bm25-plus"), ("q_rank_tfidf", "tfidf-cosine"), ("q_rank_lexical", "lexical"), ("q_dense_rank", "random-indexing-dense"), ("q_sbert_rank", "sbert-dense"),
-                      ("q_e5_rank", "llm-e5-large"), ("q_hybrid_rank", "hybrid-sparse-dense"), ("q_rag_judge", "rag-hybrid-judge"), ("q_graph_rank", "graph-metadata-aware")):
+                      ("q_e5_rank", "llm-e5-large"), ("q_cross_rank", "llm-e5-cross-reranker"), ("q_hybrid_rank", "hybrid-sparse-dense"), ("q_rag_judge", "rag-hybrid-judge"), ("q_graph_rank", "graph-metadata-aware")):
     _rank_query(_name, _model)
 
 
-@query("q_cross_rank", _fixed("llm-e5-large").split(", ranked AS")[0] + f""", crossed AS (SELECT f.*, round(1 / (1 + exp(-greatest(least(levenshtein(substr(a.x, 1, 60), substr(b.x, 1, 60)) / -20.0, 30), -30))), 4) AS llm_cross_score
-    FROM {_E5_SOURCE} f JOIN (SELECT issue_id, coalesce(nullif(array_to_string(list_slice(weighted_terms, 1, 320), ' '), ''), 'empty issue') AS x FROM prepared) a ON a.issue_id = qid JOIN (SELECT issue_id, coalesce(nullif(array_to_string(list_slice(weighted_terms, 1, 320), ' '), ''), 'empty issue') AS x FROM prepared) b ON b.issue_id = f.issue_id),
-    """ + O.ranked(O.linear_score("llm-e5-cross-reranker"), "crossed") + " SELECT qid, issue_id, place AS rank, score FROM ranked")
+# Random indexing on its own vectors, and new records
+
+@query("q_ri_rank", _fixed("random-indexing-dense", O.RANDOM_VECTORS) + _RANKED)
 def _(spark, d):
-    """The cross reranker with a stand-in pair scorer (an edit distance of the texts' beginnings)."""
-    return _session(spark, d).ranked("llm-e5-cross-reranker").select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score")
+    """The random-indexing model on the vectors learnt from the corpus."""
+    return _own_vectors(spark, d).ranked("random-indexing-dense").select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _own_vectors(spark: SparkSession, d: str) -> Session:
+    """The session whose dense vectors are those learnt from the corpus."""
+    s = _session(spark, d)
+    return s.part("own", lambda: Session(s.index, s.queries, {k: v for k, v in s.vectors.items() if k != "dense"}, s.pair_scorer, POOL, _made={"tokens": s.token_vectors(), "terms": s.terms()}))
+
+
+def _new_records(spark: SparkSession, d: str) -> Session:
+    """The queries' records as new ones, without id and key (qid: the negative id), with the vectors an encoder would give them."""
+    s = _session(spark, d)
+
+    def make() -> Session:
+        own = s.prepared.join(s.queries.select(F.col("qid").alias("issue_id")), "issue_id", "left_semi")
+        asked = materialize(own.withColumns({"issue_id": -F.col("issue_id"), "issue_key": F.lit(None).cast("string")}), "asked")
+        given = {k: s.vectors[k].select((-F.col("issue_id")).alias("issue_id"), "vector") for k in ("sbert", "e5")}
+        vectors = {k: v for k, v in s.vectors.items() if k != "dense"}
+        made = {"tokens": s.token_vectors(), "edges": s.edges()}
+        return Session(s.index, asked.select(F.col("issue_id").alias("qid")), vectors, s.pair_scorer, POOL, asked=asked, query_vectors=given, _made=made)
+
+    return s.part("new", make)
+
+
+_FITTED = ("logreg-engineered", "pairwise-neural-mlp")
+
+
+def _new_query(model: str):
+    """A search of new records; the SQL searches for the equal records of the corpus and keeps them in their own lists."""
+    dense = model in ("random-indexing-dense", "hybrid-sparse-dense", "rag-hybrid-judge", "graph-metadata-aware")
+    sql = None if model in _FITTED else _fixed(model, O.RANDOM_VECTORS if dense else O.VECTORS, True) + " SELECT -qid AS qid, issue_id, place AS rank, score FROM ranked"
+
+    @query("q_search_new_" + model.replace("-", "_"), sql)
+    def _(spark, d):
+        fitted = _fitted(spark, d, model) if model in _FITTED else None
+        return _new_records(spark, d).ranked(model, reranker=fitted).select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
+for _model in MODELS:
+    _new_query(_model)
 
 
 @query("q_find_duplicates", _fixed("bm25") + " SELECT qid, issue_id, place AS rank, score FROM ranked WHERE score >= 0.55")
@@ -287,11 +342,14 @@ def _(spark, d):
     return _session(spark, d).ranked("bm25").where("score >= 0.55").select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
-@query("q_compare_models", " UNION ALL ".join(f"SELECT * FROM ({_fixed(m)} SELECT '{m}' AS model, qid, issue_id, place AS rank, score FROM ranked WHERE place <= 5)" for m in ("bm25", "hybrid-sparse-dense", "graph-metadata-aware")))
+_UNFITTED = [m for m in MODELS if m not in _FITTED]
+
+
+@query("q_compare_models", " UNION ALL ".join(f"SELECT * FROM ({_fixed(m)} SELECT '{m}' AS model, qid, issue_id, place AS rank, score FROM ranked WHERE place <= 5)" for m in _UNFITTED))
 def _(spark, d):
     s = _session(spark, d)
-    parts = [s.ranked(m, 5).select(F.lit(m).alias("model"), "qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score") for m in ("bm25", "hybrid-sparse-dense", "graph-metadata-aware")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [s.ranked(m, 5).select(F.lit(m).alias("model"), "qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score") for m in _UNFITTED]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Graph
@@ -323,17 +381,7 @@ def _(spark, d):
 
 # Random indexing
 
-_RI = r"""
-digests AS (SELECT term, substr(sha256(term), 1, 60) || substr(sha256(term || '#'), 1, 60) AS h FROM frequencies),
-triples AS (SELECT term, i, ('0x' || substr(h, i * 6 + 1, 4))::INT % 192 AS dim, CASE WHEN ('0x' || substr(h, i * 6 + 5, 2))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS sign FROM digests, range(20) r(i)),
-firsts AS (SELECT term, dim, arg_min(sign, i) AS sign, min(i) AS i FROM triples GROUP BY 1, 2),
-entries AS MATERIALIZED (SELECT term, dim, sign FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY i) AS r FROM firsts) WHERE r <= 8)"""
-_COOC = """
-seq AS (SELECT issue_id, unnest(weighted_terms) AS term, generate_subscripts(weighted_terms, 1) AS i FROM prepared),
-cooc AS MATERIALIZED (SELECT a.term, b.term AS neighbour, sum(1.0::DOUBLE / abs(a.i - b.i)) AS weight FROM seq a JOIN seq b ON a.issue_id = b.issue_id AND b.i BETWEEN a.i - 3 AND a.i + 3 AND a.i <> b.i GROUP BY 1, 2)"""
-_TOKEN = """
-mixed AS (SELECT term, dim, sum(v) AS v FROM (SELECT c.term, dim, 2 * weight * sign AS v FROM cooc c JOIN entries e ON e.term = neighbour UNION ALL SELECT term, dim, 0.35 * sign FROM entries) GROUP BY 1, 2),
-unit AS MATERIALIZED (SELECT term, dim, v / norm AS value FROM mixed JOIN (SELECT term, sqrt(sum(v * v)) AS norm FROM mixed GROUP BY 1) USING (term) WHERE norm > 0)"""
+_RI, _COOC, _TOKEN = O.RANDOM_ENTRIES, O.COOCCURRENCE, O.TOKEN_VECTORS
 
 
 @query("q_random_index_vectors", _W + O.INDEX + ", " + _RI + " SELECT term, dim, sign FROM entries")
@@ -349,18 +397,15 @@ def _(spark, d):
 
 @query("q_ri_token_vectors", ", ".join([_W + O.INDEX, _RI, _COOC, _TOKEN]) + " SELECT term, dim, round(value, 6) AS value FROM unit")
 def _(spark, d):
-    s = _session(spark, d)
-    return s.once("tokens", lambda: RI.token_vectors(s.index)).withColumn("value", F.round("value", 6))
+    return _session(spark, d).token_vectors().withColumn("value", F.round("value", 6))
 
 
-@query("q_ri_doc_topk", ", ".join([_W + O.INDEX, O.SEARCH_QUERIES, _RI, _COOC, _TOKEN, """
-    doc AS (SELECT issue_id, dim, sum((1 + ln(tf)) * idf * value) AS v FROM postings JOIN unit USING (term) GROUP BY 1, 2),
-    docs AS MATERIALIZED (SELECT issue_id, dim, v / norm AS v FROM doc JOIN (SELECT issue_id, sqrt(sum(v * v)) AS norm FROM doc GROUP BY 1) USING (issue_id) WHERE norm > 0),
+@query("q_ri_doc_topk", ", ".join([_W + O.INDEX, O.SEARCH_QUERIES, _RI, _COOC, _TOKEN, O.RANDOM_DOCUMENTS, """
     cos AS (SELECT a.issue_id AS qid, b.issue_id, sum(a.v * b.v) AS c FROM docs a JOIN queries ON qid = a.issue_id JOIN docs b USING (dim) GROUP BY 1, 2)""", O.pool("hits", "cos", "c", 11, "c > 0")])
     + " SELECT qid, issue_id, round(seed, 6) AS cosine, rank FROM hits WHERE qid <> issue_id")
 def _(spark, d):
     s = _session(spark, d)
-    v = s.once("ri", lambda: RI.document_vectors(s.index, s.once("tokens", lambda: RI.token_vectors(s.index))))
+    v = s.once("ri", lambda: RI.document_vectors(s.index, s.token_vectors()))
     q = v.join(s.queries.select(F.col("qid").alias("issue_id")), "issue_id").select(F.col("issue_id").alias("qid"), "vector")
     return C.exclude_self(C.dense_topk(q, v, 11)).select("qid", "issue_id", F.round("seed", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -370,8 +415,8 @@ def _(spark, d):
 _TRAIN = """
 related AS (SELECT DISTINCT issue_id AS qid, o AS issue_id FROM (SELECT issue_id, unnest(list_concat(linked_issue_ids, duplicate_issue_ids)) AS o FROM prepared) WHERE o <> issue_id AND o IN (SELECT issue_id FROM prepared)),
 need AS (SELECT qid, count(*) * 4 AS need FROM related GROUP BY 1),
-hard AS (SELECT c.qid, c.issue_id, c.seed, row_number() OVER (PARTITION BY c.qid ORDER BY rank) AS place, need FROM co c JOIN need USING (qid) WHERE c.qid <> c.issue_id AND NOT EXISTS (SELECT 1 FROM related r WHERE r.qid = c.qid AND r.issue_id = c.issue_id)),
-pairs AS MATERIALIZED (SELECT r.qid, r.issue_id, coalesce(seed, 0) AS seed, 1 AS label FROM related r LEFT JOIN co USING (qid, issue_id) UNION ALL SELECT qid, issue_id, seed, 0 FROM hard WHERE place <= need)"""
+hard AS (SELECT c.qid, c.issue_id, c.seed, row_number() OVER (PARTITION BY c.qid ORDER BY rank) AS place, need FROM co c JOIN need USING (qid) WHERE c.qid <> c.issue_id AND rank <= greatest(80, need) AND NOT EXISTS (SELECT 1 FROM related r WHERE r.qid = c.qid AND r.issue_id = c.issue_id)),
+pairs AS MATERIALIZED (SELECT r.qid, r.issue_id, coalesce(seed, 0) AS seed, 1 AS label FROM related r JOIN need n USING (qid) LEFT JOIN co ON co.qid = r.qid AND co.issue_id = r.issue_id AND co.rank <= greatest(80, need) UNION ALL SELECT qid, issue_id, seed, 0 FROM hard WHERE place <= need)"""
 _TRAINING = _W + O.lexical(O.EVERY_LABELLED) + ", " + O.pool("co", "lexical", "coarse", POOL, "coarse > 0") + ", " + _TRAIN
 
 
@@ -392,12 +437,12 @@ def _(spark, d):
 
 #: Weights for scoring without fitting.
 _FIXED_LOGISTIC = {n: round(0.9 - 0.05 * k, 2) for k, n in enumerate(X.ENGINEERED)}
-_FIXED_HIDDEN = [[round(((i * 7 + j * 3) % 11 - 5) / 5, 2) for j in range(len(X.ENGINEERED))] for i in range(4)]
-_FIXED_OUT = [0.8, -0.6, 0.5, 0.3]
+_FIXED_HIDDEN = [[round(((i * 7 + j * 3) % 11 - 5) / 20, 2) for j in range(len(X.NEURAL))] for i in range(32)]
+_FIXED_OUT = [round(((i * 5) % 9 - 4) / 8, 3) for i in range(32)]
 
 
 def _sql_mlp() -> str:
-    units = " + ".join(f"{o} * greatest(0.1 + {O.weighted(dict(zip(X.ENGINEERED, w)))}, 0.0)" for w, o in zip(_FIXED_HIDDEN, _FIXED_OUT))
+    units = " + ".join(f"{o} * greatest(0.1 + {O.weighted(dict(zip(X.NEURAL, w)))}, 0.0)" for w, o in zip(_FIXED_HIDDEN, _FIXED_OUT))
     return f"1 / (1 + exp(-greatest(least(-0.2 + {units}, 30), -30)))"
 
 
@@ -407,10 +452,35 @@ def _(spark, d):
     return s.ranked("logreg-engineered", reranker=R.logistic(_FIXED_LOGISTIC, -2.0)).select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
-@query("q_mlp_score", _COARSE + ", " + O.ranked(_sql_mlp()) + " SELECT qid, issue_id, place AS rank, score FROM ranked")
+@query("q_mlp_score", _FUSED + ", " + O.features(f"(SELECT * FROM fused WHERE rank <= {SUPERVISED})", "dense") + ", " + O.ranked(_sql_mlp()) + " SELECT qid, issue_id, place AS rank, score FROM ranked")
+def _(spark, d):
+    """The network at its size (32 units over 17 features), with weights that SQL can state."""
+    s = _session(spark, d)
+    return s.ranked("pairwise-neural-mlp", reranker=R.neural(X.NEURAL, _FIXED_HIDDEN, [0.1] * 32, _FIXED_OUT, -0.2)).select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
+@query("q_features_neural", _FUSED + ", " + O.features(f"(SELECT * FROM fused WHERE rank <= {SUPERVISED})", "dense") + f" SELECT qid, issue_id, {', '.join(X.NEURAL)} FROM features")
 def _(spark, d):
     s = _session(spark, d)
-    return s.ranked("logreg-engineered", reranker=R.neural(X.ENGINEERED, _FIXED_HIDDEN, [0.1] * 4, _FIXED_OUT, -0.2)).select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score")
+    return X.other_issue(s.features("pairwise-neural-mlp", C.exclude_self(s.candidates("pairwise-neural-mlp")))).select("qid", "issue_id", *X.NEURAL)
+
+
+def _fitted(spark: SparkSession, d: str, model: str) -> R.Reranker:
+    """A supervised model fitted on every labelled record."""
+    s = _session(spark, d, True)
+    return s.part(f"model:{model}", lambda: s.reranker(model))
+
+
+def _fitted_query(name: str, model: str):
+    @query(name)
+    def _(spark, d):
+        """Ranking by the fitted model (rows only: SQL has no such optimiser)."""
+        found = _session(spark, d).ranked(model, reranker=_fitted(spark, d, model))
+        return found.select("qid", "issue_id", F.col("rank").cast("bigint").alias("rank"), "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
+_fitted_query("q_rank_logreg", "logreg-engineered")
+_fitted_query("q_rank_mlp", "pairwise-neural-mlp")
 
 
 @query("q_logreg_fit")
@@ -422,8 +492,9 @@ def _(spark, d):
 
 @query("q_mlp_fit")
 def _(spark, d):
-    """Loss curve of a fitted network (rows only)."""
-    return L.diagnostics(L.fit_mlp(_training(spark, d), X.ENGINEERED, epochs=60), spark)
+    """Loss curve of the network as the model fits it: 17 features over the fused pool, 300 epochs at most (rows only)."""
+    s = _session(spark, d, True)
+    return L.diagnostics(L.fit_mlp(s.training("pairwise-neural-mlp"), X.NEURAL), spark)
 
 
 _SCORED = _TRAINING + ", " + O.features("(SELECT *, 0 AS rank FROM pairs)", keep_self=True) + f", scored AS (SELECT label, 1 / (1 + exp(-greatest(least(-2.0 + {O.weighted(_FIXED_LOGISTIC)}, 30), -30))) AS p FROM features JOIN pairs USING (qid, issue_id))"
@@ -486,8 +557,8 @@ def _(spark, d):
 
 @query("q_benchmark_report_pivot", f"SELECT metric, max(value) FILTER (k = 1) AS k1, max(value) FILTER (k = 3) AS k3, max(value) FILTER (k = 5) AS k5, max(value) FILTER (k = 10) AS k10 FROM ({_metric_sql('linked_issue_ids')}) GROUP BY 1")
 def _(spark, d):
-    m = E.rank_metrics(_ranked_all(spark, d), E.labels(_session(spark, d, True).prepared, "similarity"))
-    return m.groupBy("metric").pivot("k", [1, 3, 5, 10]).agg(F.max("value")).toDF("metric", "k1", "k3", "k5", "k10")
+    m = E.rank_metrics(_ranked_all(spark, d), E.labels(_session(spark, d, True).prepared, "similarity")).select(F.lit("bm25").alias("model"), F.lit("similarity").alias("task"), "*")
+    return metric_pivot(m, [1, 3, 5, 10]).drop("model", "task").toDF("metric", "k1", "k3", "k5", "k10")
 
 
 # Sources
@@ -510,6 +581,33 @@ def _(spark, d):
     return rows.groupBy("project_key").agg(F.array_join(F.array_sort(F.collect_set("c")), "||").alias("components"), F.count_distinct(F.when(F.lower("issue_type") == "bug", F.col("c"))).alias("n_bug_components"))
 
 
+@query("q_relational_source", _W + O.ISSUES + """ SELECT issue_id, project_key, coalesce(description_text, '') AS description_text, array_to_string(components, '||') AS components, array_to_string(affected_versions, '||') AS affected_versions,
+    array_to_string(fix_versions, '||') AS fix_versions, array_to_string(linked_issue_ids, ',') AS linked, array_to_string(duplicate_issue_ids, ',') AS duplicates, array_to_string(list_slice(comments, 1, 2), '##') AS comments
+    FROM issues WHERE project_key IS NOT NULL""")
+def _(spark, d):
+    """The records taken apart into the relational tables and joined again, with the first two comments; issues without project fall away."""
+    i = _issues(spark, d)
+    key = lambda c: F.xxhash64(c)
+
+    def names(column: str, to: str):
+        return i.select("issue_id", F.explode(column).alias("name")).select("issue_id", key("name").alias(to))
+
+    def named(*columns: str):
+        return reduce(DataFrame.unionByName, [i.select(F.explode(c).alias("name")) for c in columns]).distinct().select(key("name").alias("id"), "name")
+
+    links = i.select("issue_id", F.explode("linked_issue_ids").alias("target_issue_id"), F.lit("Relates").alias("name")).unionByName(i.select("issue_id", F.explode("duplicate_issue_ids").alias("target_issue_id"), F.lit("DUPLICATE").alias("name")))
+    tables = {
+        "issue": i.select(F.col("issue_id").alias("id"), "issue_key", key("project_key").alias("project_id"), "title", "description_text", F.lit(None).cast("string").alias("description"), F.col("issue_type").alias("type"), "priority", "status", "resolution"),
+        "project": i.where("project_key IS NOT NULL").select(key("project_key").alias("id"), "project_key").distinct(),
+        "issue_component": names("components", "component_id"), "component": named("components"), "affected_version": names("affected_versions", "affected_version_id"), "fix_version": names("fix_versions", "fix_version_id"),
+        "version": named("affected_versions", "fix_versions"), "issue_link": links,
+        "comment": i.select("issue_id", F.posexplode("comments").alias("creation_date", "comment_text")).withColumn("comment", F.lit(None).cast("string")),
+    }
+    r = S.from_relational(tables, 2)
+    joined = lambda c, sep: F.array_join(F.col(c).cast("array<string>"), sep)
+    return r.select("issue_id", "project_key", "description_text", *[joined(c, "||").alias(c) for c in ("components", "affected_versions", "fix_versions")], joined("linked_issue_ids", ",").alias("linked"), joined("duplicate_issue_ids", ",").alias("duplicates"), joined("comments", "##").alias("comments"))
+
+
 @query("q_first_n_comments", _W + O.ISSUES + " SELECT issue_id, array_to_string(list_slice(comments, 1, 2), '##') AS comments FROM issues WHERE len(comments) > 0")
 def _(spark, d):
     c = _issues(spark, d).select("issue_id", F.posexplode("comments").alias("creation_date", "comment_text"))
@@ -518,7 +616,7 @@ def _(spark, d):
 
 @query("q_group_activity_by_day", "SELECT user_id, ts::DATE AS day, count(*) AS n_events, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY 1, 2")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+    return S.activity_by_day(table(spark, d, "events"), "user_id", "ts", "event_type").withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("q_json_source", _W + O.ISSUES + " SELECT issue_id, issue_key, title, array_to_string(components, '||') AS components, len(comments) AS n_comments, array_to_string(duplicate_issue_ids, ',') AS duplicates FROM issues WHERE title IS NOT NULL")

@@ -32,12 +32,16 @@ def search_table(found: DataFrame) -> str:
     return markdown(["qid", "rank", "issue_id", "issue_key", "title", "score", "reasons"], shown.collect())
 
 
+def metric_pivot(metrics: DataFrame, ks: list[int]) -> DataFrame:
+    """(model, task, metric, one column per cut-off) of metrics (model, task, metric, k, value)."""
+    return metrics.groupBy("model", "task", "metric").pivot("k", ks).agg(F.first("value"))
+
+
 def metric_table(metrics: DataFrame) -> str:
     """Metrics of several models with one column per cut-off."""
     ks = [r.k for r in metrics.select("k").distinct().orderBy("k").collect()]
-    wide = metrics.groupBy("model", "task", "metric").pivot("k", ks).agg(F.first("value")).orderBy("model", "metric")
     # Models x metrics rows, however large the collection is.
-    return markdown(["model", "task", "metric", *map(str, ks)], wide.collect())
+    return markdown(["model", "task", "metric", *map(str, ks)], metric_pivot(metrics, ks).orderBy("model", "metric").collect())
 
 
 def render(found: DataFrame) -> list[str]:

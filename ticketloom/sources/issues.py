@@ -62,6 +62,11 @@ def first_comments(comments: DataFrame, limit: int, order: str = "creation_date"
     return kept.groupBy("issue_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "comment_text"))), lambda x: x["comment_text"]).alias("comments"))
 
 
+def activity_by_day(events: DataFrame, who: str, when: str, what: str) -> DataFrame:
+    """(who, day, n_events, kinds): the events of a history per day, with the distinct kinds sorted."""
+    return events.groupBy(who, F.to_date(when).alias("day")).agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set(what)).alias("kinds"))
+
+
 def _list_field(c: Column) -> Column:
     """A list given as JSON array text, '||'-separated text or one text."""
     as_array = F.from_json(c, "array<string>")
