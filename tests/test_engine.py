@@ -286,7 +286,7 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "issue_id long, vector array<double>").write.parquet(str(tmp_path / "v"))
     spark.createDataFrame([(0, [1.0, 0.0])], "issue_id long, vector array<double>").write.parquet(str(tmp_path / "q"))
     spaces = ["--vectors", f"sbert={tmp_path / 'v'}", "--query-vectors", f"sbert={tmp_path / 'q'}"]
-    for model in ("tfidf-cosine", "logreg-engineered", "random-indexing-dense", "sbert-dense", "hybrid-sparse-dense", "pairwise-neural-mlp", "rag-hybrid-judge", "graph-metadata-aware"):
+    for model in ("sbert-dense", "pairwise-neural-mlp", "graph-metadata-aware"):
         capsys.readouterr()
         assert main(["similar", *args, *spaces, "--title", "cache fails", "--model", model]) == 0
         assert "[K-0]" in capsys.readouterr().out

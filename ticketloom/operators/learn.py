@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.storage import materialize
+
 NEGATIVES_PER_POSITIVE = 4
 #: Candidates of a query among which its negatives are looked for: this many, or 4 for each positive where that is more.
 TRAINING_POOL, POOL_PER_POSITIVE = 80, 4
@@ -49,11 +51,15 @@ def training_pairs(prepared: DataFrame, candidates: DataFrame, per_positive: int
     hard = pool.join(need, "qid").where("qid <> issue_id").join(related, ["qid", "issue_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy("rank")
     hard = hard.withColumn("place", F.row_number().over(order)).where("place <= need")
+    hard = materialize(hard, "hard")
     short = need.join(hard.groupBy("qid").agg(F.count("*").alias("have")), "qid", "left").withColumn("missing", F.col("need") - F.coalesce("have", F.lit(0))).where("missing > 0")
-    # The first ids of the corpus that can fill a gap: as many as the largest need, and what may be excluded before them.
-    most = short.agg(F.max(F.col("missing") + F.col("need") * 2)).first()[0] or 0
-    first_ids = ids.orderBy("issue_id").limit(int(most) + 1)
-    fill = short.withColumn("k", F.lit(1)).join(F.broadcast(first_ids.withColumn("k", F.lit(1))), "k").where("qid <> issue_id").join(related, ["qid", "issue_id"], "left_anti").join(hard.select("qid", "issue_id"), ["qid", "issue_id"], "left_anti")
+    # A gap is filled from the first ids of the corpus: a query looks at as many places as it lacks, and as many more as
+    # may be taken there (its positives, its negatives so far, itself). Places meet ids in an equi-join.
+    short = short.withColumn("last", F.col("need") + (F.col("need") / per_positive).cast("bigint") + 1)
+    most = short.agg(F.max("last")).first()[0] or 0
+    first_ids = ids.orderBy("issue_id").limit(int(most)).withColumn("at", F.row_number().over(Window.orderBy("issue_id")))
+    fill = short.select("qid", "missing", F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias("at")).join(first_ids, "at").where("qid <> issue_id")
+    fill = fill.join(related, ["qid", "issue_id"], "left_anti").join(hard.select("qid", "issue_id"), ["qid", "issue_id"], "left_anti")
     fill = fill.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("issue_id"))).where("place <= missing")
     return positive.unionByName(hard.select("qid", "issue_id", "seed", F.lit(0).alias("label"))).unionByName(fill.select("qid", "issue_id", F.lit(0.0).alias("seed"), F.lit(0).alias("label")))
 

@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
-#: Tables written by this process and not yet deleted, with their sessions.
-_WRITTEN: dict[str, SparkSession] = {}
+#: Tables written by this process and not yet deleted, each with what deletes it, also when its session has ended.
+_WRITTEN: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +41,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN[path] = spark
+    _WRITTEN[path] = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext
     out = spark.read.schema(df.schema).parquet(path).hint("merge")
     out._ticketloom_path = path
     return out
@@ -56,30 +56,29 @@ def discard(*tables: DataFrame | None) -> None:
     """Deletes tables of materialize() that no later plan reads."""
     for df in tables:
         path = getattr(df, "_ticketloom_path", None)
-        if path is not None and _WRITTEN.pop(path, None) is not None:
-            _delete(df.sparkSession, path)
+        if path in _WRITTEN:
+            _delete(path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes every table that this process has written in the session: to be called when its results are stored elsewhere."""
-    for path in [p for p, s in _WRITTEN.items() if s.sparkContext is spark.sparkContext]:
-        del _WRITTEN[path]
-        _delete(spark, path)
+    for path in [p for p, (_, _, context) in _WRITTEN.items() if context is spark.sparkContext]:
+        _delete(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(path: str) -> None:
+    jvm, conf, _ = _WRITTEN.pop(path)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
 
 
 @atexit.register
 def _at_exit() -> None:
-    for spark in {id(s): s for s in _WRITTEN.values()}.values():
-        try:
-            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-                release(spark)
-        except Exception:  # noqa: BLE001 - the JVM may be gone already
-            pass
+    try:
+        for path in list(_WRITTEN):
+            _delete(path)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
