@@ -113,7 +113,8 @@ class Engine:
     def compare_new(self, records: DataFrame, models: Sequence[str] | None = None, top_k: int = 10, query_vectors: dict[str, DataFrame] | None = None) -> DataFrame:
         """search_new() of several models; those that cannot run are skipped with a warning."""
         session = self.asking(records, query_vectors)
-        parts = [self._named(self._ranked(session, m, top_k)).withColumn("model", F.lit(m)) for m in self.runnable(models, session)]
+        session.models = tuple(self.runnable(models, session))
+        parts = [self._named(self._ranked(session, m, top_k)).withColumn("model", F.lit(m)) for m in session.models]
         return reduce(DataFrame.unionByName, parts)
 
     def _named(self, found: DataFrame) -> DataFrame:
@@ -123,11 +124,9 @@ class Engine:
         return self.search(queries, model, top_k).where(F.col("score") >= threshold)
 
     def compare_models(self, queries: DataFrame, models: Sequence[str] | None = None, top_k: int = 10) -> DataFrame:
-        out = None
-        for m in self.runnable(models):
-            part = self.search(queries, m, top_k).withColumn("model", F.lit(m))
-            out = part if out is None else out.unionByName(part)
-        return out
+        session = self.session(queries.select("qid").distinct())
+        session.models = tuple(self.runnable(models, session))
+        return reduce(DataFrame.unionByName, [self._named(self._ranked(session, m, top_k)).withColumn("model", F.lit(m)) for m in session.models])
 
     def evaluate(self, task: str, models: Sequence[str] | None = None, sample_size: int | None = None, top_k_values: Sequence[int] = E.CUTOFFS, folds: int = 0) -> DataFrame:
         """(model, task, metric, k, value), and threshold metrics for duplicates (k: 100 * threshold).
@@ -137,8 +136,9 @@ class Engine:
         """
         relevant = E.labels(self.index.prepared, task, sample_size).cache()
         session = self.session(relevant.select("qid").distinct())
+        session.models = tuple(self.runnable(models))
         deepest, out = max(top_k_values), None
-        for m in self.runnable(models):
+        for m in session.models:
             ranked = self._held_out(session, m, deepest, folds) if folds and MODELS[m].supervised else self._ranked(session, m, deepest)
             ranked = ranked.select("qid", "issue_id", "rank", "score").cache()
             part = E.rank_metrics(ranked, relevant, top_k_values)

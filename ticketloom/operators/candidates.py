@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,14 @@ def sparse_candidates(lexical: DataFrame, score: str, pool: int) -> DataFrame:
     return top_pool(lexical.where(F.col(score) > 0).select("qid", "issue_id", F.col(score).alias("seed")), pool)
 
 
+def sparse_pools(lexical: DataFrame, scores: Sequence[str], pool: int) -> DataFrame:
+    """sparse_candidates() by several scores in one pass over the pairs: score_name, qid, issue_id, seed, rank."""
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("seed")) for s in scores]))
+    rows = lexical.select("qid", "issue_id", each.alias("s")).select("s.score_name", "qid", "issue_id", "s.seed").where("seed > 0")
+    order = Window.partitionBy("score_name", "qid").orderBy(F.desc(F.round("seed", 6)), "issue_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
+
+
 def with_fallback(candidates: DataFrame, queries: DataFrame, prepared: DataFrame, pool: int) -> DataFrame:
     """Adds, for queries (qid, project_key) without candidates, the first records of their project, or of the corpus if the project has none; seed 0."""
     empty = queries.join(candidates.select("qid").distinct(), "qid", "left_anti")

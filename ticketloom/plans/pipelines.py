@@ -48,6 +48,9 @@ MODELS: dict[str, ModelSpec] = {m.name: m for m in (
     ModelSpec("llm-e5-cross-reranker", "language", "transformer vectors and a pluggable pair scorer", needs_vectors="e5"),
 )}
 
+#: The lexical score that cuts a model's first pool.
+_POOL_SCORES = {"bm25": "bm25", "lexical": "bm25", "bm25-plus": "bm25_plus", "tfidf-cosine": "tfidf_cosine", "logreg-engineered": "coarse"} | dict.fromkeys(
+    ("hybrid-sparse-dense", "pairwise-neural-mlp", "rag-hybrid-judge", "graph-metadata-aware"), "bm25_plus")
 #: The themes of the suites and their models.
 _THEMES = {
     "sparse-lexical": (("tfidf-cosine", "bm25", "bm25-plus"), ()),
@@ -86,7 +89,8 @@ class Session:
     """An index and a set of queries (qid), with the parts that pipelines share; each part is built once, when first used.
 
     Queries are records of the corpus, or new records: then `asked` holds them prepared (issue_id = qid), and
-    query_vectors their vectors in the precomputed spaces. A pool of 0 is the default one.
+    query_vectors their vectors in the precomputed spaces. models: those that will be asked for, so that they share work.
+    A pool of 0 is the default one.
     """
 
     index: SearchIndex
@@ -97,6 +101,7 @@ class Session:
     exclude_query_edges: bool = False
     asked: DataFrame | None = None
     query_vectors: dict[str, DataFrame] = field(default_factory=dict)
+    models: tuple[str, ...] = ()
     diagnostics: str | None = None
     _made: dict = field(default_factory=dict)
 
@@ -126,8 +131,16 @@ class Session:
 
     def lexical_pool(self, score: str, pool: int | None = None) -> DataFrame:
         n = pool or self.pool
+        if n == self.pool and score in self.shared_scores():
+            pools = self.once(f"pools:{n}", lambda: C.sparse_pools(self.lexical(), self.shared_scores(), n))
+            return pools.where(F.col("score_name") == score).drop("score_name")
         return self.once(f"pool:{score}:{n}", lambda: C.sparse_candidates(self.lexical(), score, n))
 
+    def shared_scores(self) -> list[str]:
+        """The lexical scores of the models that this session serves, if there are several: their pools are cut in one pass."""
+        scores = sorted({_POOL_SCORES[m] for m in self.models if m in _POOL_SCORES})
+        return scores if len(scores) > 1 else []
+
     def query_rows(self) -> DataFrame:
         side = self.prepared if self.asked is None else self.asked
         return self.queries.join(side.select(F.col("issue_id").alias("qid"), F.coalesce("project_key", F.lit("")).alias("project_key")), "qid").select("qid", "project_key")

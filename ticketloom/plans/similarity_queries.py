@@ -71,7 +71,7 @@ def _session(spark: SparkSession, d: str, labelled: bool = False) -> Session:
         asks = index.prepared.where((F.size("linked_issue_ids") > 0) | (F.size("duplicate_issue_ids") > 0)) if labelled else index.prepared.where(F.col("issue_id") % 100 == 0)
         vectors = {"dense": materialize(_vectors(spark, d, "dense_embedding_space", "document_vector", 192), "dense"), "sbert": materialize(_vectors(spark, d, "sbert_embedding_space", "embedding", 64), "sbert")}
         vectors["e5"] = vectors["sbert"]
-        kept = _SESSIONS[key] = Session(index, asks.select(F.col("issue_id").alias("qid")), vectors, pair_scorer=_shared_words, pool=POOL)
+        kept = _SESSIONS[key] = Session(index, asks.select(F.col("issue_id").alias("qid")), vectors, pair_scorer=_shared_words, pool=POOL, models=tuple(MODELS))
     return kept
 
 
@@ -301,7 +301,7 @@ def _(spark, d):
 def _own_vectors(spark: SparkSession, d: str) -> Session:
     """The session whose dense vectors are those learnt from the corpus."""
     s = _session(spark, d)
-    return s.part("own", lambda: Session(s.index, s.queries, {k: v for k, v in s.vectors.items() if k != "dense"}, s.pair_scorer, POOL, _made={"tokens": s.token_vectors(), "terms": s.terms()}))
+    return s.part("own", lambda: Session(s.index, s.queries, {k: v for k, v in s.vectors.items() if k != "dense"}, s.pair_scorer, POOL, models=tuple(MODELS), _made={"tokens": s.token_vectors(), "terms": s.terms()}))
 
 
 def _new_records(spark: SparkSession, d: str) -> Session:
@@ -314,7 +314,7 @@ def _new_records(spark: SparkSession, d: str) -> Session:
         given = {k: s.vectors[k].select((-F.col("issue_id")).alias("issue_id"), "vector") for k in ("sbert", "e5")}
         vectors = {k: v for k, v in s.vectors.items() if k != "dense"}
         made = {"tokens": s.token_vectors(), "edges": s.edges()}
-        return Session(s.index, asked.select(F.col("issue_id").alias("qid")), vectors, s.pair_scorer, POOL, asked=asked, query_vectors=given, _made=made)
+        return Session(s.index, asked.select(F.col("issue_id").alias("qid")), vectors, s.pair_scorer, POOL, asked=asked, query_vectors=given, models=tuple(MODELS), _made=made)
 
     return s.part("new", make)
 
