@@ -365,6 +365,17 @@ def _(spark, d):
     return G.metadata_seeds(s.prepared, s.queries).withColumn("seed", F.round("seed", 6))
 
 
+@query("q_metadata_top", _W + O.PREPARED + f", {O.SEARCH_QUERIES}, {O.METADATA}, {O.pool('hits', 'meta_seeds', 'seed', 20)} SELECT qid, issue_id, round(seed, 6) AS seed FROM hits")
+def _(spark, d):
+    s = _session(spark, d)
+    return G.metadata_top(s.prepared, s.queries, 20).withColumn("seed", F.round("seed", 6))
+
+
+@query("q_graph_candidates", _FUSED + ", " + _GRAPH_POOL + " SELECT qid, issue_id, round(seed, 6) AS seed, rank FROM graph_pool")
+def _(spark, d):
+    return _session(spark, d).candidates("graph-metadata-aware").select("qid", "issue_id", F.round("seed", 6).alias("seed"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("q_two_hop_propagation", _FUSED + ", " + ", ".join([O.EDGES, O.METADATA, O.GRAPH_SEEDS, O.PROPAGATED]) + " SELECT qid, issue_id, round(s, 6) AS score FROM spread")
 def _(spark, d):
     s = _session(spark, d)
