@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 QUERY_BLOCK, CORPUS_CHUNK = 512, 50_000
 
 
-def top_pool(scored: DataFrame, pool: int, score: str = "seed") -> DataFrame:
-    """The `pool` best candidates of each query: qid, issue_id, seed, rank. Ties of the score rounded to 6 decimals go to the smaller id."""
+#: The lexical scores of a pair, which pools cut from them keep.
+LEXICAL = ("bm25", "bm25_plus", "tfidf_cosine", "coarse")
+
+
+def top_pool(scored: DataFrame, pool: int, score: str = "seed", keep: Sequence[str] = ()) -> DataFrame:
+    """The `pool` best candidates of each query: qid, issue_id, seed, rank, and the columns of `keep`. Ties of the score rounded to 6 decimals go to the smaller id."""
     order = Window.partitionBy("qid").orderBy(F.desc(F.round(score, 6)), "issue_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).select("qid", "issue_id", F.col(score).alias("seed"), "rank")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).select("qid", "issue_id", F.col(score).alias("seed"), "rank", *keep)
 
 
 def sparse_candidates(lexical: DataFrame, score: str, pool: int) -> DataFrame:
-    """Best candidates by one lexical score above 0."""
-    return top_pool(lexical.where(F.col(score) > 0).select("qid", "issue_id", F.col(score).alias("seed")), pool)
+    """Best candidates by one lexical score above 0, with all their lexical scores."""
+    return top_pool(lexical.where(F.col(score) > 0).select("qid", "issue_id", F.col(score).alias("seed"), *LEXICAL), pool, keep=LEXICAL)
 
 
 def sparse_pools(lexical: DataFrame, scores: Sequence[str], pool: int) -> DataFrame:
-    """sparse_candidates() by several scores in one pass over the pairs: score_name, qid, issue_id, seed, rank."""
+    """sparse_candidates() by several scores in one pass over the pairs: score_name and the columns of sparse_candidates()."""
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("seed")) for s in scores]))
-    rows = lexical.select("qid", "issue_id", each.alias("s")).select("s.score_name", "qid", "issue_id", "s.seed").where("seed > 0")
+    rows = lexical.select("qid", "issue_id", *LEXICAL, each.alias("s")).select("s.score_name", "qid", "issue_id", "s.seed", *LEXICAL).where("seed > 0")
     order = Window.partitionBy("score_name", "qid").orderBy(F.desc(F.round("seed", 6)), "issue_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
 
@@ -42,7 +46,9 @@ def with_fallback(candidates: DataFrame, queries: DataFrame, prepared: DataFrame
     corpus = ids.orderBy("issue_id").limit(pool).withColumn("rank", F.row_number().over(Window.orderBy("issue_id")))
     none = empty.join(own.select("qid").distinct(), "qid", "left_anti")
     rest = none.withColumn("k", F.lit(1)).join(F.broadcast(corpus.withColumn("k", F.lit(1)).drop("project_key")), "k").select("qid", "issue_id", F.lit(0.0).alias("seed"), "rank")
-    return candidates.unionByName(own).unionByName(rest)
+    scores = [c for c in LEXICAL if c in candidates.columns]
+    more = own.unionByName(rest).withColumns({c: F.lit(0.0) for c in scores})  # they share no term with the query
+    return candidates.unionByName(more.select(*candidates.columns))
 
 
 def exclude_self(candidates: DataFrame) -> DataFrame:

@@ -22,14 +22,17 @@ def _r4(c: Column) -> Column:
     return F.round(c, 4)
 
 
-def pair_rows(candidates: DataFrame, lexical: DataFrame, prepared: DataFrame, query_side: DataFrame | None = None) -> DataFrame:
+def pair_rows(candidates: DataFrame, lexical: DataFrame | None, prepared: DataFrame, query_side: DataFrame | None = None) -> DataFrame:
     """candidates (qid, issue_id, seed, rank) with their raw lexical scores (0 where no term is shared) and both records' sets, as q_* and c_*.
 
+    lexical: the scores of the pairs; None if the candidates carry them.
     query_side: the prepared queries (issue_id = qid) if they are not records of the corpus.
     """
     side = lambda df, p: df.select(F.col("issue_id").alias("qid" if p == "q" else "issue_id"), *[F.col(c).alias(f"{p}_{c}") for c in _SIDE])
-    scores = lexical.select("qid", "issue_id", "bm25", "bm25_plus", "tfidf_cosine")
-    joined = candidates.join(scores, ["qid", "issue_id"], "left").fillna(0.0, ["bm25", "bm25_plus", "tfidf_cosine"])
+    joined = candidates
+    if lexical is not None:
+        scores = lexical.select("qid", "issue_id", "bm25", "bm25_plus", "tfidf_cosine")
+        joined = candidates.join(scores, ["qid", "issue_id"], "left").fillna(0.0, ["bm25", "bm25_plus", "tfidf_cosine"])
     return joined.join(side(query_side if query_side is not None else prepared, "q"), "qid").join(side(prepared, "c"), "issue_id")
 
 

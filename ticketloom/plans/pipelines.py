@@ -195,7 +195,8 @@ class Session:
         return self.fused().where(F.col("rank") <= SUPERVISED_POOL) if model == "pairwise-neural-mlp" else self.fused()
 
     def features(self, model: str, candidates: DataFrame) -> DataFrame:
-        pairs = X.pair_rows(candidates, pair_scores(self.index, self.terms(), candidates), self.prepared, self.asked)
+        carried = set(C.LEXICAL) <= set(candidates.columns)
+        pairs = X.pair_rows(candidates, None if carried else pair_scores(self.index, self.terms(), candidates), self.prepared, self.asked)
         cosine = lambda rows: X.with_cosine(rows, self.dense_vectors(), query_vectors=self.of_queries("dense"))
         if model == "logreg-engineered":
             return X.engineered(pairs)

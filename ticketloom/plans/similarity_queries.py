@@ -71,7 +71,7 @@ def _session(spark: SparkSession, d: str, labelled: bool = False) -> Session:
         asks = index.prepared.where((F.size("linked_issue_ids") > 0) | (F.size("duplicate_issue_ids") > 0)) if labelled else index.prepared.where(F.col("issue_id") % 100 == 0)
         vectors = {"dense": materialize(_vectors(spark, d, "dense_embedding_space", "document_vector", 192), "dense"), "sbert": materialize(_vectors(spark, d, "sbert_embedding_space", "embedding", 64), "sbert")}
         vectors["e5"] = vectors["sbert"]
-        kept = _SESSIONS[key] = Session(index, asks.select(F.col("issue_id").alias("qid")), vectors, pair_scorer=_shared_words, pool=POOL, models=tuple(MODELS))
+        kept = _SESSIONS[key] = Session(index, asks.select(F.col("issue_id").alias("qid")), vectors, pair_scorer=_shared_words, pool=POOL, models=() if labelled else tuple(MODELS))
     return kept
 
 
