@@ -311,7 +311,31 @@ def test_generated_collection(spark):
     assert len(rows) == 150 and len({r.issue_id for r in rows}) == 150 and sum(len(r.duplicate_issue_ids) for r in rows) == 60
     assert {tuple(r)[:3] for r in rows} == {tuple(r)[:3] for r in SY.issues(spark, 30).collect()}
     kinds = {r.relationship_type: r["count"] for r in SY.pair_labels(made).groupBy("relationship_type").count().collect()}
-    assert kinds == {"duplicate": 30, "linked": 30, "hard_negative": 60, "random_negative": 30}
+    assert kinds == {"duplicate": 30, "linked": 30, "hard_negative": 30, "random_negative": 60}
+    pairs = SY.pair_labels(made).collect()
+    assert len({(r.left_issue_id, r.right_issue_id) for r in pairs}) == 150 and all(r.left_issue_id < r.right_issue_id for r in pairs)
+    assert {(r.relationship_type, r.similarity_band, r.label) for r in pairs} == {("duplicate", "high", 1), ("linked", "medium", 1), ("hard_negative", "low", 0), ("random_negative", "low", 0)}
+    back = {r.issue_id: r for r in S.decode_json(SY.as_records(made)).collect()}
+    assert len(back) == 150 and all(back[r.issue_id].title == r.title and back[r.issue_id].duplicate_issue_ids == sorted(r.duplicate_issue_ids) for r in rows)
+
+
+def test_generated_history(spark):
+    from ticketloom.sources import synthetic as SY
+
+    made = SY.issues(spark, 20)
+    events = SY.history(made)
+    n = {r.issue_id: r["count"] for r in events.groupBy("issue_id").count().collect()}
+    want = {"Open": 1, "In Progress": 2, "Resolved": 4}
+    assert all(n[r.issue_id] == want[r.status] for r in made.collect())
+    days = SY.activity(events).collect()
+    assert sum(len(r.events) for r in days) == sum(n.values()) and all(e.created.date() == r.day for r in days for e in r.events)
+    assert any(e.description.startswith("reporter changed status from Needs Triage to Open") for r in days for e in r.events)
+
+
+def test_generated_collection_is_searchable(spark):
+    from ticketloom.sources import synthetic as SY
+
+    made = SY.issues(spark, 30)
     found = Engine(made.drop("cluster_id", "role"), pool=30).evaluate("duplicates", ["bm25"], top_k_values=(5,)).where("metric = 'recall'").first()
     assert found.value > 0.5
 

@@ -648,7 +648,13 @@ def _(spark, d):
 
 @query("q_synthetic_dataset")
 def _(spark, d):
-    """Records and pair labels of a generated collection, counted by role and relationship (rows only)."""
-    made = SY.issues(spark, 60)
-    roles = made.groupBy(F.col("role").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.size("linked_issue_ids")).alias("links"))
-    return roles.unionByName(SY.pair_labels(made).groupBy(F.col("relationship_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("label").alias("links")))
+    """A generated collection: every record with the number of its changes and of the days they fall on (rows only)."""
+    made = SY.issues(spark, 500)
+    days = SY.activity(SY.history(made)).groupBy("issue_id").agg(F.count("*").alias("n_days"), F.sum(F.size("events")).alias("n_changes"))
+    return made.select("issue_id", "issue_key", "title", "status", "role", F.size("linked_issue_ids").alias("n_links")).join(days, "issue_id", "left")
+
+
+@query("q_synthetic_labels", """SELECT * FROM (VALUES ('duplicate', 'high', 1, 500), ('linked', 'medium', 1, 500), ('hard_negative', 'low', 0, 500), ('random_negative', 'low', 0, 1000)) t(relationship_type, similarity_band, label, n)""")
+def _(spark, d):
+    """Pair labels of a generated collection by relationship."""
+    return SY.pair_labels(SY.issues(spark, 500)).groupBy("relationship_type", "similarity_band", "label").agg(F.count("*").alias("n"))
