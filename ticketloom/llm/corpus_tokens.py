@@ -196,7 +196,8 @@ def decode_corpus(encoded: DataFrame, vocab_path: str = BYTE_BPE_50K) -> DataFra
     vocabulary. Empty and null lists give ''; each row gives one.
     """
     rows = materialize(encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.monotonically_increasing_id().alias("row")), "rows")
-    placed = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(piece_table(encoded.sparkSession, vocab_path)), "id")
+    # Rows move before they are taken apart: their ids then meet again where they are, without a shuffle.
+    placed = rows.repartition("row").select("row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(piece_table(encoded.sparkSession, vocab_path)), "id")
     lists = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pieces"))
     hexed = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
     texts = lists.select("row", F.decode(F.unhex(hexed), "UTF-8").alias("text"))
