@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,16 +87,15 @@ def aggregate_ranks(items: DataFrame, group: list[str], item: str, weights: dict
     names = list(weights)
     scores = items.select(
         *group, item,
-        F.explode(F.array(*[F.struct(F.lit(n).alias("score_name"), finite(F.col(n)).alias("value"), F.lit(float(weights[n])).alias("weight")) for n in names])).alias("s"),
+        F.explode(F.array(*[F.struct(F.lit(n).alias("score_name"), finite(F.col(n)).alias("value")) for n in names])).alias("s"),
     ).select(*group, item, "s.*")
     ranked = positions(scores, [*group, "score_name"], range_rows=range_rows)
-    merged = (
-        ranked.groupBy(*group, item)
-        .agg(F.collect_list(F.struct("position", "weight")).alias("__p"), (F.sum("position") / len(names)).alias("mean_position"))
-        .withColumn("median_position", weighted_median(F.col("__p")))
-        .drop("__p")
-    )
-    return merged.select(*group, item, "median_position", "mean_position")
+    # One position a score: fixed columns, which are aggregated in hash maps, and not lists, which would be sorted.
+    each = {f"__p{k}": F.max(F.when(F.col("score_name") == n, F.col("position"))) for k, n in enumerate(names)}
+    wide = ranked.groupBy(*group, item).agg(*[c.alias(k) for k, c in each.items()])
+    pairs = F.array(*[F.struct(F.col(f"__p{k}").alias("position"), F.lit(float(weights[n])).alias("weight")) for k, n in enumerate(names)])
+    total = reduce(Column.__add__, [F.col(k) for k in each])
+    return wide.select(*group, item, weighted_median(pairs).alias("median_position"), (total / len(names)).alias("mean_position"))
 
 
 def final_ranks(merged: DataFrame, group: list[str], item: str, range_rows: int = RANGE_ROWS) -> DataFrame:
