@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.storage import materialize
+from ticketloom.storage import discard, materialize
 
 #: Cells of a collection; more where a cell would exceed SHARD_ROWS on average, MOST_CELLS at most. A cell of more than
 #: SHARD_ROWS vectors is several shards.
@@ -361,13 +361,19 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, dimension: int
 
 
 def equal_classes(rows: DataFrame, n_ids: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows of usable_vectors: (space, id, vector, ids) of every distinct vector with the smallest id and the n_ids smallest that have it; (space, class, id) of all rows."""
-    first = rows.groupBy("space", "vector").agg(F.min("id").alias("class"))
-    members = materialize(rows.join(first, ["space", "vector"]).select("space", "class", "id"), "members")
+    """Of rows of usable_vectors: (space, id, vector, ids) of every distinct vector with the smallest id and the n_ids smallest that have it; (space, class, id) of all rows.
+
+    Vectors are told apart by 128 bits of hashes, so the vectors themselves are moved once only.
+    """
+    rows = materialize(rows.withColumns({f"k{k}": F.xxhash64("vector", F.lit(k)) for k in (1, 2)}), "vectors")
+    keys = rows.select("space", "k1", "k2", "id")
+    first = keys.groupBy("space", "k1", "k2").agg(F.min("id").alias("class"))
+    members = materialize(keys.join(first.hint("merge"), ["space", "k1", "k2"]).select("space", "class", "id"), "members")
     least = members.withColumn("place", F.row_number().over(Window.partitionBy("space", "class").orderBy("id"))).where(F.col("place") <= n_ids)
-    ids = least.groupBy("space", "class").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    classes = rows.withColumnRenamed("id", "class").join(ids, ["space", "class"])
-    return materialize(classes.select("space", F.col("class").alias("id"), "vector", "ids"), "classes"), members
+    ids = least.groupBy("space", F.col("class").alias("id")).agg(F.array_sort(F.collect_list(F.col("id"))).alias("ids"))
+    classes = materialize(rows.select("space", "id", "vector").join(ids.hint("merge"), ["space", "id"]).select("space", "id", "vector", "ids"), "classes")
+    discard(rows)
+    return classes, members
 
 
 def _routed(classes: DataFrame, cells: int, shard_rows: int) -> tuple[DataFrame, dict[str, list[int]]]:
