@@ -35,6 +35,11 @@ POOL, SUPERVISED = 250, 80
 _SESSIONS: dict[tuple, Session] = {}
 
 
+def forget() -> None:
+    """Drops what is kept of all folders, so that the next query builds it anew."""
+    _SESSIONS.clear()
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
