@@ -44,10 +44,17 @@ def contract(edges: DataFrame, parent: DataFrame) -> DataFrame:
     return materialize(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
 
 
-def compose(first: DataFrame, then: DataFrame) -> DataFrame:
-    """(u, parent) of doing one mapping after the other; vertices that the second does not name keep their parent."""
-    above = then.select(F.col("u").alias("parent"), F.col("parent").alias("above"))
-    return first.join(above, "parent", "left").select("u", F.coalesce("above", "parent").alias("parent"))
+def compose(mappings: list[tuple[DataFrame, bool]]) -> DataFrame:
+    """(u, parent) of doing the mappings one after the other, put together from the last: each is a part of the size of the one before.
+
+    The flag tells whether a mapping names every vertex that is left; vertices that one does not name keep their parent.
+    """
+    labels = mappings[-1][0]
+    for mapped, every in reversed(mappings[:-1]):
+        above = labels.select(F.col("u").alias("parent"), F.col("parent").alias("above")).hint("merge")
+        own = mapped.hint("merge").join(above, "parent", "left").select("u", F.coalesce("above", "parent").alias("parent"))
+        labels = own if every else own.unionByName(labels.hint("merge").join(mapped.select("u").hint("merge"), "u", "left_anti"))
+    return labels
 
 
 def _hub(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -81,44 +88,47 @@ def connected_components(edges: DataFrame, first_rounds: int = FIRST_ROUNDS, fro
        of a long diameter takes logarithmically many joins as well.
     3. What remains is labelled by further rounds of minimum propagation.
 
-    Every mapping of a round is composed with the labels of all ids. Self loops and null ends are ignored; repeated
+    The mappings of all rounds, each a part of the size of the one before, are composed at the end. Self loops and null ends are ignored; repeated
     edges count once; no edges give no rows. report: a dictionary that gets 'frontier_joins' and 'peeled' (ids).
     """
     edges = materialize(
         edges.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges"
     )
-    # Until something is merged every id stands for itself.
-    labels = materialize(_both_ways(edges).select("u").distinct().select("u", F.col("u").alias("parent")), "labels")
+    mappings: list[tuple[DataFrame, bool]] = []
     joins, peeled = 0, None
 
-    def step(mapped: DataFrame) -> None:
-        nonlocal edges, labels
+    def step(mapped: DataFrame, every: bool) -> None:
+        nonlocal edges
         mapped = mapped if is_written(mapped) else materialize(mapped, "parent")
-        following, told = contract(edges, mapped), materialize(compose(labels, mapped), "labels")
-        discard(edges, labels, mapped)
-        edges, labels = following, told
+        mappings.append((mapped, every))
+        following = contract(edges, mapped)
+        discard(edges)
+        edges = following
 
+    if not first_rounds:  # every id stands for itself
+        mappings.append((materialize(_both_ways(edges).select("u").distinct().select("u", F.col("u").alias("parent")), "parent"), True))
     for _ in range(first_rounds):
-        if not edges.isEmpty():
-            step(propagate(edges))
-    start = None if edges.isEmpty() else materialize(_hub(edges, labels), "hub")
+        if not mappings or not edges.isEmpty():
+            step(propagate(edges), True)
+    start = None if edges.isEmpty() else materialize(_hub(edges, compose(mappings)), "hub")
     while start is not None:
         seen, whole = _frontiers(edges, start, frontier_rounds)
         joins += frontier_rounds
         root = seen.agg(F.min("u")).first()[0]
+        merged = seen.select("u", F.lit(root).cast("bigint").alias("parent"))
         if whole:
-            away = edges.join(seen.hint("merge"), "u", "left_anti")
-            mapped = seen.select("u", F.lit(root).cast("bigint").alias("parent"))
-            told, rest = materialize(compose(labels, mapped.hint("merge")), "labels"), materialize(away, "edges")
-            discard(edges, labels)
-            edges, labels, start, peeled = rest, told, None, root
+            rest = materialize(edges.join(seen.hint("merge"), "u", "left_anti"), "edges")
+            mappings.append((materialize(merged, "parent"), False))
+            discard(edges)
+            edges, start, peeled = rest, None, root
         else:
-            step(seen.select("u", F.lit(root).cast("bigint").alias("parent")))
+            step(merged, False)
             low = materialize(propagate(edges), "parent")
             start = materialize(low.where(F.col("u") == root).select(F.col("parent").alias("u")), "hub")
-            step(low)
+            step(low, True)
     while not edges.isEmpty():
-        step(propagate(edges))
+        step(propagate(edges), True)
+    labels = compose(mappings)
     if report is not None:
         report.update(frontier_joins=joins, peeled=0 if peeled is None else labels.where(F.col("parent") == peeled).count())
     return labels.select(F.col("u").alias("id"), F.col("parent").alias("group_id"))
