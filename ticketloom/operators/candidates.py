@@ -43,9 +43,10 @@ def with_fallback(candidates: DataFrame, queries: DataFrame, prepared: DataFrame
     by_id = Window.partitionBy("project_key").orderBy("issue_id")
     firsts = ids.where(F.col("project_key") != "").withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= pool)
     own = empty.join(firsts, "project_key").select("qid", "issue_id", F.lit(0.0).alias("seed"), "rank")
-    corpus = ids.orderBy("issue_id").limit(pool).withColumn("rank", F.row_number().over(Window.orderBy("issue_id")))
+    # The first ids of the corpus, `pool` at most, are one value: a list that every remaining query takes apart.
+    corpus = ids.select("issue_id").orderBy("issue_id").limit(pool).agg(F.array_sort(F.collect_list("issue_id"))).scalar()
     none = empty.join(own.select("qid").distinct(), "qid", "left_anti")
-    rest = none.withColumn("k", F.lit(1)).join(F.broadcast(corpus.withColumn("k", F.lit(1)).drop("project_key")), "k").select("qid", "issue_id", F.lit(0.0).alias("seed"), "rank")
+    rest = none.select("qid", F.posexplode(corpus).alias("at", "issue_id")).select("qid", "issue_id", F.lit(0.0).alias("seed"), (F.col("at") + 1).alias("rank"))
     scores = [c for c in LEXICAL if c in candidates.columns]
     more = own.unionByName(rest).withColumns({c: F.lit(0.0) for c in scores})  # they share no term with the query
     return candidates.unionByName(more.select(*candidates.columns))
