@@ -244,3 +244,15 @@ def test_every_notation_alone_is_read(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     got = sorted((r.k, r.kind, r.content) for r in markup.elements(rows, ["k"]).collect())
     assert got == [(0, "heading", "Overview"), (1, "heading", "Overview"), (2, "code_block", "x = 1"), (3, "code_block", "raw"), (4, "formula", "a + b")]
+
+
+def test_paths_the_training_never_saw(weights):
+    """Deeper nestings of known tags are labelled by their last tag."""
+    cases = [
+        ("<table><tr><td><ul><li>alpha beta</li><li>gamma</li></ul></td></tr></table>", ["list_item"] * 2), ("<div><div><h2>Big title</h2><p>text here</p></div></div>", ["heading"]),
+        ("<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</li></ul>", ["list_item"] * 4), ("<table><tr><td><h3>Cell head</h3></td><td>plain</td></tr></table>", ["heading"]),
+        ("<div><table><tbody><tr><td>x1</td><td>y1</td></tr></tbody></table></div>", []), ("<dl><dt>term</dt><dd><ul><li>in dd</li></ul></dd></dl>", ["list_item"]),
+        ("<html><body><div><div><h5>fifth</h5><pre>code()</pre></div></div></body></html>", ["heading", "code_block"]), ("*** three stars\n**** four", ["list_item"] * 2),
+    ]
+    for text, kinds in cases:
+        assert [k for k, _ in found(text, weights)] == kinds, text

@@ -10,9 +10,11 @@ import numpy as np
 from ticketloom.llm.markup_blocks import NONE, Block, blocks, squeeze
 
 KINDS = (NONE, "heading", "list_item", "code_block", "formula")
-PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN = 1024, 512, 16, 6, 16
+PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN = 8192, 512, 16, 6, 16
 #: Documents of the generated labelled sample, and passes over it.
 SAMPLE, EPOCHS, SEED = 3000, 6, 11
+#: Share of the tag paths that a pass replaces by random ones.
+UNKNOWN = 0.1
 _WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 #: A document's features: per block two path hashes, and the hashes of all its words.
@@ -42,7 +44,7 @@ def features(bs: list[Block]) -> Features:
 
 def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
     d = PATH_DIM + WORD_DIM
-    w = {"path": rng.normal(0, 0.3, (PATHS, PATH_DIM)), "word": rng.normal(0, 0.3, (WORDS, WORD_DIM)),
+    w = {"path": rng.normal(0, 0.02, (PATHS, PATH_DIM)), "word": rng.normal(0, 0.3, (WORDS, WORD_DIM)),
          "out": rng.normal(0, 0.3, (2 * HIDDEN + d, len(KINDS))), "out_b": np.zeros(len(KINDS))}
     for side in "fb":
         w[side + "x"] = rng.normal(0, 1 / np.sqrt(d), (d, 4 * HIDDEN))
@@ -169,6 +171,8 @@ def train(sample: int = SAMPLE, epochs: int = EPOCHS, seed: int = SEED, rate: fl
             labels = np.zeros(mask.shape, np.int64)
             for k, (_, y) in enumerate(part):
                 labels[:len(y), k] = y
+            # Some paths are made unknown ones, so that the last tag alone is learnt as well.
+            path[..., 0] = np.where(rng.random(mask.shape) < UNKNOWN, rng.integers(0, PATHS, mask.shape), path[..., 0])
             step += 1
             for k, g in _gradients(w, path, mask, words, cell, labels).items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g
@@ -229,7 +233,7 @@ def _pieces(rng: np.random.Generator, style: str) -> list[tuple[str, str, list[s
             n = int(rng.integers(1, 7))
             title = p(int(rng.integers(1, 5)))
             setext = f"{title}\n{('=' if n < 3 else '-') * int(rng.integers(2, 24))}"
-            section = ["section", "subsection", "subsubsection", "paragraph", "chapter", "subparagraph"][n - 1]
+            section = pick([["section", "part"], ["subsection"], ["subsubsection"], ["paragraph"], ["chapter"], ["subparagraph"]][n - 1])
             out.append(({"html": pick([f"<h{n}>{title}</h{n}>", f'<h{n} class="a">{title}</h{n}>']), "latex": f"\\{section}{pick(['', '*'])}{{{title}}}",
                          "md": f"{'#' * n} {title}" if rng.random() < 0.7 else setext, "wiki": f"h{n}. {title}"}[style], "heading", [title]))
         elif kind == "list":
@@ -237,8 +241,11 @@ def _pieces(rng: np.random.Generator, style: str) -> list[tuple[str, str, list[s
             ordered = rng.random() < 0.4
             tag = "ol" if ordered else "ul"
             inner = pick(["<li>{}</li>", "<li>{}</li>", "<li>{}", "<li><p>{}</p></li>"] if rng.random() < 0.2 else ["<li>{}</li>"])
+            nested = f"<{pick(['ul', 'ol'])}>" + "".join(f"<li>{x}</li>" for x in items[1:])
+            deep = f"<{tag}><li>{items[0]}{nested}</{nested[1:3]}></li></{tag}>"
+            flat = f"<{tag}>" + "".join(inner.replace("{}", x) for x in items) + f"</{tag}>"
             out.append(({
-                "html": f"<{tag}>" + "".join(inner.replace("{}", x) for x in items) + f"</{tag}>",
+                "html": deep if len(items) > 1 and "<p>" not in inner and rng.random() < 0.15 else pick(["{}", "{}", "{}", "{}", "<blockquote>{}</blockquote>", "<table><tr><td>{}</td></tr></table>"]).replace("{}", flat),
                 "latex": "\\begin{itemize}\n" + "\n".join(f"\\item {x}" for x in items) + "\n\\end{itemize}",
                 "md": "\n".join(f"{k + 1}{'.' if mark == '-' else ')'} {x}" if ordered else f"{pick(['', '', '  ']) if k else ''}{mark} {x}" for k, x in enumerate(items)),
                 "wiki": "\n".join(f"{'#' if ordered and len(items) > 1 else '*' * (1 + k % 3) if mark == '*' else '-'} {x}" for k, x in enumerate(items)),
