@@ -183,6 +183,18 @@ def test_training_pairs_and_models(engine, spark):
     assert L.fit_logistic(nothing, ["x"]).bias == -1.5 and L.fit_mlp(nothing, ["x"]).out_bias == -1
 
 
+def test_the_network_learns_from_all_pairs(spark):
+    """More pairs than the former sample of 200,000: the loss curve is that of all of them."""
+    rows = spark.range(240_000).select(F.col("id").alias("qid"), (F.col("id") % 997).alias("issue_id"), (F.col("id") % 5 == 0).cast("int").alias("label"), ((F.col("id") * 7919) % 1000 / 1000).alias("a"), ((F.col("id") % 5) / 5).alias("b"))
+    options = {"hidden": 4, "epochs": 2, "batch": 2000}
+    got = L.fit_mlp(rows, ["a", "b"], **options).epochs
+    pdf = rows.withColumn("part", L.split_column()).where("part <> 'test'").toPandas().sort_values(["qid", "issue_id"])
+    x, y, train = pdf[["a", "b"]].to_numpy(float), pdf["label"].to_numpy(float), (pdf["part"] == "train").to_numpy()
+    want = L.train_mlp(x[train], y[train], x[~train], y[~train], **options)[1]
+    assert [e["validation_loss"] for e in got] == pytest.approx([e["validation_loss"] for e in want], abs=1e-12)
+    assert [e["train_loss"] for e in got] == pytest.approx([e["train_loss"] for e in want], abs=1e-12)
+
+
 @pytest.mark.parametrize("model", ["logreg-engineered", "pairwise-neural-mlp"])
 def test_training_pool_grows_with_the_positives(spark, model):
     """A hub of 25 links is trained with its 100 best candidates, though a search keeps 20."""
