@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.api import Engine
 from ticketloom.config import Settings
+from ticketloom.operators import blocks as B
 from ticketloom.operators import candidates as C
 from ticketloom.operators import evaluate as E
 from ticketloom.operators import graph as G
@@ -146,6 +147,36 @@ def test_fusion_keeps_the_order_of_equal_lists(spark):
     assert [r.issue_id for r in got] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("group", [65_536, 10])
+def test_pools_without_all_pairs(engine, spark, monkeypatch, group):
+    """Pools of blocks and parts are those cut from all pairs, and their sets compare like the records' own; nothing but pools leaves a task."""
+    monkeypatch.setattr(B, "PART", 7)
+    monkeypatch.setattr(B, "GROUP", group)
+    monkeypatch.setattr(B, "RARE", 2)
+    engine.index.made.clear()
+    terms = query_terms(engine.index, engine.index.prepared.select(F.col("issue_id").alias("qid")))
+    scores, key = list(C.LEXICAL), lambda r: (r.score_name, r.qid, r.issue_id, r["rank"])
+    want = {key(r): r for r in C.sparse_pools(lexical_scores(engine.index, terms), scores, 6).collect()}
+    found = B.lexical_pools(engine.index, terms, scores, 6, True)
+    got = {key(r): r for r in found.collect()}
+    engine.index.made.clear()
+    assert set(got) == set(want) and all(got[k][c] == pytest.approx(want[k][c]) for k in want for c in ("seed", *scores))
+    side = {r.issue_id: r for r in engine.index.prepared.collect()}
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0
+    for (_, q, c, _), r in got.items():
+        assert r.title_jaccard == pytest.approx(jaccard(side[q].title_ngrams, side[c].title_ngrams)) and r.description_jaccard == pytest.approx(jaccard(side[q].description_terms, side[c].description_terms))
+        assert r.same_key == (q == c)
+
+
+def test_evaluation_forms_no_pairs(engine):
+    """Lexical models of a session of their own rank without a join of pairs with records, as with it."""
+    everyone = engine.index.prepared.select(F.col("issue_id").alias("qid"))
+    lean, wide = (Session(engine.index, everyone, pool=20, models=m) for m in ((), ("bm25", "bm25-plus")))
+    rows = lambda s: {(r.qid, r.issue_id, r["rank"], r.score, tuple(r.reasons)) for r in s.ranked("bm25").collect()}
+    plan = lean.ranked("bm25")._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(lean) == rows(wide) and "saturation" not in plan
+
+
 def test_metrics_by_hand(spark):
     ranked = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.6), (1, 9, 3, 0.5)], "qid long, issue_id long, rank int, score double")
     relevant = spark.createDataFrame([(1, 8), (1, 99), (2, 5)], "qid long, issue_id long")
